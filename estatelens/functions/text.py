@@ -28,6 +28,15 @@ PROMPT_INTENTS = [
 ]
 
 
+_W = "[0-9A-Za-z_]"
+_BOUNDARY = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+
+
+def ascii_words(pattern: str) -> str:
+    """Spell out ``\\b`` for ASCII words; Java's own ``\\b`` also counts accented letters."""
+    return pattern.replace(r"\b", _BOUNDARY)
+
+
 def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4)
 
@@ -45,7 +54,7 @@ def route_question(question: Column, intents=None) -> Column:
     """Name of the first matching intent, ``unrecognised`` for none."""
     out = None
     for name, pattern in intents or GRAPH_INTENTS:
-        hit = F.rlike(F.trim(question), F.lit("(?i)" + pattern))
+        hit = F.rlike(F.trim(question), F.lit("(?i)" + ascii_words(pattern)))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("unrecognised")
 

@@ -27,10 +27,11 @@ def _fixpoint_max(nodes: DataFrame, links: DataFrame) -> Written:
                 "node", F.when(better, F.col("pushed")).otherwise(F.col("colour")).alias("colour"), better.alias("changed")
             ),
             "colour",
+            where=F.col("changed"),
         )
         state.drop()
         state = nxt
-        if not state.df.filter("changed").limit(1).count():
+        if not state.hits:
             return state
 
 

@@ -52,7 +52,8 @@ def surprising(edges: DataFrame, nodes: DataFrame, top: int = 10, prefixes=P.MOD
     """The ``top`` most surprising edges of each repository."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("repo").orderBy(F.desc("score"), "source", "target")
+    # Scores that differ only in the last bits of the logarithm are ties.
+    w = Window.partitionBy("repo").orderBy(F.desc(F.round("score", 9)), "source", "target")
     scored = cross_module_edges(edges, nodes, prefixes, mode)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 

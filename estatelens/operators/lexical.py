@@ -82,7 +82,7 @@ def scan_rules(corpus: DataFrame, rules: list[dict]) -> DataFrame:
         items = [
             F.struct(
                 F.lit(r["type"]).alias("type"), F.lit(r["severity"]).alias("severity"),
-                F.regexp_count(text, F.lit(r["pattern"])).alias("matches"),
+                F.regexp_count(text, F.lit(X.ascii_words(r["pattern"]))).alias("matches"),
             )
             for r in rs
         ]
@@ -249,7 +249,7 @@ def why_comments(corpus: DataFrame) -> DataFrame:
     return inline.unionByName(doc)
 
 
-WORD_CALL = r"([A-Za-z_$][\w$]*)\s*\("
+WORD_CALL = r"((?<![A-Za-z0-9_])[A-Za-z_$][\w$]*)\s*\("
 
 
 def find_callers(corpus: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def top_callers(callers: DataFrame, limit: int = 50) -> DataFrame:
 
 def word_lines(corpus: DataFrame, word: str) -> DataFrame:
     """Lines that contain a whole word: (path, line, column, snippet)."""
-    pattern = F.lit(rf"\b\Q{word}\E\b")
+    pattern = F.lit(X.ascii_words(r"\b") + rf"\Q{word}\E" + X.ascii_words(r"\b"))
     lines = explode_lines(corpus).filter(F.rlike(F.col("text"), pattern))
     return lines.select("path", "line", F.position(F.lit(word), F.col("text")).alias("column"), F.substring(strip("text"), 1, 120).alias("snippet"))
 

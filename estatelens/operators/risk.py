@@ -30,9 +30,9 @@ def _counts(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int) ->
 def risk_scores(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     """Risk score 0..10 of each root: twice the fragile count plus their mean gap to 6, rounded."""
     c = _counts(edges, nodes, roots, depth)
-    mean_gap = F.col("gap_tenths") / 10 / F.when(F.col("fragile") > 0, F.col("fragile"))
-    score = F.least(F.lit(10), F.floor(F.col("fragile") * 2 + mean_gap + 0.5))
-    return c.select("root", "affected", F.col("fragile").alias("fragile_count"), F.coalesce(score, F.lit(0)).cast("long").alias("risk_score"))
+    f = F.col("fragile")
+    score = F.least(F.lit(10), F.floor(f * 2 + F.col("gap_tenths") / 10 / F.when(f > 0, f) + 0.5))
+    return c.select("root", "affected", f.alias("fragile_count"), F.when(f > 0, score).otherwise(0).cast("long").alias("risk_score"))
 
 
 def impact_verdicts(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:

@@ -1 +1,9 @@
 """The query catalogue: every operator bound to the driver tables, with its SQL check."""
+
+from __future__ import annotations
+
+
+def catalogues() -> list:
+    from . import graph
+
+    return [graph.catalogue]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _WORK_KEY = "spark.estatelens.work.dir"
@@ -65,16 +65,16 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 
 class Written:
-    """A DataFrame backed by a written table, with its row count."""
+    """A DataFrame backed by a written table, with its row count and the rows that met a condition."""
 
-    def __init__(self, df: DataFrame, path: str, rows: int):
-        self.df, self.path, self.rows = df, path, rows
+    def __init__(self, df: DataFrame, path: str, rows: int, hits: int = 0):
+        self.df, self.path, self.rows, self.hits = df, path, rows, hits
 
     def drop(self) -> None:
         drop_table(self.df.sparkSession, self.path)
 
 
-def materialize(df: DataFrame, tag: str = "stage") -> Written:
+def materialize(df: DataFrame, tag: str = "stage", where: Column | None = None) -> Written:
     """Write ``df`` once and read it back.
 
     This cuts the lineage of iterative jobs and counts the rows in the same job. A written table survives the loss of any executor,
@@ -83,8 +83,9 @@ def materialize(df: DataFrame, tag: str = "stage") -> Written:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return Written(spark.read.schema(df.schema).parquet(path), path, seen.get["rows"])
+    hits = F.count_if(F.lit(False) if where is None else where).alias("hits")
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), hits).write.parquet(path)
+    return Written(spark.read.schema(df.schema).parquet(path), path, seen.get["rows"], seen.get["hits"])
 
 
 def global_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
