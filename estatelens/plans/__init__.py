@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def catalogues() -> list:
-    from . import graph
+    from . import graph, records
 
-    return [graph.catalogue]
+    return [records.catalogue, graph.catalogue]

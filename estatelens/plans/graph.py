@@ -177,7 +177,7 @@ def _(t):
           FROM q LEFT JOIN sp f ON f.s = q.source AND f.t = q.target LEFT JOIN sp b ON b.s = q.target AND b.t = q.source),
         r AS (SELECT source, target, CASE WHEN fp IS NOT NULL THEN 'forward' WHEN bp IS NOT NULL THEN 'reverse' ELSE 'none' END AS direction, coalesce(fp, bp) AS path FROM found),
         w AS (SELECT source, target, count(*) FILTER (rating < 6) AS bottlenecks FROM (SELECT source, target, unnest(path) AS id FROM r) JOIN nodes USING (id) GROUP BY 1, 2)
-        SELECT r.source, r.target, direction, array_to_string(path, ' > ') AS path, CAST(len(path) - 1 AS INT) AS length, bottlenecks
+        SELECT r.source, r.target, direction, coalesce(array_to_string(path, ' > '), '') AS path, CAST(coalesce(len(path) - 1, -1) AS INT) AS length, coalesce(bottlenecks, 0) AS bottlenecks
         FROM r LEFT JOIN w ON w.source = r.source AND w.target = r.target""",
         "sparse",
         "nodes",
@@ -186,7 +186,8 @@ def _(t):
 )
 def _(t):
     pairs = t.nodes.select("repo", F.col("id").alias("source")).join(t.worst, "repo").select("source", F.col("worst").alias("target"))
-    return TR.shortest_paths(t.sparse, t.nodes, pairs).withColumn("path", F.array_join("path", " > "))
+    out = TR.shortest_paths(t.sparse, t.nodes, pairs).withColumn("path", F.coalesce(F.array_join("path", " > "), F.lit("")))
+    return out.fillna({"length": -1, "bottlenecks": 0})
 
 
 @add(

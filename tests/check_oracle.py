@@ -26,6 +26,8 @@ def _norm(df: pd.DataFrame) -> pd.DataFrame:
             df[c] = pd.to_datetime(df[c]).astype("datetime64[us]").astype(str)
         elif pd.api.types.is_float_dtype(df[c]):
             df[c] = df[c].map(lambda x: None if pd.isna(x) else repr(round(float(x), 9)))
+        elif str(df[c].dtype).startswith("Int") and df[c].isna().any():
+            df[c] = df[c].map(lambda x: None if pd.isna(x) else repr(float(x)))
         elif pd.api.types.is_bool_dtype(df[c]) or pd.api.types.is_integer_dtype(df[c]):
             df[c] = df[c].astype(str)
         else:
@@ -67,6 +69,12 @@ def main():
     con = connect(sf_dir)
     queries, sqls = entry.queries(), entry.oracle_sql()
     bad = 0
+    skip = [n[1:] for n in names if n.startswith("-")]
+    names = [n for n in names if not n.startswith("-")]
+    if skip:
+        from estatelens.plans import graph
+
+        queries = {k: v for k, v in queries.items() if k not in graph.catalogue.queries} if "graph" in skip else queries
     for name, fn in queries.items():
         if names and not any(n == name or (n.endswith("*") and name.startswith(n[:-1])) for n in names):
             continue
