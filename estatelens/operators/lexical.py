@@ -227,22 +227,21 @@ def why_comments(corpus: DataFrame) -> DataFrame:
         F.concat_ws(":", "path", F.col("line").cast("string"), F.lit("why")).alias("id"),
         F.col("path").alias("file"), "line", F.substring(strip("why"), 1, 300).alias("text"),
     )
-    blocks = corpus.select("path", "content", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?s)/\*\*.*?\*/"), 0))).alias("block"))
-    # Equal blocks repeat at several places: one row per occurrence, from the text before it.
-    pieces = blocks.withColumn("before", F.split("content", F.concat(F.lit("\\Q"), F.col("block"), F.lit("\\E")), -1))
+    # Every block ends a piece of the text cut at "*/"; newlines before it give its line.
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    pieces = corpus.select("path", F.split("content", r"\*/", -1).alias("pieces"))
+    pieces = pieces.select("path", "pieces", F.transform("pieces", newlines).alias("breaks"), F.posexplode("pieces").alias("i", "piece"))
+    pieces = pieces.filter((F.col("i") < F.size("pieces") - 1) & F.contains("piece", F.lit("/**")))
+    start = F.position(F.lit("/**"), F.col("piece"))
+    above = F.aggregate(F.slice("breaks", F.lit(1), F.col("i")), F.lit(0), lambda acc, x: acc + x)
     at = pieces.select(
-        "path", "block",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("before") - 1),
-                lambda k: F.array_join(F.slice("before", F.lit(1), k), F.col("block")),
-            )
-        ).alias("prefix"),
+        "path",
+        (above + newlines(F.substring("piece", F.lit(1), start - 1)) + 1).alias("line"),
+        F.substring("piece", start + 3, F.length("piece")).alias("inner"),
     )
-    inner = F.substring("block", F.lit(4), F.length("block") - 5)
-    cleaned = F.transform(F.split(inner, "\n", -1), lambda s: F.trim(F.regexp_replace(s, r"^\s*\*\s?", "")))
+    cleaned = F.transform(F.split("inner", "\n", -1), lambda s: F.trim(F.regexp_replace(s, r"^\s*\*\s?", "")))
     summary = F.try_element_at(F.filter(cleaned, lambda s: (F.length(s) > 10) & ~F.startswith(s, F.lit("@"))), F.lit(1))
-    doc = at.withColumn("line", X.line_count(F.col("prefix")).cast("int")).withColumn("summary", summary).filter("summary IS NOT NULL").select(
+    doc = at.withColumn("summary", summary).filter("summary IS NOT NULL").select(
         F.concat_ws(":", "path", F.col("line").cast("string"), F.lit("jsdoc")).alias("id"),
         F.col("path").alias("file"), "line", F.substring("summary", 1, 300).alias("text"),
     )

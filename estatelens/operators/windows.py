@@ -21,22 +21,25 @@ def trend_rows(trend: DataFrame, n: int = 50, newest: bool = False) -> DataFrame
     return trend.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
-def rating_deltas(history: DataFrame, bucket: str = "1 hour") -> DataFrame:
-    """Change of a file's rating against its previous analysis.
+def previous_row(df: DataFrame, keys: list[str], time: str, seq: str, cols: list[str], bucket: str = "1 hour") -> DataFrame:
+    """Add ``prev``, a struct of ``cols`` of the row before in each key's (time, seq) order.
 
-    Time buckets keep a file with a huge history out of a single task: rows are compared inside
-    (file, bucket), and only one row per bucket takes part in finding the value before it.
+    Time buckets keep a key with a huge history out of a single task: rows are compared inside
+    (key, bucket), and only one row per bucket takes part in finding the value before it.
     """
-    h = history.withColumn("_b", F.window("recorded_at", bucket)["start"])
-    w = Window.partitionBy("repo", "path", "_b").orderBy("recorded_at", "seq")
-    inside = h.withColumn("_prev", F.lag("rating").over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    last = h.groupBy("repo", "path", "_b").agg(F.max_by("rating", F.struct("recorded_at", "seq")).alias("_last"))
-    before = last.select(
-        "repo", "path", "_b", F.lag("_last").over(Window.partitionBy("repo", "path").orderBy("_b")).alias("_before")
-    )
-    out = inside.join(before, ["repo", "path", "_b"], "left")
-    prev = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_prev"))
-    return out.withColumn("previous", prev).withColumn("delta", F.col("rating") - prev).drop("_b", "_prev", "_first", "_last", "_before")
+    value = F.struct(*cols)
+    h = df.withColumn("_b", F.window(F.col(time).cast("timestamp"), bucket)["start"])
+    inside = h.withColumn("_in", F.lag(value).over(Window.partitionBy(*keys, "_b").orderBy(time, seq)))
+    last = h.groupBy(*keys, "_b").agg(F.max_by(value, F.struct(time, seq)).alias("_last"))
+    before = last.select(*keys, "_b", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_before"))
+    out = inside.join(before, [*keys, "_b"], "left")
+    return out.withColumn("prev", F.coalesce("_in", "_before")).drop("_b", "_in", "_before")
+
+
+def rating_deltas(history: DataFrame, bucket: str = "1 hour") -> DataFrame:
+    """Change of a file's rating against its previous analysis."""
+    out = previous_row(history, ["repo", "path"], "recorded_at", "seq", ["rating"], bucket)
+    return out.withColumn("previous", F.col("prev.rating")).withColumn("delta", F.col("rating") - F.col("previous")).drop("prev")
 
 
 def trend_bounds(trend: DataFrame) -> DataFrame:

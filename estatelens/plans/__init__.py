@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def catalogues() -> list:
-    from . import graph, records
+    from . import feeds, graph, records, texts
 
-    return [records.catalogue, graph.catalogue]
+    return [records.catalogue, texts.catalogue, feeds.catalogue, graph.catalogue]

@@ -114,6 +114,15 @@ PARTS = {
         ["corpus"],
         "SELECT path, language, unnest(range(1, len(t) + 1)) AS line, unnest(t) AS text FROM (SELECT path, language, string_split(content, chr(10)) AS t FROM corpus)",
     ),
+    "code_lines": (
+        ["lines"],
+        """SELECT path, line, CASE language WHEN 'en' THEN '// TODO ' WHEN 'fr' THEN '/* hack ' WHEN 'de' THEN 'throw new Error(''todo ' ELSE '' END || text AS text FROM lines""",
+    ),
+    "why_lines": (
+        ["lines"],
+        "SELECT path, line, CASE language WHEN 'en' THEN '// why: ' WHEN 'fr' THEN '//because: ' ELSE '' END || text AS text FROM lines",
+    ),
+    "calls": (["lines"], "SELECT path, line, replace(text, ' ', '( ') AS text FROM lines"),
     "cov": (
         ["files"],
         """SELECT path, CAST(l_suppkey AS INT) AS line, CAST(count(*) FILTER (l_linestatus = 'O') AS BIGINT) AS hits
