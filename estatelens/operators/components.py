@@ -8,99 +8,81 @@ from pyspark.sql import functions as F
 from ..session import Written, materialize
 from .traverse import number_graph
 
-TRIM_ROUNDS = 2
 
+def _trim(links: Written) -> Written:
+    """Drop edges from files nobody depends on and to files without dependencies, round by round.
 
-def _fixpoint_max(nodes: DataFrame, links: DataFrame) -> Written:
-    """Colour of each node: the greatest node that reaches it (itself included)."""
-    state = materialize(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("changed")), "colour")
-    while True:
-        # Only nodes whose colour changed in the last round have news for their neighbours.
-        pushed = (
-            links.join(state.df.filter("changed").select(F.col("node").alias("src"), "colour"), "src")
-            .groupBy(F.col("dst").alias("node"))
-            .agg(F.max("colour").alias("pushed"))
-        )
-        better = F.coalesce(F.col("pushed") > F.col("colour"), F.lit(False))
-        nxt = materialize(
-            state.df.join(pushed, "node", "left").select(
-                "node", F.when(better, F.col("pushed")).otherwise(F.col("colour")).alias("colour"), better.alias("changed")
-            ),
-            "colour",
-            where=F.col("changed"),
+    Such edges lie on no cycle. Stops when a round removes less than one edge in fifty: colouring
+    takes care of the rest.
+    """
+    while links.rows:
+        ins = links.df.select(F.col("dst").alias("src")).distinct()
+        outs = links.df.select(F.col("src").alias("dst")).distinct()
+        kept = materialize(links.df.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"), "scc")
+        removed = links.rows - kept.rows
+        links.drop()
+        links = kept
+        if removed * 50 < links.rows or not removed:
+            break
+    return links
+
+
+def _colours(links: DataFrame) -> Written:
+    """For each node the greatest node that reaches it (``fw``) and that it reaches (``bw``), itself included.
+
+    Both directions advance in the same round, and only values that changed are passed on.
+    """
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    start = nodes.select("node", F.col("node").alias("fw"), F.col("node").alias("bw"), F.lit(True).alias("df"), F.lit(True).alias("db"))
+    state = materialize(start, "colour", where=F.lit(True))
+    none = F.lit(None).cast("long")
+    while state.hits:
+        # Messages are reduced per receiver map-side, so a node with very many neighbours stays cheap.
+        fw = links.join(state.df.filter("df").select(F.col("node").alias("src"), F.col("fw").alias("f")), "src")
+        bw = links.join(state.df.filter("db").select(F.col("node").alias("dst"), F.col("bw").alias("b")), "dst")
+        news = (
+            fw.select(F.col("dst").alias("node"), "f", none.alias("b"))
+            .unionAll(bw.select(F.col("src").alias("node"), none.alias("f"), "b"))
+            .groupBy("node")
+            .agg(F.max("f").alias("f"), F.max("b").alias("b"))
         )
+        df, db = F.coalesce(F.col("f") > F.col("fw"), F.lit(False)), F.coalesce(F.col("b") > F.col("bw"), F.lit(False))
+        nxt = state.df.select("node", "fw", "bw").join(news, "node", "left")
+        nxt = nxt.select("node", F.greatest("fw", "f").alias("fw"), F.greatest("bw", "b").alias("bw"), df.alias("df"), db.alias("db"))
+        new = materialize(nxt, "colour", where=F.col("df") | F.col("db"))
         state.drop()
-        state = nxt
-        if not state.hits:
-            return state
-
-
-def _backward_members(colours: DataFrame, links: DataFrame) -> DataFrame:
-    """Nodes that reach the root of their colour without leaving the colour: one component each."""
-    c_src = colours.select(F.col("node").alias("src"), F.col("colour").alias("cs"))
-    c_dst = colours.select(F.col("node").alias("dst"), F.col("colour").alias("cd"))
-    same = materialize(links.join(c_src, "src").join(c_dst, "dst").filter("cs = cd").select("src", "dst", F.col("cs").alias("root")), "same")
-    frontier = colours.filter("node = colour").select("node", F.col("colour").alias("root"))
-    parts = [materialize(frontier, "members")]
-    spark = colours.sparkSession
-    while True:
-        seen = spark.read.schema(parts[0].df.schema).parquet(*[p.path for p in parts])
-        new = (
-            same.df.join(parts[-1].df.select(F.col("node").alias("dst")), "dst")
-            .select(F.col("src").alias("node"), "root")
-            .distinct()
-            .join(seen.select("node"), "node", "left_anti")
-        )
-        nxt = materialize(new, "members")
-        if nxt.rows == 0:
-            nxt.drop()
-            return spark.read.schema(parts[0].df.schema).parquet(*[p.path for p in parts])
-        parts.append(nxt)
+        state = new
+    return state
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Strongly connected component of every node that lies on a cycle.
 
     Output: path, component (its least member), size. A file that depends on itself is a cycle of
-    one. Rounds: trim nodes without in- or out-edges, colour every node with the greatest node that
-    reaches it, then collect backwards from each colour's root; repeat on what is left.
+    one. Edges outside any cycle are trimmed first. Nodes whose two colours agree form the component of that colour. Members of one component
+    share both colours, so every edge between different colours is dropped; the rest is coloured
+    again until no edge is left.
     """
     graph = number_graph(edges)
     links0 = graph.links.df.select("src", "dst")
     loops = links0.filter("src = dst").select(F.col("src").alias("node"))
     links = materialize(links0.filter("src <> dst"), "scc")
-    found: list[DataFrame] = []
-    while links.rows:
-        for _ in range(TRIM_ROUNDS):
-            ins = links.df.select(F.col("dst").alias("src")).distinct()
-            outs = links.df.select(F.col("src").alias("dst")).distinct()
-            kept = materialize(links.df.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"), "scc")
-            same = kept.rows == links.rows
-            links.drop()
-            links = kept
-            if same:
-                break
+    out = None
+    while True:
+        links = _trim(links)
         if not links.rows:
             break
-        nodes_left = links.df.select(F.col("src").alias("node")).union(links.df.select(F.col("dst").alias("node"))).distinct()
-        colours = _fixpoint_max(nodes_left, links.df)
-        members = _backward_members(colours.df, links.df)
+        colours = _colours(links.df)
+        members = colours.df.filter("fw = bw").select("node", F.col("fw").alias("root"))
         sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("component"))
-        found.append(members.join(sizes.filter("size > 1"), "root").select("node", "component", "size"))
-        done = members.select("node")
-        rest = links.df.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(
-            done.select(F.col("node").alias("dst")), "dst", "left_anti"
-        )
-        # Edges between different colours cannot lie on a cycle.
-        c_src = colours.df.select(F.col("node").alias("src"), F.col("colour").alias("cs"))
-        c_dst = colours.df.select(F.col("node").alias("dst"), F.col("colour").alias("cd"))
-        rest = rest.join(c_src, "src").join(c_dst, "dst").filter("cs = cd").select("src", "dst")
-        nxt = materialize(rest, "scc")
+        part = members.join(sizes.filter("size > 1"), "root").select("node", "component", "size")
+        out = part if out is None else out.unionByName(part)
+        open_nodes = colours.df.filter("fw <> bw").select("node", "fw", "bw")
+        s = open_nodes.select(F.col("node").alias("src"), "fw", "bw")
+        t = open_nodes.select(F.col("node").alias("dst"), "fw", "bw")
+        nxt = materialize(links.df.join(s, "src").join(t, ["dst", "fw", "bw"]).select("src", "dst"), "scc")
         links.drop()
         links = nxt
-    out = None
-    for f in found:
-        out = f if out is None else out.unionByName(f)
     single = loops.withColumn("component", F.col("node")).withColumn("size", F.lit(1).cast("long"))
     if out is None:
         out = single

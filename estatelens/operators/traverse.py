@@ -148,8 +148,8 @@ def reach(
     """Breadth-first levels from every root: (root, node, depth) with depth >= 1.
 
     A root on a cycle is reported with the length of its shortest cycle. Each round expands only
-    the newest level and drops pairs already seen. ``with_steps`` adds the shortest path from the
-    node to the root as an array; among equally short ones the least next node wins at every step.
+    the newest level and drops pairs already seen. ``with_steps`` adds the lexicographically first
+    shortest path as an array, in edge direction: node to root, or root to node when ``forward``.
     Returns the table and the number of rounds.
     """
     step = graph.dependencies if forward else graph.dependents
@@ -162,9 +162,9 @@ def reach(
         rounds += 1
         new = step(level, "at", "node")
         if with_steps:
-            new = new.groupBy("root", "node").agg(
-                F.min(F.struct("at", "steps"))["steps"].alias("steps")
-            ).withColumn("steps", F.array_prepend("steps", F.col("node")))
+            new = new.groupBy("root", "node").agg(F.min("steps").alias("steps"))
+            grow = F.array_append if forward else F.array_prepend
+            new = new.withColumn("steps", grow("steps", F.col("node")))
         else:
             new = new.select("root", "node").distinct()
         for old in _together(seen):
@@ -240,8 +240,8 @@ def transitive_dependents(edges: DataFrame, nodes: DataFrame, roots: DataFrame)
 def shortest_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, forward_only: bool = False) -> DataFrame:
     """Shortest dependency path of each (source, target) pair, else the path the other way round.
 
-    Levels grow backwards from all targets at once and carry the path; taking the least next node
-    at every step gives the lexicographically first shortest path. Output: source, target, direction (forward / reverse / none), path (array
+    Levels grow over all pairs at once and carry the path; the least path per file is kept, so the
+    result is the lexicographically first shortest path. Output: source, target, direction (forward / reverse / none), path (array
     of ids), length (hops) and bottlenecks (files rated below 6).
     """
     pairs = pairs.select("source", "target").distinct()
@@ -279,8 +279,14 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, forward
 
 
 def _trace(graph: NumberedGraph, pairs: DataFrame) -> DataFrame:
-    """Forward shortest paths of numbered pairs: (s, t, steps)."""
-    found, _ = reach(graph, pairs.select(F.col("t").alias("root")).distinct(), with_steps=True)
-    paths = found.select(F.col("root").alias("t"), F.col("node").alias("s"), "steps")
+    """Shortest paths of numbered pairs along the edges: (s, t, steps).
+
+    Levels start from whichever side has fewer distinct files.
+    """
+    n = pairs.agg(F.count_distinct("s").alias("s"), F.count_distinct("t").alias("t")).first()
+    forward = n["s"] < n["t"]
+    a, b = ("s", "t") if forward else ("t", "s")
+    found, _ = reach(graph, pairs.select(F.col(a).alias("root")).distinct(), forward=forward, with_steps=True)
+    paths = found.select(F.col("root").alias(a), F.col("node").alias(b), "steps")
     trivial = pairs.filter("s = t").select("s", "t", F.array("s").alias("steps"))
     return pairs.filter("s <> t").join(paths, ["s", "t"]).select("s", "t", "steps").unionByName(trivial)
