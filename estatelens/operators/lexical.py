@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -12,9 +12,9 @@ from .filters import is_test_path
 from .joins import RELATION_SUFFIXES, resolve_imports
 
 
-def strip(column: str):
+def strip(text: Column | str) -> Column:
     """Trim all white space, not only blanks."""
-    return F.btrim(F.col(column), F.lit(" \t\r\n\f\u000b"))
+    return F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(" \t\r\n\f\u000b"))
 
 
 def explode_lines(corpus: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def csharp_violations(corpus: DataFrame) -> DataFrame:
             F.lit(" methods — consider splitting responsibilities (Single Responsibility Principle)"),
         ).alias("message"),
     )
-    params = F.filter(F.split("args", ","), lambda p: F.trim(p) != "")
+    params = F.filter(F.split("args", ","), lambda p: strip(p) != "")
     coupled = (
         cs.select("path", F.explode(F.regexp_extract_all(c, F.lit(RT.CS_CONSTRUCTOR), 1)).alias("args"))
         .withColumn("n", F.size(params))
@@ -192,15 +192,15 @@ def referenced_types(corpus: DataFrame) -> DataFrame:
     modifiers = "public|private|protected|internal|static|virtual|override|abstract|async"
     generic = r"[A-Z]\w+(?:<[^>]+>)?"
     grab = lambda p, g=1: F.regexp_extract_all("code", F.lit(p), g)
-    plain = lambda a: F.transform(a, lambda s: F.trim(F.regexp_replace(s, "<.*>$", "")))
+    plain = lambda a: F.transform(a, lambda s: strip(F.regexp_replace(s, "<.*>$", "")))
     bases = F.flatten(F.transform(grab(r"\b(?:class|struct|record)\s+\w+(?:<[^>]+>)?\s*:\s*([^{]+)"), lambda s: F.split(s, ",")))
-    bases = F.transform(bases, lambda s: F.trim(F.regexp_replace(F.substring_index(F.regexp_replace(F.trim(s), r"<.*>$", ""), ".", -1), r"(?s)\s+where\s+.*", "")))
+    bases = F.transform(bases, lambda s: strip(F.regexp_replace(F.substring_index(F.regexp_replace(strip(s), r"<.*>$", ""), ".", -1), r"(?s)\s+where\s+.*", "")))
     field = grab(rf"\b(?:{modifiers}|readonly)\s+(?:(?:static|readonly|virtual|override|abstract|async)\s+)*({generic})\s+\w+\s*[{{;=,)]")
     args = F.flatten(F.transform(field, lambda s: F.split(F.regexp_extract(s, "<(.+)>", 1), ",")))
     method = rf"\b(?:{modifiers})\s+(?:(?:static|virtual|override|abstract|async)\s+)*({generic})\s+\w+\s*\(([^)]*)\)"
     params = F.flatten(F.transform(grab(method, 2), lambda s: F.regexp_extract_all(s, F.lit(rf"({generic})\s+\w+"), 1)))
     used = F.concat(
-        plain(field), plain(F.transform(args, lambda s: F.trim(s))), plain(grab(method)), plain(params),
+        plain(field), plain(F.transform(args, lambda s: strip(s))), plain(grab(method)), plain(params),
         grab(r"new\s+([A-Z]\w+)\s*[(<{]"), grab(r"\b(?:typeof|nameof|as|is)\s*\(?\s*([A-Z]\w+)"), grab(r"\[\s*([A-Z]\w+)\s*(?:\(|])"),
     )
     builtin = F.array(*[F.lit(t) for t in RT.BUILTIN_TYPES])
@@ -239,7 +239,7 @@ def why_comments(corpus: DataFrame) -> DataFrame:
         (above + newlines(F.substring("piece", F.lit(1), start - 1)) + 1).alias("line"),
         F.substring("piece", start + 3, F.length("piece")).alias("inner"),
     )
-    cleaned = F.transform(F.split("inner", "\n", -1), lambda s: F.trim(F.regexp_replace(s, r"^\s*\*\s?", "")))
+    cleaned = F.transform(F.split("inner", "\n", -1), lambda s: strip(F.regexp_replace(s, r"^\s*\*\s?", "")))
     summary = F.try_element_at(F.filter(cleaned, lambda s: (F.length(s) > 10) & ~F.startswith(s, F.lit("@"))), F.lit(1))
     doc = at.withColumn("summary", summary).filter("summary IS NOT NULL").select(
         F.concat_ws(":", "path", F.col("line").cast("string"), F.lit("jsdoc")).alias("id"),
@@ -284,8 +284,8 @@ def imported_names(corpus: DataFrame, listing: DataFrame) -> DataFrame:
     s = corpus.filter("language <> 'csharp'").select(F.col("path").alias("source"), stmt)
     clause = F.regexp_replace(F.regexp_extract("stmt", r"(?s)^(.*?)\s+from\s*['\"]", 1), r"^type\s+", "")
     braces = F.regexp_extract(clause, r"(?s)\{(.*)\}", 1)
-    listed = F.transform(F.split(braces, ","), lambda x: F.regexp_extract(F.trim(x), r"(?:.*\s)?([\w$]+)$", 1))
-    outside = F.trim(F.regexp_replace(clause, r"(?s)\{.*\}", ""))
+    listed = F.transform(F.split(braces, ","), lambda x: F.regexp_extract(strip(x), r"(?:.*\s)?([\w$]+)$", 1))
+    outside = strip(F.regexp_replace(clause, r"(?s)\{.*\}", ""))
     default = F.regexp_extract(outside, r"^([\w$]+)", 1)
     star = F.regexp_extract(outside, r"\*\s+as\s+([\w$]+)", 1)
     names = F.filter(F.concat(F.array(default, star), listed), lambda x: x != "")
@@ -323,7 +323,7 @@ def enriched_relations(corpus: DataFrame, listing: DataFrame) -> DataFrame:
         F.explode(
             F.concat(
                 F.array(F.struct(F.lit("CLASS_EXTENDS").alias("rel_type"), F.lit(" extends ").alias("verb"), base.alias("name"))),
-                F.transform(impl, lambda x: F.struct(F.lit("IMPLEMENTS").alias("rel_type"), F.lit(" implements ").alias("verb"), F.regexp_extract(F.trim(x), r"^([\w$]+)", 1).alias("name"))),
+                F.transform(impl, lambda x: F.struct(F.lit("IMPLEMENTS").alias("rel_type"), F.lit(" implements ").alias("verb"), F.regexp_extract(strip(x), r"^([\w$]+)", 1).alias("name"))),
             )
         ).alias("h"),
     ).select("source", "cls", "h.*")
@@ -346,7 +346,10 @@ def react_violations(corpus: DataFrame) -> DataFrame:
     many = hooks.filter(F.size("hooks") > 7).select(
         "path", F.lit("hook_overload").alias("type"), F.lit("warning").alias("severity"), F.size("hooks").alias("n"), F.lit("").alias("detail")
     )
-    twice = F.array_distinct(F.filter("hooks", lambda h: F.size(F.filter(F.col("hooks"), lambda g: g == h)) > 1))
+    # Equal names are neighbours once sorted.
+    ordered = F.array_sort("hooks")
+    pairs = F.zip_with(ordered, F.slice(ordered, 2, F.size("hooks")), lambda x, y: F.when(x == y, x))
+    twice = F.array_distinct(F.array_compact(pairs))
     again = hooks.withColumn("twice", twice).filter(F.size("twice") > 0).select(
         "path", F.lit("duplicate_hooks").alias("type"), F.lit("warning").alias("severity"), F.size("twice").alias("n"), F.array_join("twice", ", ").alias("detail")
     )

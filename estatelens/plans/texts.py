@@ -123,19 +123,87 @@ def _(t):
     return LX.why_comments(code).filter("id LIKE '%:why'").select("file", "line", "text")
 
 
-@add("react_scan")
+def _line_texts(t, content, language: str):
+    """One short source text per order line, built from its columns."""
+    lines = t.raw("lineitem").withColumn("key", F.concat_ws("_", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.col("l_quantity").cast("int").cast("string")))
+    return lines.select(F.concat(F.lit("/w/"), "key").alias("path"), F.lit(language).alias("language"), content.alias("content")).distinct()
+
+
+_KEY = "'/w/' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || CAST(l_quantity AS INT)"
+_LINES = f"WITH l AS (SELECT DISTINCT {_KEY} AS path, CAST(l_quantity AS INT) AS q, l_linenumber AS n, l_returnflag AS f, l_partkey AS p, l_suppkey AS s FROM lineitem)"
+
+
+@add(
+    "react_scan",
+    f"""{_LINES} SELECT path, 'inline_handler' AS type, 'info' AS severity, 1 AS n, '' AS detail FROM l WHERE f = 'R'
+    UNION ALL SELECT path, 'hook_overload', 'warning', q + 1, '' FROM l WHERE q + 1 > 7
+    UNION ALL SELECT path, 'duplicate_hooks', 'warning', 1, 'useQuantity' FROM l WHERE q > 1""",
+)
 def _(t):
-    return LX.react_violations(t.corpus.withColumn("language", F.lit("tsx")))
+    q = F.col("l_quantity").cast("int")
+    handler = F.when(F.col("l_returnflag") == "R", "onClick={() => go()}").otherwise("onClick={go}")
+    content = F.concat(F.lit("const C = () => { useOrder(); "), F.repeat(F.lit("useQuantity(); "), q), F.lit("return <a "), handler, F.lit(" /> }"))
+    return LX.react_violations(_line_texts(t, content, "tsx"))
 
 
-@add("csharp_scan")
+@add(
+    "csharp_scan",
+    f"""{_LINES} SELECT path, 'god_class' AS type, 'warning' AS severity, 1 AS occurrences, 'Class has ' || (q + 1) || ' methods — consider splitting responsibilities (Single Responsibility Principle)' AS message FROM l WHERE q + 1 > 20
+    UNION ALL SELECT path, 'tight_coupling', 'warning', 1, 'Constructor has ' || n || ' parameters — consider using a configuration object or DI container' FROM l WHERE n > 5
+    UNION ALL SELECT path, 'magic_number', 'info', 1, 'Magic number ' || s || ' — extract to a named constant' FROM l WHERE s >= 10
+    UNION ALL SELECT path, 'empty_catch', 'error', 1, 'Empty catch block silently swallows exceptions' FROM l WHERE f = 'A'""",
+)
 def _(t):
-    return LX.csharp_violations(t.corpus.withColumn("language", F.lit("csharp")))
+    q = F.col("l_quantity").cast("int")
+    params = F.array_join(F.transform(F.sequence(F.lit(1), F.col("l_linenumber").cast("int")), lambda i: F.concat(F.lit("int a"), i.cast("string"))), ", ")
+    silent = F.when(F.col("l_returnflag") == "A", "try { F(); } catch (Exception e) { }").otherwise("F();")
+    content = F.concat(
+        F.lit("class Line {\n  public Line("), params, F.lit(") { x = "), F.col("l_suppkey").cast("string"), F.lit("; }\n"),
+        F.repeat(F.lit("  private void M() { }\n"), q), F.lit("  public int Run() { "), silent, F.lit(" }\n}"),
+    )
+    return LX.csharp_violations(_line_texts(t, content, "csharp"))
+
 
+@add(
+    "type_references",
+    f"""{_LINES} SELECT path, 'Part' || p AS type_name FROM l UNION ALL SELECT path, 'Supplier' || s FROM l""",
+)
+def _(t):
+    part, supp = F.concat(F.lit("Part"), F.col("l_partkey").cast("string")), F.concat(F.lit("Supplier"), F.col("l_suppkey").cast("string"))
+    content = F.concat(F.lit("public class Line : "), part, F.lit("\n{\n  private List<"), supp, F.lit("> all;\n  public Line Make() { return new "), supp, F.lit("(); }\n}"))
+    return LX.referenced_types(_line_texts(t, content, "csharp"))
 
-@add("type_references")
+
+def _edge_texts(t):
+    """One short module per dependency edge that imports and uses its target."""
+    name = lambda c: F.regexp_extract(c, r"(part_\d+)\.", 1)
+    e = t.local.select(name(F.col("source")).alias("a"), name(F.col("target")).alias("b"), "type")
+    use = F.when(F.col("type") == "import", F.concat("b", F.lit(".run()"))).otherwise(F.concat(F.lit("class Child extends "), "b", F.lit(" {}")))
+    content = F.concat(F.lit("import { "), "b", F.lit(" } from '../b/"), "b", F.lit("';\n"), use, F.lit("\n"))
+    return e.select(F.concat(F.lit("/w/a/"), "a", F.lit("_to_"), "b", F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), content.alias("content"), "b")
+
+
+_EDGE = """, e AS (SELECT regexp_extract(source, '(part_[0-9]+)[.]', 1) AS a, regexp_extract(target, '(part_[0-9]+)[.]', 1) AS b, type FROM local)"""
+
+
+@add("extract_imports", with_parts(_EDGE + " SELECT '/w/a/' || a || '_to_' || b || '.ts' AS source, 0 AS i, '../b/' || b AS spec, 'import' AS type FROM e", "local"))
+def _(t):
+    return LX.extract_imports(_edge_texts(t))
+
+
+@add(
+    "enriched_relations",
+    with_parts(
+        _EDGE
+        + """ SELECT '/w/a/' || a || '_to_' || b || '.ts' AS source, '/w/b/' || b || '.ts' AS target, CASE type WHEN 'import' THEN 'FUNCTION_CALL' ELSE 'CLASS_EXTENDS' END AS type, 'EXTRACTED' AS confidence,
+        CASE type WHEN 'import' THEN 2.0 ELSE 3.0 END::DOUBLE AS weight, CASE type WHEN 'import' THEN 'calls ' || b || ' (first at line 2)' ELSE 'Child extends ' || b END AS rationale FROM e""",
+        "local",
+    ),
+)
 def _(t):
-    return LX.referenced_types(t.corpus.withColumn("language", F.lit("csharp")))
+    c = _edge_texts(t)
+    listing = t.files.select(F.concat(F.lit("/w/b/part_"), F.col("part").cast("string"), F.lit(".ts")).alias("path"))
+    return LX.enriched_relations(c, listing)
 
 
 @add(

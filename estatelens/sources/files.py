@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from ..functions import paths as P
 from ..rules import tables as RT
 
 SOURCE_GLOB = "*.{ts,tsx,js,jsx,cs}"
+SOURCE_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".cs")
 # Where a project keeps its coverage report, in order of preference.
 LCOV_LOCATIONS = ["coverage/lcov.info", "coverage/lcov-report/lcov.info", "lcov.info", ".coverage/lcov.info"]
 IGNORE_FILE = ".graphifyignore"
@@ -25,20 +27,62 @@ def _outside(rel, skip: list[str], dot_dirs: bool):
     return ~bad
 
 
-def scan_tree(spark: SparkSession, root: str, listing_only: bool = False) -> DataFrame:
-    """Supported source files below ``root``: path, language, mtime, size, content and sha1.
+def _unlisted(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """Folders and files Spark's readers pass over: names that begin with ``_`` or a dot.
 
-    Skips build and dot folders. With ``listing_only`` the contents are not read.
+    Source trees have them (``__tests__``, ``_app.tsx``), so they are named explicitly. Found by
+    globbing level by level until no folder is left.
     """
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    glob = lambda pattern: fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []
+    folders, files, level = [], [], root.rstrip("/")
+    while True:
+        for name in ("_*", ".*"):
+            for status in glob(f"{level}/{name}"):
+                (folders if status.isDirectory() else files).append(status.getPath().toString())
+        level += "/*"
+        if not any(s.isDirectory() for s in glob(level)):
+            return folders, [f for f in files if f.endswith(SOURCE_SUFFIXES)]
+
+
+def _read_named(batches):
+    """Read listed files in the task that holds their names."""
+    from pyarrow import fs
+
+    for batch in batches:
+        rows = []
+        for path in batch["path"]:
+            files, name = fs.FileSystem.from_uri(path)
+            info = files.get_file_info(name)
+            with files.open_input_stream(name) as stream:
+                rows.append((path, info.mtime, info.size, stream.read()))
+        yield pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
+
+
+def _source_files(spark: SparkSession, root: str, skip: list[str], dot_dirs: bool) -> DataFrame:
+    folders, named = _unlisted(spark, root)
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", SOURCE_GLOB)
-        .load(root)
+        .load([root, *folders])
     )
+    if named:
+        listed = spark.createDataFrame([(n,) for n in named], "path string")
+        extra = listed.repartition(min(len(named), 64)).mapInPandas(_read_named, raw.schema)
+        raw = raw.unionByName(extra)
     path = _plain(F.col("path"))
     rel = P.relative_path(F.lit(root.rstrip("/")), path)
-    out = raw.withColumn("path", path).filter(_outside(rel, RT.SCAN_SKIP_DIRS, True))
+    return raw.withColumn("path", path).filter(_outside(rel, skip, dot_dirs))
+
+
+def scan_tree(spark: SparkSession, root: str, listing_only: bool = False) -> DataFrame:
+    """Supported source files below ``root``: path, language, mtime, size, content and sha1.
+
+    Skips build and dot folders. With ``listing_only`` the contents are not read.
+    """
+    out = _source_files(spark, root, RT.SCAN_SKIP_DIRS, True)
     cols = [F.lit(root).alias("root"), F.col("path"), P.language_of("path").alias("language"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")]
     if listing_only:
         return out.select(*cols)
@@ -47,10 +91,7 @@ def scan_tree(spark: SparkSession, root: str, listing_only: bool = False) -> Dat
 
 def health_files(spark: SparkSession, root: str, max_files: int = 200) -> DataFrame:
     """Files of the health report: another skip list (dot folders stay) and the first ``max_files`` paths."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SOURCE_GLOB).load(root)
-    path = _plain(F.col("path"))
-    rel = P.relative_path(F.lit(root.rstrip("/")), path)
-    return raw.select(path.alias("path")).filter(_outside(rel, RT.HEALTH_SKIP_DIRS, False)).orderBy("path").limit(max_files)
+    return _source_files(spark, root, RT.HEALTH_SKIP_DIRS, False).select("path").orderBy("path").limit(max_files)
 
 
 def parse_lcov(records: DataFrame) -> dict[str, DataFrame]:
