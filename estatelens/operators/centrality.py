@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Written, materialize
 from .traverse import NumberedGraph, number_graph
+from .windows import position_in_group
 
 ADJACENCY_CHUNK = 1000
 
@@ -48,18 +49,12 @@ def most_connected(edges: DataFrame, limit: int = 10) -> DataFrame:
 def centrality_rank(ranked: DataFrame, files: DataFrame) -> DataFrame:
     """1-based position of files in the ranking by (total degree, path).
 
-    Counts come from the degree histogram (one row per distinct degree) plus the position among
-    equals, so no global window is needed.
+    The files above come from the degree histogram (one row per distinct degree), the place among
+    equals from ``position_in_group``, so no window spans a whole repository.
     """
     hist = ranked.groupBy("repo", "total_degree").agg(F.count(F.lit(1)).alias("n"))
-    above = (
-        hist.alias("h")
-        .join(hist.alias("g"), (F.col("h.repo") == F.col("g.repo")) & (F.col("g.total_degree") > F.col("h.total_degree")), "left")
-        .groupBy("h.repo", "h.total_degree")
-        .agg(F.coalesce(F.sum("g.n"), F.lit(0)).alias("above"))
-    )
-    from ..operators.windows import position_in_group
-
+    before = Window.partitionBy("repo").orderBy(F.desc("total_degree")).rowsBetween(Window.unboundedPreceding, -1)
+    above = hist.select("repo", "total_degree", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above"))
     placed = position_in_group(ranked, ["repo", "total_degree"], "path", "place")
     return (
         placed.join(above, ["repo", "total_degree"])

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rating as R
+from ..session import materialize
 from .traverse import FRAGILE, impact_set
 
 
-def _counts(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+def _counts(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int, hit: DataFrame | None = None) -> DataFrame:
     """Impact totals of each root, zero where nothing depends on it, with the root's own rating."""
     roots = roots.select("root").distinct()
-    hit = impact_set(edges, nodes, roots, depth)
+    hit = impact_set(edges, nodes, roots, depth) if hit is None else hit
     direct = F.col("severity") == "direct"
     agg = hit.groupBy("root").agg(
         F.count(F.lit(1)).alias("affected"),
@@ -56,10 +57,9 @@ def impact_verdicts(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth:
 
 def edit_safety(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Go / warn / block before an edit, looking three hops deep, with advice."""
-    from pyspark.sql import Window
-
     roots = roots.select("root").distinct()
-    c = _counts(edges, nodes, roots, 3)
+    hit = materialize(impact_set(edges, nodes, roots, 3), "impact").df
+    c = _counts(edges, nodes, roots, 3, hit)
     f, d, a = F.col("fragile"), F.col("direct_fragile"), F.col("affected")
     verdict = F.when((f == 0) & (a < 5), "safe").when((d >= 3) | (f >= 5), "block").otherwise("warn")
     say = lambda *x: F.concat(*[F.lit(i) if isinstance(i, str) else i.cast("string") for i in x])
@@ -68,7 +68,7 @@ def edit_safety(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFra
         .when(F.col("verdict") == "block", say(f, " fragile dependents (", d, " direct). High risk of cascading failures."))
         .otherwise(say(f, " fragile dependent(s) — verify after change."))
     )
-    hit = impact_set(edges, nodes, roots, 3).filter("fragile")
+    hit = hit.filter("fragile")
     w = Window.partitionBy("root").orderBy("depth", "rating", "path")
     first = hit.withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
     names = first.groupBy("root").agg(

@@ -63,15 +63,21 @@ def trend_direction(history: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def position_in_group(df: DataFrame, group: list[str], order: str, name: str) -> DataFrame:
-    """1-based position of each row in its group.
+def _slices(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Rows range-partitioned by (group, order), with the slice number ``_p``.
 
-    A group may hold a large share of all rows, so rows are range-partitioned by (group, order):
-    each slice of a group is numbered on its own and shifted by the counts of the slices before it.
+    A group that holds a large share of all rows is cut into several slices this way. Written once,
+    because range bounds are sampled and must not be drawn twice.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in group], F.col(order)).withColumn("_p", F.spark_partition_id())
-    cut = materialize(ranged, "slices").df
-    w = Window.partitionBy(*group, "_p").orderBy(order)
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*group, *order]])
+    return materialize(ranged.withColumn("_p", F.spark_partition_id()), "slices").df
+
+
+def position_in_group(df: DataFrame, group: list[str], order: list[str] | str, name: str) -> DataFrame:
+    """1-based position of each row in its group: numbered per slice, shifted by the slices before."""
+    order = [order] if isinstance(order, str) else order
+    cut = _slices(df, group, order)
+    w = Window.partitionBy(*group, "_p").orderBy(*order)
     counts = cut.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select(*group, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
@@ -83,19 +89,34 @@ def position_in_group(df: DataFrame, group: list[str], order: str, name: str) ->
     )
 
 
+def next_in_group(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Value of the next row of the group: inside a slice, else the first value of the next slice."""
+    cut = _slices(df, group, order)
+    inside = F.lead(value).over(Window.partitionBy(*group, "_p").orderBy(*order))
+    first = cut.groupBy(*group, "_p").agg(F.min_by(value, F.struct(*order)).alias("_f"))
+    after = first.select(*group, "_p", F.lead("_f").over(Window.partitionBy(*group).orderBy("_p")).alias("_after"))
+    # Only groups cut into several slices have a next slice; usually none or few.
+    after = after.filter("_after IS NOT NULL")
+    out = cut.withColumn("_in", inside).join(after, [*group, "_p"], "left")
+    return out.withColumn(name, F.coalesce("_in", "_after")).drop("_p", "_in", "_after")
+
+
 def uncovered_ranges(lines: DataFrame, shown: int = 10) -> DataFrame:
     """Uncovered line numbers as text such as ``1-3, 5`` with the number of ranges left out.
 
-    Range starts and ends are the lines without a neighbour before or after them (hash joins on
-    (path, line)); the i-th start belongs to the i-th end. No file's lines are gathered in one task.
+    Range starts and ends are the lines without a neighbour before or after them; the i-th start
+    belongs to the i-th end. No file's lines are gathered in one task.
     Input: (path, line), already only the uncovered ones.
     """
-    u = lines.select("path", "line").distinct()
-    starts = u.join(u.select("path", (F.col("line") + 1).alias("line")), ["path", "line"], "left_anti")
-    ends = u.join(u.select("path", (F.col("line") - 1).alias("line")), ["path", "line"], "left_anti")
+    # Each line tells itself and both neighbours that it exists: one shuffle on (path, line).
+    told = F.array(*[F.struct((F.col("line") + d).alias("line"), F.lit(d).alias("d")) for d in (0, 1, -1)])
+    marks = lines.select("path", F.explode(told).alias("m")).groupBy("path", F.col("m.line").alias("line")).agg(
+        *[F.max(F.col("m.d") == d).alias(c) for d, c in ((0, "here"), (1, "has_prev"), (-1, "has_next"))]
+    )
+    marks = materialize(marks.filter("here").drop("here"), "ranges").df
     w = Window.partitionBy("path").orderBy("line")
-    top = lambda d, c: d.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= shown).withColumnRenamed("line", c)
-    first = top(starts, "a").join(top(ends, "b"), ["path", "rn"])
+    top = lambda cond, c: marks.filter(cond).select("path", F.col("line").alias(c), F.row_number().over(w).alias("rn")).filter(F.col("rn") <= shown)
+    first = top("NOT has_prev", "a").join(top("NOT has_next", "b"), ["path", "rn"])
     item = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(
         F.concat(F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string"))
     )
@@ -104,12 +125,11 @@ def uncovered_ranges(lines: DataFrame, shown: int = 10) -> DataFrame:
             F.transform(F.array_sort(F.collect_list(F.struct("rn", item.alias("t")))), lambda x: x["t"]), ", "
         ).alias("ranges")
     )
-    n_ranges = starts.groupBy("path").agg(F.count(F.lit(1)).alias("n_ranges"))
-    n_lines = u.groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
+    counts = marks.groupBy("path").agg(F.count_if(~F.col("has_prev")).alias("n_ranges"), F.count(F.lit(1)).alias("n_lines"))
     more = F.when(
         F.col("n_ranges") > shown, F.concat(F.lit(" (+"), (F.col("n_ranges") - shown).cast("string"), F.lit(" more)"))
     ).otherwise("")
-    return text.join(n_ranges, "path").join(n_lines, "path").select(
+    return text.join(counts, "path").select(
         "path", "n_lines", "n_ranges", F.concat("ranges", more).alias("ranges")
     )
 

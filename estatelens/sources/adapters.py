@@ -7,10 +7,11 @@ own dependency graph; splitting that chain by return flag as well gives a sparse
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rating as R
+from ..operators.windows import next_in_group, position_in_group
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
@@ -142,9 +143,9 @@ def raw_dependencies(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = (
     """
     f = files(spark, sf_dir).select("part", "repo", "path")
     lines = table(spark, sf_dir, "lineitem").join(f, F.col("l_partkey") == F.col("part"))
-    w = Window.partitionBy("l_orderkey", *keys).orderBy(*LINE_ORDER)
+    lines = lines.select("repo", "path", "l_orderkey", "l_returnflag", "l_linestatus", *LINE_ORDER)
     return (
-        lines.withColumn("target", F.lead("path").over(w))
+        next_in_group(lines, ["l_orderkey", *keys], LINE_ORDER, "path", "target")
         .filter(F.col("target").isNotNull() & (F.col("target") != F.col("path")))
         .select(
             "repo",
@@ -154,7 +155,6 @@ def raw_dependencies(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = (
             F.col("l_linenumber").cast("double").alias("weight"),
             F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("pos"),
             "l_linestatus",
-            "l_shipdate",
         )
     )
 
@@ -274,10 +274,10 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempt log: the lines of an order are the attempts on its queue item."""
-    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_discount", *LINE_ORDER)
+    return position_in_group(lines, ["l_orderkey"], LINE_ORDER, "attempt").select(
         F.col("l_orderkey").alias("queue_id"),
-        F.row_number().over(w).alias("attempt"),
+        "attempt",
         (F.col("l_quantity") / 5).alias("rating_before"),
         F.when(F.col("l_returnflag") != "N", F.col("l_quantity") / 5 + F.col("l_discount") * 10).alias("rating_after"),
         F.col("l_suppkey").cast("long").alias("violations_fixed"),

@@ -53,23 +53,23 @@ def gate_feed(analyses: DataFrame, gates: DataFrame, default: float = 6.5) -> Da
 def change_batches(changes: DataFrame, gap: str = "1 second", late: str = "10 minutes") -> DataFrame:
     """Debounced change batches per repository: a quiet gap closes a batch.
 
-    Spark merges overlapping sessions map-side before the shuffle, and a session's state holds
-    counts and times, not rows, so a busy repository stays small.
+    The streaming form keeps one open session per repository with counts and times, not rows. The
+    batch form finds the batch starts by time buckets, so a busy repository is not one task.
     """
-    events = changes.withWatermark("ts", late) if changes.isStreaming else changes
-    return (
-        events.groupBy(F.session_window("ts", gap).alias("w"), "repo")
-        .agg(F.count(F.lit(1)).alias("changes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-        .select("repo", "first_ts", "last_ts", "changes")
-    )
+    totals = (F.count(F.lit(1)).alias("changes"), F.max("ts").alias("last_ts"))
+    if changes.isStreaming:
+        w = F.session_window("ts", gap).alias("w")
+        out = changes.withWatermark("ts", late).groupBy(w, "repo").agg(F.min("ts").alias("first_ts"), *totals)
+    else:
+        out = _batch_starts(changes, gap).groupBy("repo", "first_ts").agg(*totals)
+    return out.select("repo", "first_ts", "last_ts", "changes")
 
 
-def batch_members(changes: DataFrame, gap: str, bucket: str = "1 hour") -> DataFrame:
-    """Distinct paths of each debounced batch as rows (repo, first_ts, path), from a table of changes.
+def _batch_starts(changes: DataFrame, gap: str, bucket: str = "1 hour") -> DataFrame:
+    """Changes with the first time of their debounced batch.
 
     A batch starts where the gap to the change before it is long enough; every change belongs to
-    the latest start. Starts are carried forward by time buckets, so no range join is needed and a
-    busy repository is not one task.
+    the latest start. Starts are carried forward from bucket to bucket.
     """
     p = previous_row(changes, ["repo"], "ts", "seq", ["ts"], bucket)
     opens = F.col("prev").isNull() | (F.col("ts") >= F.col("prev.ts") + F.expr(f"INTERVAL {gap}"))
@@ -78,7 +78,12 @@ def batch_members(changes: DataFrame, gap: str, bucket: str = "1 hour") -> DataF
     earlier = Window.partitionBy("repo").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = p.groupBy("repo", "_b").agg(F.max("_s").alias("_m")).select("repo", "_b", F.max("_m").over(earlier).alias("_c"))
     first = F.coalesce(F.max("_s").over(so_far), F.col("_c")).alias("first_ts")
-    return p.join(carried, ["repo", "_b"]).select("repo", first, "path").distinct()
+    return p.join(carried, ["repo", "_b"]).select("repo", "path", "ts", "seq", first)
+
+
+def batch_members(changes: DataFrame, gap: str) -> DataFrame:
+    """Distinct paths of each debounced batch as rows (repo, first_ts, path), from a table of changes."""
+    return _batch_starts(changes, gap).select("repo", "first_ts", "path").distinct()
 
 
 def detect_changes(before: DataFrame, after: DataFrame) -> DataFrame:
