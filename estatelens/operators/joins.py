@@ -58,22 +58,26 @@ def match_coverage(files: DataFrame, coverage: DataFrame) -> DataFrame:
     return exact.select("path", "cov_path").unionByName(near)
 
 
+def _with_parts(files: DataFrame) -> DataFrame:
+    """Folder, stem, extension and project-relative folder of each path, computed once."""
+    f = files.select("path", "root", P.dirname("path").alias("folder"), P.basename("path").alias("name"), P.extension("path").alias("ext"))
+    rel = P.relative_path(F.col("root"), F.col("folder"))
+    stem = F.substring("name", F.lit(1), F.length("name") - F.length("ext"))
+    return f.withColumn("stem", stem).withColumn("side", F.when(F.col("folder") == F.col("root"), "").otherwise(F.concat(F.lit("/"), rel)))
+
+
 def _test_candidates():
     """Candidate test paths of a source file in order of preference, as an array column."""
-    base_ext = P.extension("path")
-    folder, name = P.dirname("path"), P.basename("path")
-    stem = F.substring(name, F.lit(1), F.length(name) - F.length(base_ext))
-    exts = [base_ext, *[F.lit(e) for e in (".ts", ".tsx", ".js", ".jsx")]]
-    join = lambda *x: F.concat(*x)
-    sibling = [join(folder, F.lit("/"), stem, F.lit(s), e) for s in (".test", ".spec") for e in exts]
-    cs = [
-        F.when(base_ext == ".cs", join(folder, F.lit("/"), stem, F.lit(s), base_ext)) for s in ("Test", "Tests", ".Test", ".Tests")
-    ]
-    inner = [join(folder, F.lit("/__tests__/"), stem, F.lit(s), e) for s in ("", ".test", ".spec") for e in exts]
-    rel = P.relative_path(F.col("root"), folder)
-    side = F.when(rel == "", F.lit("")).otherwise(F.concat(F.lit("/"), rel))
+    ext = F.col("ext")
+    exts = [ext, *[F.lit(e) for e in (".ts", ".tsx", ".js", ".jsx")]]
+    place = lambda folder, s, e: F.concat(folder, F.lit("/"), F.col("stem"), F.lit(s), e)
+    folder = F.col("folder")
+    sibling = [place(folder, s, e) for s in (".test", ".spec") for e in exts]
+    cs = [F.when(ext == ".cs", place(folder, s, ext)) for s in ("Test", "Tests", ".Test", ".Tests")]
+    near = F.concat(folder, F.lit("/__tests__"))
+    inner = [place(near, s, e) for s in ("", ".test", ".spec") for e in exts]
     parallel = [
-        join(F.col("root"), F.lit(f"/{d}"), side, F.lit("/"), stem, F.lit(s), e)
+        place(F.concat("root", F.lit(f"/{d}"), "side"), s, e)
         for d in ("tests", "test", "__tests__")
         for s in ("", ".test", ".spec")
         for e in exts
@@ -83,7 +87,7 @@ def _test_candidates():
 
 def pair_tests(files: DataFrame, listing: DataFrame) -> DataFrame:
     """Test file of each source file, null where none exists; ``files``: (path, root)."""
-    tried = files.select("path", F.posexplode(_test_candidates()).alias("priority", "candidate")).filter(
+    tried = _with_parts(files).select("path", F.posexplode(_test_candidates()).alias("priority", "candidate")).filter(
         F.col("candidate").isNotNull()
     )
     hit = tried.join(listing.select(F.col("path").alias("candidate")).distinct(), "candidate")

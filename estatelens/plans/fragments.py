@@ -167,6 +167,15 @@ PARTS = {
         ["sparse"],
         "SELECT source AS a, target AS b FROM sparse UNION SELECT r.a, e.target FROM closure_sparse r JOIN sparse e ON e.source = r.b",
     ),
+    "closure_local": (
+        ["local"],
+        "SELECT source AS a, target AS b FROM local UNION SELECT r.a, e.target FROM closure_local r JOIN local e ON e.source = r.b",
+    ),
+    "scc_local": (
+        ["closure_local"],
+        """SELECT x.a AS path, min(least(x.a, x.b)) AS component, count(DISTINCT x.b) AS size
+      FROM closure_local x JOIN closure_local y ON x.a = y.b AND x.b = y.a GROUP BY x.a""",
+    ),
     "scc": (
         ["closure_sparse"],
         """SELECT x.a AS path, min(least(x.a, x.b)) AS component, count(DISTINCT x.b) AS size
@@ -202,6 +211,19 @@ for _name, _table in (("cross_mod", "cross_e"), ("local_mod", "local")):
     )
 
 
+QUESTIONS = """, g AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY total_degree DESC, path) AS rn FROM degree),
+  imp AS (SELECT repo, path FROM degree QUALIFY row_number() OVER (PARTITION BY repo ORDER BY in_degree DESC, total_degree DESC, path) = 1),
+  mods AS (SELECT repo, count(DISTINCT module) AS m FROM nodes GROUP BY repo),
+  q AS (SELECT repo, rn AS o, 'impact' AS type, 'get_impact_set' AS tool, path AS file, 'What would break if ' || substr(path, length(repo) + 2) || ' changed?' AS question FROM g WHERE rn <= 2
+   UNION ALL SELECT repo, 3, 'dependency', 'get_impact_set', path, 'What depends on ' || substr(path, length(repo) + 2) || '?' FROM imp
+   UNION ALL SELECT g.repo, 4, 'path', 'trace_path', path, 'How does ' || substr(path, length(g.repo) + 2) || ' connect to ' || substr(worst, length(g.repo) + 2) || ' (lowest-rated file)?'
+     FROM g JOIN worst USING (repo) WHERE rn = 1 AND path <> worst
+   UNION ALL SELECT repo, 5, 'health', 'suggest_refactoring', worst, 'How unhealthy is ' || substr(worst, length(repo) + 2) || ' and what should be fixed first?' FROM worst WHERE rating < 7
+   UNION ALL SELECT g.repo, 6, 'explanation', 'explain_node', path, 'Which modules does ' || substr(path, length(g.repo) + 2) || ' bridge, and is that coupling intentional?'
+     FROM g JOIN mods USING (repo) WHERE rn = 1 AND m > 2),
+  asked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY o) AS ord FROM q QUALIFY ord <= 5)"""
+
+
 def with_parts(body: str, *names: str) -> str:
     """Prefix ``body`` with the named fragments and everything they need."""
     order: list[str] = []

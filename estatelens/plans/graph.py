@@ -15,6 +15,7 @@ from ..operators import risk as RK
 from ..operators import traverse as TR
 from ..sources import adapters as A
 from .context import Catalogue
+from .fragments import QUESTIONS as _QUESTIONS
 from .fragments import base, js, with_parts
 
 catalogue = Catalogue()
@@ -220,7 +221,7 @@ def _(t):
     return CO.cycle_summary(t.components)
 
 
-@add("cycle_groups_dense")
+@add("cycle_groups_dense", with_parts("SELECT * FROM scc_local", "scc_local"))
 def _(t):
     return CO.strong_components(t.local)
 
@@ -340,20 +341,6 @@ def _(t):
     return out.select("repo", "source", "target", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-_REL = "substr({0}, length(repo) + 2)"
-_QUESTIONS = """, g AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY total_degree DESC, path) AS rn FROM degree),
-  imp AS (SELECT repo, path FROM degree QUALIFY row_number() OVER (PARTITION BY repo ORDER BY in_degree DESC, total_degree DESC, path) = 1),
-  mods AS (SELECT repo, count(DISTINCT module) AS m FROM nodes GROUP BY repo),
-  q AS (SELECT repo, rn AS o, 'impact' AS type, 'get_impact_set' AS tool, path AS file, 'What would break if ' || substr(path, length(repo) + 2) || ' changed?' AS question FROM g WHERE rn <= 2
-   UNION ALL SELECT repo, 3, 'dependency', 'get_impact_set', path, 'What depends on ' || substr(path, length(repo) + 2) || '?' FROM imp
-   UNION ALL SELECT g.repo, 4, 'path', 'trace_path', path, 'How does ' || substr(path, length(g.repo) + 2) || ' connect to ' || substr(worst, length(g.repo) + 2) || ' (lowest-rated file)?'
-     FROM g JOIN worst USING (repo) WHERE rn = 1 AND path <> worst
-   UNION ALL SELECT repo, 5, 'health', 'suggest_refactoring', worst, 'How unhealthy is ' || substr(worst, length(repo) + 2) || ' and what should be fixed first?' FROM worst WHERE rating < 7
-   UNION ALL SELECT g.repo, 6, 'explanation', 'explain_node', path, 'Which modules does ' || substr(path, length(g.repo) + 2) || ' bridge, and is that coupling intentional?'
-     FROM g JOIN mods USING (repo) WHERE rn = 1 AND m > 2),
-  asked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY o) AS ord FROM q QUALIFY ord <= 5)"""
-
-
 @add(
     "suggested_questions",
     with_parts(_QUESTIONS + " SELECT repo, ord, type, tool, file, question FROM asked", "degree", "worst"),
@@ -444,7 +431,29 @@ def _(t):
     return CU.explain_nodes(t.local, t.nodes, t.nodes.select(F.col("id").alias("path")))
 
 
-@add("graph_report")
+@add(
+    "graph_report",
+    with_parts(
+        _QUESTIONS
+        + """, m AS (SELECT repo, module, count(*) AS files, floor(avg(rating) * 10 + 0.5) / 10 AS r, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, module) AS rn FROM nodes GROUP BY 1, 2),
+        h AS (SELECT n.repo, count(*) AS files, floor(avg(rating) * 10 + 0.5) / 10 AS overall FROM nodes n GROUP BY 1),
+        rel AS (SELECT n.repo, count(*) AS c FROM local e JOIN nodes n ON n.id = e.source GROUP BY 1),
+        cyc AS (SELECT n.repo, count(DISTINCT component) AS c FROM scc JOIN nodes n ON n.id = scc.path GROUP BY 1),
+        odd AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY round(score, 9) DESC, source, target) AS rn FROM local_mod)
+        SELECT repo, 'header' AS section, 1 AS ord, 'files' AS item, CAST(files AS VARCHAR) AS value FROM h
+        UNION ALL SELECT h.repo, 'header', 2, 'relationships', CAST(coalesce(c, 0) AS VARCHAR) FROM h LEFT JOIN rel ON rel.repo = h.repo
+        UNION ALL SELECT repo, 'header', 3, 'overall_rating', printf('%.1f', overall) FROM h
+        UNION ALL SELECT h.repo, 'header', 4, 'cycles', CAST(coalesce(c, 0) AS VARCHAR) FROM h LEFT JOIN cyc ON cyc.repo = h.repo
+        UNION ALL SELECT g.repo, 'god_nodes', CAST(rn AS INT), g.path, CAST(d.total_degree AS VARCHAR) FROM g JOIN degree d ON d.path = g.path WHERE rn <= 5
+        UNION ALL SELECT repo, 'surprising', CAST(rn AS INT), source || ' -> ' || target, explanation FROM odd WHERE rn <= 5
+        UNION ALL SELECT repo, 'questions', CAST(ord AS INT), question, tool FROM asked
+        UNION ALL SELECT repo, 'modules', CAST(rn AS INT), module, files || ' files, ' || printf('%.1f', r) FROM m WHERE rn <= 8""",
+        "degree",
+        "worst",
+        "scc",
+        "local_mod",
+    ),
+)
 def _(t):
     return RP.graph_report(t.local, t.nodes, t.components)
 

@@ -22,6 +22,7 @@ from ..sources import adapters as A
 from ..sources import files as SF
 from ..sources import tables as TB
 from .context import Catalogue
+from .fragments import QUESTIONS as _QUESTIONS
 from .fragments import base, js, r1, with_parts
 
 catalogue = Catalogue()
@@ -109,6 +110,95 @@ def _(t):
     return t.files.select("repo").distinct().select("repo", TB.repo_key(F.col("repo")).alias("repo_key"))
 
 
+@add(
+    "analysis_blobs",
+    with_parts("SELECT repo, id AS path, language, rating, loc, n_violations, 'Resolve it' AS first_fix, TIMESTAMP '2024-01-01' + to_seconds(loc) AS analyzed_at FROM nodes WHERE n_violations > 0", "nodes"),
+)
+def _(t):
+    v = F.transform(
+        F.sequence(F.lit(1), F.col("n_violations")),
+        lambda i: F.struct(F.lit("x").alias("type"), F.lit("info").alias("severity"), F.when(i % 2 == 1, "Resolve it").otherwise('{"description":"Resolve it","confidence":"deterministic"}').alias("fix")),
+    )
+    blob = F.to_json(
+        F.struct(
+            F.col("id").alias("path"), "language", "rating", F.col("repo").alias("repoRoot"), F.struct(F.col("loc").alias("linesOfCode")).alias("metrics"),
+            ((F.lit(1704067200).cast("long") + F.col("loc")) * 1000).alias("analyzedAt"), v.alias("violations"),
+        )
+    )
+    a = TB.from_blob(t.nodes.filter("n_violations > 0").select(blob.alias("data")))
+    return a.select(
+        "repo", "path", "language", "rating", F.col("metrics.linesOfCode").alias("loc"), F.size("violations").alias("n_violations"),
+        F.array_max(F.transform("violations", lambda v: v["fix"]["description"])).alias("first_fix"), F.col("analyzedAt").cast("timestamp_ntz").alias("analyzed_at"),
+    )
+
+
+_LCOV_KEY = "l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || CAST(l_quantity AS INT)"
+
+
+@add(
+    "lcov_rollup",
+    f"""WITH l AS (SELECT DISTINCT {_LCOV_KEY} AS k, CAST(l_quantity AS INT) AS q, l_returnflag AS f FROM lineitem)
+    SELECT CASE WHEN f = 'A' THEN '/abs/' ELSE '/proj/src/' END || k || '.ts' AS path, CAST(CASE WHEN f = 'R' THEN 10 ELSE 2 END AS BIGINT) AS found,
+    CAST(CASE WHEN f = 'R' THEN 3 ELSE CAST(q > 25 AS INT) + 1 END AS BIGINT) AS hit, CASE WHEN f = 'R' THEN 30.0 WHEN q > 25 THEN 100.0 ELSE 50.0 END::DOUBLE AS percent FROM l""",
+)
+def _(t):
+    lines = t.raw("lineitem")
+    key = F.concat_ws("_", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.col("l_quantity").cast("int").cast("string"))
+    hits = F.when(F.col("l_quantity") > 25, "4").otherwise("0")
+    record = F.concat(
+        F.lit("TN:\nSF:"), F.when(F.col("l_returnflag") == "A", "/abs/").otherwise("./src/"), key, F.lit(".ts\nDA:1,7\nDA:2,9\nDA:2,"), hits,
+        F.when(F.col("l_returnflag") == "R", "\nLF:10\nLH:3\n").otherwise("\n"),
+    )
+    parts = SF.parse_lcov(lines.select(F.lit("/proj").alias("root"), F.col("l_orderkey").alias("seq"), record.alias("record")).distinct())
+    return CV.coverage_rollup(parts["lines"], parts["declared"])
+
+
+@add(
+    "coverage_reports",
+    """SELECT '/p' || s_nationkey AS project, '/p' || s_nationkey || '/' || ['coverage/lcov.info', 'coverage/lcov-report/lcov.info', 'lcov.info', '.coverage/lcov.info'][min(s_suppkey % 5 + 1)] AS path
+    FROM supplier WHERE s_suppkey % 5 < 4 GROUP BY s_nationkey""",
+)
+def _(t):
+    place = F.array(*[F.lit(x) for x in SF.LCOV_LOCATIONS], F.lit("other/lcov.info"))
+    project = F.concat(F.lit("/p"), F.col("s_nationkey").cast("string"))
+    found = t.raw("supplier").select(project.alias("project"), F.concat(project, F.lit("/"), F.element_at(place, (F.col("s_suppkey") % 5 + 1).cast("int"))).alias("path"))
+    return SF.pick_reports(found)
+
+
+@add(
+    "ignore_rules",
+    with_parts(
+        """SELECT repo, ord, pattern, negate, anchored FROM (SELECT DISTINCT repo FROM files),
+        (VALUES (1, 'part_1*.tsx', false, false), (2, 'src/small', false, true), (3, 'src/small/**/part_?1*', true, true), (4, '*.jsx', false, false), (5, 'part_9*.jsx', true, false)) v(ord, pattern, negate, anchored)""",
+        "files",
+    ),
+)
+def _(t):
+    return SF.parse_ignore(t.files.select("repo").distinct().withColumn("content", F.lit(IGNORE_TEXT))).drop("regex")
+
+
+@add(
+    "offset_spans",
+    """WITH d AS (SELECT doc_id, text, CAST(length(text) // 2 AS INT) AS o, length(text) FROM documents), s AS (SELECT doc_id, string_split(substr(text, 1, o), chr(10)) AS b, string_split(substr(text, o + 1, 40), chr(10)) AS i, o FROM d)
+    SELECT doc_id, CAST(len(b) AS INT) AS line, CAST(length(b[len(b)]) + 1 AS INT) AS "column", CAST(len(b) + len(i) - 1 AS INT) AS "endLine",
+    CAST(CASE WHEN len(i) = 1 THEN length(b[len(b)]) + 41 ELSE length(i[len(i)]) + 1 END AS INT) AS "endColumn" FROM s""",
+)
+def _(t):
+    span = X.offset_to_span(F.col("text"), F.floor(F.length("text") / 2).cast("int"), F.lit(40))
+    return t.raw("documents").select("doc_id", span.alias("s")).select("doc_id", "s.line", "s.column", "s.endLine", "s.endColumn")
+
+
+@add("code_snippets", "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], chr(10)) AS snippet FROM documents")
+def _(t):
+    return t.raw("documents").select("doc_id", X.snippet(F.col("text"), F.lit(2), F.lit(2)).alias("snippet"))
+
+
+@add("fix_texts", with_parts("SELECT path, type, CASE severity WHEN 'error' THEN 'Resolve ' || type ELSE 'plain ' || type END AS fix FROM fviol", "fviol"))
+def _(t):
+    text = F.when(F.col("severity") == "error", F.to_json(F.struct("fix.description", "fix.confidence"))).otherwise(F.concat(F.lit("plain "), "type"))
+    return TB.normalise_fix(t.violations.withColumn("fix", text)).select("path", "type", "fix")
+
+
 # ---------------------------------------------------------------- sinks
 
 
@@ -219,7 +309,19 @@ def _(t):
     return EX.json_sections(t.nodes, t.local)["edges"]
 
 
-@add("export_sections")
+@add(
+    "export_sections",
+    with_parts(
+        _QUESTIONS
+        + """, odd AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY round(score, 9) DESC, source, target) AS rn FROM local_mod)
+        SELECT 'god_nodes' AS section, path AS item FROM (SELECT * FROM degree ORDER BY total_degree DESC, path LIMIT 10)
+        UNION ALL SELECT 'surprising', source || ' -> ' || target FROM odd WHERE rn <= 10 UNION ALL SELECT 'questions', question FROM asked UNION ALL SELECT 'cycle_members', path FROM scc""",
+        "degree",
+        "worst",
+        "scc",
+        "local_mod",
+    ),
+)
 def _(t):
     return EX.export_sections(t.nodes, t.local, t.components)
 
@@ -678,6 +780,23 @@ def _(t):
     return JN.pair_tests(t.files.select("path", F.col("repo").alias("root")), listing)
 
 
+@add(
+    "missing_tests",
+    with_parts(
+        """SELECT path, CASE WHEN language = 'tsx' THEN 'hollow_test_file' ELSE 'no_test_file' END AS type FROM files WHERE language <> 'csharp'""",
+        "files",
+    ),
+)
+def _(t):
+    stem, lang = F.regexp_replace("path", r"\.\w+$", ""), F.col("language")
+    sources = t.files.select("path", F.col("repo").alias("root"), F.lit("x").alias("content"))
+    tests = t.files.filter(lang.isin("csharp", "tsx")).select(
+        F.when(lang == "csharp", F.concat(stem, F.lit("Tests.cs"))).otherwise(F.concat(stem, F.lit(".spec.ts"))).alias("path"),
+        F.when(lang == "csharp", "[Fact] public void A() { }").otherwise("// later").alias("content"),
+    )
+    return CV.missing_test_violations(sources, tests).select("path", "type")
+
+
 @add("stale_files", with_parts("SELECT path FROM files WHERE path NOT IN (SELECT source FROM sparse UNION SELECT target FROM sparse)", "sparse"))
 def _(t):
     seen = t.sparse.select(F.col("source").alias("path")).union(t.sparse.select(F.col("target").alias("path"))).distinct()
