@@ -142,20 +142,19 @@ def raw_dependencies(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = (
     ``()`` one graph across all repositories.
     """
     f = files(spark, sf_dir).select("part", "repo", "path")
-    lines = table(spark, sf_dir, "lineitem").join(f, F.col("l_partkey") == F.col("part"))
-    lines = lines.select("repo", "path", "l_orderkey", "l_returnflag", "l_linestatus", *LINE_ORDER)
-    return (
-        next_in_group(lines, ["l_orderkey", *keys], LINE_ORDER, "path", "target")
-        .filter(F.col("target").isNotNull() & (F.col("target") != F.col("path")))
-        .select(
-            "repo",
-            F.col("path").alias("source"),
-            "target",
-            F.when(F.col("l_linestatus") == "O", "import").otherwise("usage").alias("type"),
-            F.col("l_linenumber").cast("double").alias("weight"),
-            F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("pos"),
-            "l_linestatus",
-        )
+    lines = table(spark, sf_dir, "lineitem").join(f.select(F.col("part").alias("l_partkey"), "repo"), "l_partkey")
+    lines = lines.select("repo", "l_orderkey", "l_returnflag", "l_linestatus", *LINE_ORDER)
+    # Paths are attached at the end: the ordering step moves keys only.
+    linked = next_in_group(lines, ["l_orderkey", *keys], LINE_ORDER, "l_partkey", "next_part").filter("next_part <> l_partkey")
+    linked = linked.join(f.select(F.col("part").alias("l_partkey"), F.col("path").alias("source")), "l_partkey")
+    return linked.join(f.select(F.col("part").alias("next_part"), F.col("path").alias("target")), "next_part").select(
+        "repo",
+        "source",
+        "target",
+        F.when(F.col("l_linestatus") == "O", "import").otherwise("usage").alias("type"),
+        F.col("l_linenumber").cast("double").alias("weight"),
+        F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("pos"),
+        "l_linestatus",
     )
 
 
