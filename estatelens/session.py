@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-_WORK_KEY = "spark.estatelens.work.dir"
-
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -38,22 +35,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir`` where it is set.
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or the session's warehouse where that is unset.
 
-    Executors write and read these tables, so on a cluster the folder must be shared; only a
-    local master may fall back to a fresh temporary folder.
+    Executors write and read these tables, so both are folders that a cluster shares.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/") + "/estatelens"
-    known = spark.conf.get(_WORK_KEY, None)
-    if known:
-        return known
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    known = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set(_WORK_KEY, known)
-    return known
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return shared.rstrip("/") + "/estatelens"
 
 
 def drop_table(spark: SparkSession, path: str) -> None:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from estatelens.session import local_session
 
-    session = local_session(8, partitions=4, memory="8g")
+    shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # one machine here; a cluster brings its own
+    session = local_session(8, partitions=4, memory="8g", **{"spark.checkpoint.dir": shared, "spark.sql.warehouse.dir": shared + "/warehouse"})
     yield session
     session.stop()
 
