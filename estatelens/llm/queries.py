@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .jaccard import similarity_classes
 from .quality import quality_rules
+from .secrets import RULES, joined, secret_scan
 from .substring import substring_dedup
 
 
@@ -19,6 +20,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, through a ledger that starts empty."""
+    found, _ = secret_scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, kind=kind: s.kind == kind)).cast("long").alias(f"n_{kind}") for kind, *_ in RULES]
+    spans = joined(F.col("spans"))
+    return found.select("doc_id", *counts, F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document; the classifier is fitted on the table's labels."""
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("probability")
@@ -31,7 +40,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_substring_dedup, op6_quality_rules, op8_jaccard_join)
+    for f in (op3_substring_dedup, op5_secret_scan, op6_quality_rules, op8_jaccard_join)
 }
 
 SQL: dict[str, str] = {
@@ -48,4 +57,31 @@ SQL: dict[str, str] = {
             sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op5_secret_scan": r"""
+        WITH rule(kind, k, re, g, least) AS (VALUES
+            ('assign', 1, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+            ('access', 2, 'AKIA[A-Z0-9]+', 0, 20),
+            ('hex', 3, '[0-9a-f]+', 0, 24)),
+        cut AS (
+            SELECT doc_id, 'assign' AS kind, 1 AS k, 6 AS least, regexp_split_to_array(text, (SELECT re FROM rule WHERE k = 1)) AS p,
+                regexp_extract_all(text, (SELECT re FROM rule WHERE k = 1), 0) AS m, regexp_extract_all(text, (SELECT re FROM rule WHERE k = 1), 2) AS j
+            FROM documents
+            UNION ALL
+            SELECT doc_id, 'access', 2, 20, regexp_split_to_array(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM documents
+            UNION ALL
+            SELECT doc_id, 'hex', 3, 24, regexp_split_to_array(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+') FROM documents),
+        part AS (SELECT doc_id, kind, k, least, i, len(p[i]) AS lp, len(m[i]) AS lm, len(j[i]) AS lj FROM cut, unnest(range(1, len(m) + 1)) AS r(i)),
+        span AS (
+            SELECT doc_id, kind, k, lj >= least AS ok, lm,
+                sum(lp + lm) OVER (PARTITION BY doc_id, k ORDER BY i) AS e
+            FROM part),
+        kept AS (SELECT doc_id, kind, k, CAST(e - lm AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM span WHERE ok),
+        out AS (
+            SELECT doc_id, count(*) FILTER (k = 1) AS n_assign, count(*) FILTER (k = 2) AS n_access, count(*) FILTER (k = 3) AS n_hex,
+                string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans
+            FROM kept GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+            sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents LEFT JOIN out USING (doc_id)
+    """,
 }
