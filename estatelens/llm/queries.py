@@ -7,19 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import table
+from .counts import token_counts
 from .jaccard import similarity_classes
 from .quality import quality_rules
 from .secrets import RULES, joined, secret_scan
+from .sentencepiece import encode
 from .substring import substring_dedup
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding gives the text again."""
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of each vector whose id is divisible by 20."""
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed from every document, and the digest of what stays."""
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, counted without encoding."""
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, through a ledger that starts empty."""
     found, _ = secret_scan(table(spark, sf_dir, "documents"))
@@ -40,7 +58,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_substring_dedup, op5_secret_scan, op6_quality_rules, op8_jaccard_join)
+    for f in (op1_sentencepiece, op2_nearest_neighbours, op3_substring_dedup, op4_token_counts, op5_secret_scan, op6_quality_rules, op8_jaccard_join)
 }
 
 SQL: dict[str, str] = {
