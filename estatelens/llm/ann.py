@@ -190,13 +190,13 @@ def nearest(vectors: DataFrame, every: int = K, trees: int = TREES, search: int
     asked = ask.df.dropDuplicates(["query"]).select(F.col("query").alias("key"), "v")
     probes = materialize(asked.mapInArrow(_search(forest, counts, search), "query long, tree int, leaf int"), "ann-probes").df
     load = probes.groupBy("tree", "leaf").count().withColumnRenamed("count", "n_queries")
-    split = sizes.join(load, ["tree", "leaf"]).select("tree", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("n_queries") / BLOCK).cast("int").alias("nq"))
+    split = sizes.join(load, ["tree", "leaf"]).select("tree", "leaf", F.ceil(F.col("count") / BLOCK).alias("nb"), F.ceil(F.col("n_queries") / BLOCK).alias("nq"))
     split = materialize(split, "ann-split").df
-    ways = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ways = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     member = leaves.join(split, ["tree", "leaf"]).withColumn("b", F.pmod("key", "nb")).withColumn("qb", ways("nq"))
     member = member.join(kept.df.select("key", "v", "low"), "key").select("tree", "leaf", "b", "qb", "key", "v", "low")
-    called = probes.join(split, ["tree", "leaf"]).withColumn("qb", F.pmod("query", "nq")).withColumn("b", ways("nb").cast("long"))
-    called = called.join(asked.withColumnRenamed("key", "query"), "query").select("tree", "leaf", "b", F.col("qb").cast("int").alias("qb"), "query", "v")
+    called = probes.join(split, ["tree", "leaf"]).withColumn("qb", F.pmod("query", "nq")).withColumn("b", ways("nb"))
+    called = called.join(asked.withColumnRenamed("key", "query"), "query").select("tree", "leaf", "b", "qb", "query", "v")
     met = called.groupBy("tree", "leaf", "b", "qb").cogroup(member.groupBy("tree", "leaf", "b", "qb")).applyInArrow(_rerank, "query long, key long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "low", "key")
     near = met.groupBy("query", "key").agg(F.max("score").alias("score")).join(kept.df.select("key", "low", "ids"), "key")

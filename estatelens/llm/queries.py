@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .chat import ASK, linked_messages, turns_as_calls
 from .common import table
 from .counts import token_counts
 from .jaccard import similarity_classes
+from .mixing import label_topics, mixed_sample
+from .packing import packed_tokens
 from .quality import quality_rules
 from .secrets import RULES, joined, secret_scan
 from .sentencepiece import encode
@@ -38,10 +41,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def _of_kind(kind: str):
+    return lambda span: span.kind == kind
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, through a ledger that starts empty."""
     found, _ = secret_scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, kind=kind: s.kind == kind)).cast("long").alias(f"n_{kind}") for kind, *_ in RULES]
+    counts = [F.size(F.filter("spans", _of_kind(kind))).cast("long").alias(f"n_{kind}") for kind, *_ in RULES]
     spans = joined(F.col("spans"))
     return found.select("doc_id", *counts, F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
 
@@ -51,14 +58,34 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("probability")
 
 
+#: Powers of the token shares that op7 and the pipeline aim at, for each dimension.
+POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weight, probability and draw of every document."""
+    return mixed_sample(table(spark, sf_dir, "documents"), label_topics(table(spark, sf_dir, "labels")), POWERS)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and similarity component of every document."""
     return similarity_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message linked, ordered, validated and serialised; user turns stand for tool calls."""
+    out = linked_messages(turns_as_calls(table(spark, sf_dir, "conversations")), ASK)
+    return out.withColumn("errors", F.array_join("errors", "; "))
+
+
+def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed rows of 2048 token ids."""
+    return packed_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_nearest_neighbours, op3_substring_dedup, op4_token_counts, op5_secret_scan, op6_quality_rules, op8_jaccard_join)
+    for f in (op1_sentencepiece, op2_nearest_neighbours, op3_substring_dedup, op4_token_counts, op5_secret_scan, op6_quality_rules, op7_source_mixing, op8_jaccard_join, op9_chat_formatting, op10_token_packing)
 }
 
 SQL: dict[str, str] = {
@@ -102,4 +129,24 @@ SQL: dict[str, str] = {
             sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM documents LEFT JOIN out USING (doc_id)
     """,
+    "op9_chat_formatting": r"""
+        WITH c AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+        m AS (
+            SELECT *, role = 'user' AS ask, CASE role WHEN 'user' THEN 'ask_' || conv_id || '_' || turn WHEN 'assistant' THEN 'ask_' || conv_id || '_' || (turn - 1) END AS call_id,
+                row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY text) AS r
+            FROM c),
+        j AS (
+            SELECT m.*, o.role IS NOT NULL AS paired
+            FROM m LEFT JOIN m o ON m.r = 1 AND o.r = 1 AND o.call_id = m.call_id AND o.role <> m.role),
+        f AS (
+            SELECT conv_id, turn, role, call_id,
+                CASE WHEN call_id IS NULL THEN 'plain' WHEN paired THEN 'linked' WHEN r > 1 THEN 'duplicate' WHEN ask THEN 'open' ELSE 'orphan' END AS status,
+                CASE WHEN ask AND len(text) > 400 THEN 'text is longer than 400' ELSE '' END AS errors,
+                CASE WHEN paired AND NOT ask THEN 1 ELSE 0 END AS level,
+                CASE WHEN ask THEN CAST(json_object('arguments', json_object('text', text, 'turn', turn), 'call_id', call_id, 'name', 'ask', 'role', role, 'turn', turn) AS VARCHAR)
+                    WHEN call_id IS NULL THEN CAST(json_object('content', text, 'role', role, 'turn', turn) AS VARCHAR)
+                    ELSE CAST(json_object('call_id', call_id, 'content', text, 'role', role, 'turn', turn) AS VARCHAR) END AS json
+            FROM j)
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, level, role, json) AS position FROM f
+    """,
 }
