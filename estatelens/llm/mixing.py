@@ -60,7 +60,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
             ratio = have.join(want, dim, "left").select(dim, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias(f"_{dim}"))
             df = df.join(ratio, dim).withColumn("scale", F.col("scale") * F.col(f"_{dim}"))
             errors.append(F.when(F.col("scale") > 0, F.abs(F.col(f"_{dim}") - 1)).otherwise(0.0))
-        after = materialize(df.select(*DIMS, "tokens", "scale", F.greatest(*errors).alias("_e")), "rake")
+        after = materialize(df.select(*DIMS, "tokens", "scale", F.array_max(F.array(*errors)).alias("_e")), "rake")
         worst = after.df.agg(F.max("_e")).first()[0] or 0.0
         now.drop()
         now = after
