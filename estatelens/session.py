@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,6 +53,21 @@ def drop_table(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Have the shuffle files of the queries run inside deleted as each ends, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Written:
     """A DataFrame backed by a written table, with its row count and the rows that met a condition."""
 
@@ -71,7 +88,8 @@ def materialize(df: DataFrame, tag: str = "stage", where: Column | None = None)
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     seen = Observation()
     hits = F.count_if(F.lit(False) if where is None else where).alias("hits")
-    df.observe(seen, F.count(F.lit(1)).alias("rows"), hits).write.parquet(path)
+    with released_shuffles(spark):
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), hits).write.parquet(path)
     return Written(spark.read.schema(df.schema).parquet(path), path, seen.get["rows"], seen.get["hits"])
 
 
