@@ -2,14 +2,15 @@
 
 A window is ``WINDOW`` = 13 consecutive words. Each document is cut into non-overlapping reference blocks of
 ``BLOCK`` = 7 words; any window of 13 words holds a whole block of its document. The blocks are the index, and every
-rolling 7-word window of every document probes it. A probe that meets a block of another document is an anchor. All
-13-word windows around an anchor, in both documents, are then compared exactly, which extends the anchors word by
-word to maximal repeats: a repeat of L >= 13 words is L - 12 consecutive equal windows.
+rolling 7-word window of every document probes it. A probe that meets a block of another document is an anchor. From
+an anchor the repeat is extended word by word while the rolling windows go on to occur in other documents; the 13-word
+windows that fit into it are then compared exactly. Maximal repeats come out as runs of equal windows: a repeat of
+L >= 13 words is L - 12 of them.
 
 Index and probes travel as packed hash arrays, dealt by hash slice, so that sorting in numpy replaces a row for each
-word. Equal windows within a task are combined before they are sent. Which probes were anchors comes back as a
-filter of a fixed number of bits (``ANCHOR_BITS``); its false positives only add windows to the exact comparison,
-which is a minimum per window and a join whose hot keys AQE splits.
+word. Equal windows within a task are combined before they are sent. Which probes were anchors, and which occur in
+several documents, comes back as two filters of a fixed number of bits (``FILTER_BITS``); their false positives only
+add windows to the exact comparison, which is a minimum per window and a join whose hot keys AQE splits.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from . import kernel as K
 from .common import IdFilter, only
 
 WINDOW, BLOCK = 13, 7
-#: Size of the anchor filter; 16 MB at any data size.
-ANCHOR_BITS = 1 << 27
+#: Size of each of the two filters; 8 MB at any data size.
+FILTER_BITS = 1 << 26
 #: Text bytes whose hashes meet in one slice.
 SLICE_BYTES = 24_000_000
 #: Text bytes that a task packs at a time.
@@ -89,8 +90,14 @@ def _packed(heads, n_slices: int):
     return run
 
 
-def _anchors(per_slice: int):
-    """The part of the anchor filter that belongs to one slice."""
+def _filters(per_slice: int):
+    """The part of both filters that belongs to one slice."""
+
+    def bits(hits: np.ndarray) -> bytes:
+        out = np.zeros(per_slice // 8, np.uint8)
+        for at in _bits_of(hits, per_slice):
+            np.bitwise_or.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        return out.tobytes()
 
     def run(group: pa.Table) -> pa.Table:
         raw = np.frombuffer(b"".join(group.column("packed").to_pylist()), np.uint8).reshape(-1, 6)
@@ -98,17 +105,15 @@ def _anchors(per_slice: int):
         h[:, :6] = raw
         h = np.sort(h.view(K.U64).ravel())
         s = _combined(h & ~K.U64(3), h & K.U64(3))
-        hit = s[(s & K.U64(3)) == 3]
-        bits = np.zeros(per_slice // 8, np.uint8)
-        for at in _bits_of(hit, per_slice):
-            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        return pa.table({"slice": pa.array(group.column("slice")[:1].to_pylist(), pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+        anchors, several = bits(s[(s & K.U64(3)) == 3]), bits(s[(s & K.U64(2)) == 2])
+        part = pa.array(group.column("slice")[:1].to_pylist(), pa.int32())
+        return pa.table({"slice": part, "anchors": pa.array([anchors], pa.binary()), "several": pa.array([several], pa.binary())})
 
     return run
 
 
-def _candidates(heads, anchors, n_slices: int, per_slice: int):
-    """(w, c, doc_id): 13-word windows that hold an anchor; w and c are two hashes of the window."""
+def _candidates(heads, filters, n_slices: int, per_slice: int):
+    """(w, c, doc_id): 13-word windows of repeats around an anchor; w and c are two hashes of the window."""
 
     def run(batches):
         for b in K.slices(batches):
@@ -119,17 +124,17 @@ def _candidates(heads, anchors, n_slices: int, per_slice: int):
             words = t.word_hashes()
             h, valid = t.windows(words, BLOCK)
             base = _slice_of(h, n_slices) * per_slice
-            hit = valid
-            for at in _bits_of(h, per_slice):
-                at += base
-                hit = hit & ((anchors.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+            places = [at + base for at in _bits_of(h, per_slice)]
+            anchor, several = (
+                np.r_[0, np.cumsum(valid & np.logical_and.reduce([(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1 for at in places]))]
+                for bits in filters.value
+            )
             w, whole = t.windows(words, WINDOW)
             if not len(w):
                 continue
-            near = np.r_[0, np.cumsum(hit)]
-            span = WINDOW - BLOCK + 1
+            span = WINDOW - BLOCK + 1  # blocks' places in a window
             start = np.arange(len(w))
-            take = np.flatnonzero(whole & (near[start + span] > near[start]))
+            take = np.flatnonzero(whole & (anchor[start + span] > anchor[start]) & (several[start + span] - several[start] == span))
             c = t.windows(words[::-1] * K.U64(0x9E3779B97F4A7C15), WINDOW)[0][::-1]
             ids = b.column("doc_id").to_numpy()[t.doc_of_word()[take]]
             yield pa.record_batch({"w": w[take].view(np.int64), "c": (c[take] >> K.U64(32)).astype(np.uint32).view(np.int32), "doc_id": ids})
@@ -179,17 +184,21 @@ def repeated_windows(docs: DataFrame, heads: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_slices = min(1 << 16, max(8, -(-size // SLICE_BYTES)))
-    per_slice = ANCHOR_BITS // n_slices // 8 * 8
+    per_slice = FILTER_BITS // n_slices // 8 * 8
     wanted = spark.sparkContext.broadcast(IdFilter(heads, "doc_id"))
     packed = docs.mapInArrow(_packed(wanted, n_slices), "slice int, packed binary")
-    bits = np.zeros(n_slices * per_slice // 8, np.uint8)
-    for row in packed.groupBy("slice").applyInArrow(_anchors(per_slice), "slice int, bits binary").toLocalIterator():
+    parts = packed.groupBy("slice").applyInArrow(_filters(per_slice), "slice int, anchors binary, several binary")
+    parts = materialize(parts, "substring-filters")
+    filters = np.zeros((2, n_slices * per_slice // 8), np.uint8)
+    for row in parts.df.toLocalIterator():  # 2 * FILTER_BITS at most
         at = row["slice"] * per_slice // 8
-        bits[at : at + per_slice // 8] = np.frombuffer(row["bits"], np.uint8)
-    anchors = spark.sparkContext.broadcast(bits)  # ANCHOR_BITS at most
-    rows = materialize(docs.mapInArrow(_candidates(wanted, anchors, n_slices, per_slice), "w long, c int, doc_id long"), "substring-windows").df
+        for bits, name in zip(filters, ("anchors", "several"), strict=True):
+            bits[at : at + per_slice // 8] = np.frombuffer(row[name], np.uint8)
+    parts.drop()
+    filters = spark.sparkContext.broadcast(filters)
+    rows = materialize(docs.mapInArrow(_candidates(wanted, filters, n_slices, per_slice), "w long, c int, doc_id long"), "substring-windows").df
     first = rows.groupBy("w", "c").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
-    return rows.join(first, ["w", "c"]).where("doc_id > _a").select("doc_id", "w")
+    return materialize(rows.join(first, ["w", "c"]).where("doc_id > _a").select("doc_id", "w"), "substring-removed").df
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
