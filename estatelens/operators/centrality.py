@@ -35,9 +35,9 @@ def degree_centrality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def god_nodes(edges: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
-    """Most connected files (default 10, at most 50)."""
+    """The ``limit`` most connected files."""
     ranked = degree_centrality(edges, nodes).orderBy(F.desc("total_degree"), "path")
-    return ranked.limit(max(1, min(limit, 50)))
+    return ranked.limit(limit)
 
 
 def most_connected(edges: DataFrame, limit: int = 10) -> DataFrame:

@@ -11,21 +11,6 @@ from ..functions import paths as P
 from ..functions import rating as R
 from ..rules import tables as RT
 
-# Up to this many rules are compiled into the plan as literal patterns. Larger rule sets are joined
-# by repository and evaluated from an array column, so no rule is ever dropped.
-LITERAL_RULES = 500
-
-
-def _few(rules: DataFrame) -> list | None:
-    """The rules as rows when there are few enough to inline, else None."""
-    rows = rules.limit(LITERAL_RULES + 1).collect()
-    return rows if len(rows) <= LITERAL_RULES else None
-
-
-def _any(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds) if conds else F.lit(False)
-
-
 def excluded(files: DataFrame, rules: DataFrame, dialect: str = "scan") -> DataFrame:
     """Files hit by an exclude glob: ``rules`` has (lang_group, pattern), with group ``global`` for all.
 
@@ -35,17 +20,10 @@ def excluded(files: DataFrame, rules: DataFrame, dialect: str = "scan") -> DataF
     path, base = F.col("path"), P.basename("path")
     hit = lambda rx: F.rlike(path, rx) | F.rlike(base, rx)
     grp = P.language_group("path")
-    few = _few(r)
-    if few is not None:
-        conds = []
-        for row in few:
-            c = hit(F.lit(row.regex))
-            conds.append(c if row.grp == "global" else c & F.coalesce(grp == row.grp, F.lit(False)))
-        return files.withColumn("excluded", _any(conds))
-    # Three groups at most: one array of patterns each, joined by group name.
+    # A rule set is a configuration: one array of patterns for each language group, and one for all files.
     sets = r.groupBy("grp").agg(F.collect_set("regex").alias("rx"))
-    one = lambda name, to: sets.filter(F.col("grp") == name).select(F.lit(name).alias("_g"), F.col("rx").alias(to))
-    f = files.withColumn("_g", F.lit("global")).join(one("global", "_rx0"), "_g", "left")
+    everywhere = r.filter("grp = 'global'").agg(F.collect_set("regex").alias("_rx0"))  # one row
+    f = files.crossJoin(F.broadcast(everywhere))
     lang = sets.filter("grp <> 'global'").select(F.col("grp").alias("_g"), F.col("rx").alias("_rx1"))
     f = f.withColumn("_g", grp).join(lang, "_g", "left")
     tried = lambda c: F.coalesce(F.exists(c, hit), F.lit(False))
@@ -63,14 +41,6 @@ def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     see the path relative to the repository, others the base name. Adds boolean ``ignored``.
     """
     rel, base = P.relative_path(F.col("repo"), F.col("path")), P.basename("path")
-    few = _few(rules.select("repo", "ord", "negate", "anchored", "regex"))
-    if few is not None:
-        verdict = None
-        for row in sorted(few, key=lambda x: -x.ord):
-            cond = (F.col("repo") == row.repo) & F.rlike(rel if row.anchored else base, F.lit(row.regex))
-            value = F.lit(not row.negate)
-            verdict = F.when(cond, value) if verdict is None else verdict.when(cond, value)
-        return files.withColumn("ignored", F.lit(False) if verdict is None else verdict.otherwise(False))
     # One ignore file per repository: its rules travel as one array, in order.
     sets = rules.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("ord", "negate", "anchored", "regex"))).alias("_rules"))
     f = files.withColumn("_rel", rel).withColumn("_base", base).join(sets, "repo", "left")

@@ -225,7 +225,7 @@ def why_comments(corpus: DataFrame) -> DataFrame:
         text = F.when(cond, value) if text is None else text.when(cond, value)
     inline = lines.withColumn("why", text).filter("why IS NOT NULL").select(
         F.concat_ws(":", "path", F.col("line").cast("string"), F.lit("why")).alias("id"),
-        F.col("path").alias("file"), "line", F.substring(strip("why"), 1, 300).alias("text"),
+        F.col("path").alias("file"), "line", strip("why").alias("text"),
     )
     # Every block ends a piece of the text cut at "*/"; newlines before it give its line.
     newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
@@ -243,7 +243,7 @@ def why_comments(corpus: DataFrame) -> DataFrame:
     summary = F.try_element_at(F.filter(cleaned, lambda s: (F.length(s) > 10) & ~F.startswith(s, F.lit("@"))), F.lit(1))
     doc = at.withColumn("summary", summary).filter("summary IS NOT NULL").select(
         F.concat_ws(":", "path", F.col("line").cast("string"), F.lit("jsdoc")).alias("id"),
-        F.col("path").alias("file"), "line", F.substring("summary", 1, 300).alias("text"),
+        F.col("path").alias("file"), "line", F.col("summary").alias("text"),
     )
     return inline.unionByName(doc)
 
@@ -262,20 +262,15 @@ def find_callers(corpus: DataFrame, symbols: DataFrame) -> DataFrame:
     calls = lines.select("path", "line", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD_CALL), 1))).alias("symbol"))
     return calls.join(symbols.select("symbol").distinct(), "symbol").select(
         "symbol", "path", "line", F.position(F.col("symbol"), F.col("text")).alias("column"),
-        F.substring(strip("text"), 1, 120).alias("snippet"), is_test_path(F.col("path")).alias("is_test"),
+        strip("text").alias("snippet"), is_test_path(F.col("path")).alias("is_test"),
     )
 
 
-def top_callers(callers: DataFrame, limit: int = 50) -> DataFrame:
-    """The first ``limit`` call sites, the answer size of a single caller question."""
-    return callers.orderBy("symbol", "path", "line").limit(limit)
-
-
 def word_lines(corpus: DataFrame, word: str) -> DataFrame:
     """Lines that contain a whole word: (path, line, column, snippet)."""
     pattern = F.lit(X.ascii_words(r"\b") + rf"\Q{word}\E" + X.ascii_words(r"\b"))
     lines = explode_lines(corpus).filter(F.rlike(F.col("text"), pattern))
-    return lines.select("path", "line", F.position(F.lit(word), F.col("text")).alias("column"), F.substring(strip("text"), 1, 120).alias("snippet"))
+    return lines.select("path", "line", F.position(F.lit(word), F.col("text")).alias("column"), strip("text").alias("snippet"))
 
 
 def imported_names(corpus: DataFrame, listing: DataFrame) -> DataFrame:
@@ -312,18 +307,20 @@ def enriched_relations(corpus: DataFrame, listing: DataFrame) -> DataFrame:
             F.concat(F.lit("calls "), "f.name", F.lit(" (first at line "), F.col("f.line").cast("string"), F.lit(")")).alias("rationale"),
         )
     )
-    head = r"\bclass\s+(\w+)?(?:<[^{>]*>)?\s*((?:extends|implements)\s[^{]*)\{"
+    # What precedes tells a class expression, which has no name of its own, from a declaration.
+    head = r"(?:[=(,:?\[]\s*|\breturn\s+|\bnew\s+)?\bclass\s+(\w+)?(?:<[^{>]*>)?\s*((?:extends|implements)\s[^{]*)\{"
     classes = corpus.filter("language <> 'csharp'").select(F.col("path").alias("source"), F.explode(F.regexp_extract_all("content", F.lit("(?s)" + head), 0)).alias("decl"))
     cls = F.regexp_extract("decl", r"\bclass\s+(?!extends\b|implements\b)(\w+)", 1)
-    label = F.when(cls == "", "<anonymous>").otherwise(cls)
-    base = F.regexp_extract("decl", r"(?s)\bextends\s+([A-Za-z_$][\w$]*)", 1)
+    label = F.when(~F.startswith("decl", F.lit("class")), "<expr>").when(cls == "", "<anonymous>").otherwise(cls)
+    # Plain identifiers only: a base such as ns.Base names nothing that is imported.
+    base = F.regexp_extract("decl", r"(?s)\bextends\s+([A-Za-z_$][\w$]*+)(?!\s*\.)", 1)
     impl = F.split(F.regexp_extract("decl", r"(?s)\bimplements\s+([^{]*)", 1), ",")
     heirs = classes.select(
         "source", label.alias("cls"),
         F.explode(
             F.concat(
                 F.array(F.struct(F.lit("CLASS_EXTENDS").alias("rel_type"), F.lit(" extends ").alias("verb"), base.alias("name"))),
-                F.transform(impl, lambda x: F.struct(F.lit("IMPLEMENTS").alias("rel_type"), F.lit(" implements ").alias("verb"), F.regexp_extract(strip(x), r"^([\w$]+)", 1).alias("name"))),
+                F.transform(impl, lambda x: F.struct(F.lit("IMPLEMENTS").alias("rel_type"), F.lit(" implements ").alias("verb"), F.regexp_extract(strip(x), r"^([\w$]++)(?!\s*\.)", 1).alias("name"))),
             )
         ).alias("h"),
     ).select("source", "cls", "h.*")

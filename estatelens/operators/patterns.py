@@ -19,11 +19,11 @@ def _gain_tenths(severity):
     return out
 
 
-def violation_patterns(violations: DataFrame, sample: int = 10) -> DataFrame:
+def violation_patterns(violations: DataFrame, sample: int | None = 10) -> DataFrame:
     """One row per violation type: worst severity, files, occurrences, gain if fixed, sample files.
 
     Files are counted on (type, path) pairs first, so a type that makes up a third of all rows is
-    already spread out; the sample keeps the first paths in order.
+    already spread out; ``sample_files`` has the first ``sample`` paths in order, or all where ``sample`` is None.
     """
     pairs = violations.groupBy("type", "path").agg(
         F.count(F.lit(1)).alias("n"), F.max(R.severity_rank(F.col("severity"))).alias("rank")
@@ -32,7 +32,7 @@ def violation_patterns(violations: DataFrame, sample: int = 10) -> DataFrame:
         F.max("rank").alias("rank"), F.count(F.lit(1)).alias("file_count"), F.sum("n").alias("total_occurrences")
     )
     w = Window.partitionBy("type").orderBy("path")
-    some = pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= sample)
+    some = pairs if sample is None else pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= sample)
     names = some.groupBy("type").agg(F.sort_array(F.collect_list("path")).alias("sample_files"))
     advice = RT.suggestion_table(violations.sparkSession)
     severity = R.severity_name(F.col("rank"))
@@ -207,7 +207,6 @@ def refactoring_hints(violations: DataFrame, metrics: DataFrame, cycles: DataFra
         violations.groupBy("path", "type")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(_gain_tenths(F.col("severity"))).alias("tenths"))
         .join(rules, "type")
-        .filter(F.col("n") >= F.coalesce("min_count", F.lit(1)))
         .select("path", F.col("type").alias("violation_type"), "pattern_name", "priority", "rationale", "steps", (F.col("tenths") / 10).alias("gain"))
     )
     name, priority, why, steps = RT.HIGH_IMPORT_HINT

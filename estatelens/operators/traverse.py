@@ -16,7 +16,6 @@ from ..session import Written, materialize
 
 UNKNOWN_RATING = 10.0
 FRAGILE = 6.0
-MAX_DEPTH = 5
 HOT_SHARE = 64  # a node counts as hot when it holds more than 1/64 of all edges
 SALTS = 32
 
@@ -68,8 +67,6 @@ class NumberedGraph:
 
 def _hot(links: DataFrame, column: str, total: int) -> DataFrame | None:
     """Nodes with more than 1/HOT_SHARE of all edges. There can be at most HOT_SHARE of them."""
-    if total < 100_000:
-        return None
     rows = (
         links.groupBy(F.col(column).alias("node"))
         .count()
@@ -122,16 +119,27 @@ def number_graph(edges: DataFrame, extra_ids: DataFrame | None = None, keep_para
     return NumberedGraph(nodes, salted, hot_src, hot_dst)
 
 
-def _walk(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """Levels of a shallow walk as one lazy plan: (root, path, depth)."""
+def _walk(edges: DataFrame, roots: DataFrame, depth: int, hot_share: int) -> DataFrame:
+    """Levels of a walk of known depth as one lazy plan: (root, path, depth).
+
+    The dependents of a file with more than 1/``hot_share`` of all edges are spread over SALTS keys, and each frontier
+    row at such a file is repeated for every salt. There are fewer than ``hot_share`` such files.
+    """
     back = edges.select(F.col("target").alias("at"), F.col("source").alias("path")).distinct()
-    level = roots.select(F.col("root"), F.col("root").alias("at")).join(back, "at").select("root", "path")
-    levels = [level.withColumn("depth", F.lit(1))]
-    for d in range(2, depth + 1):
-        level = level.withColumnRenamed("path", "at").join(back, "at").select("root", "path")
-        if d < depth:
+    total = back.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    hot = back.groupBy("at").count().join(F.broadcast(total), F.col("count") * hot_share > F.col("_all")).select("at", F.lit(True).alias("_hot"))
+    spread = lambda df: df.join(F.broadcast(hot), "at", "left")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).otherwise(0)
+    back = spread(back).select("at", "path", salt.alias("_salt"))
+    salts = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    level = roots.select(F.col("root"), F.col("root").alias("at"))
+    levels = []
+    for d in range(1, depth + 1):
+        level = spread(level).select("root", "at", salts.alias("_salt")).join(back, ["at", "_salt"]).select("root", "path")
+        if 1 < d < depth:
             level = level.distinct()
         levels.append(level.withColumn("depth", F.lit(d)))
+        level = level.withColumnRenamed("path", "at")
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)
@@ -196,21 +204,15 @@ def with_rating(df: DataFrame, nodes: DataFrame, column: str = "path", name: str
 
 
 def impact_set(
-    edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 2, fragile_below: float = FRAGILE
+    edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 2, fragile_below: float = FRAGILE, hot_share: int = HOT_SHARE
 ) -> DataFrame:
-    """Files that would feel a change of each root, up to ``depth`` hops (at most 5).
+    """Files that would feel a change of each root, up to ``depth`` hops, which is taken as given.
 
     Output: root, path, depth, severity, rating, fragile. The root itself is left out.
     """
-    depth = min(depth, MAX_DEPTH)
-    roots = roots.select("root").distinct()
-    if depth <= 2:
-        hit = _walk(edges, roots, depth)
-    else:
-        graph = number_graph(edges)
-        found, _ = reach(graph, graph.encode(roots.withColumnRenamed("root", "id"), "id", "root"), depth)
-        hit = graph.decode(graph.decode(found.filter("node <> root"), "root", "_r"), "node", "path")
-        hit = hit.select(F.col("_r").alias("root"), "path", "depth")
+    if depth < 1:
+        raise ValueError("depth is at least 1")
+    hit = _walk(edges, roots.select("root").distinct(), depth, hot_share)
     return with_rating(hit, nodes).select(
         "root",
         "path",

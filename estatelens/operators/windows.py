@@ -101,8 +101,8 @@ def next_in_group(df: DataFrame, group: list[str], order: list[str], value: str,
     return out.withColumn(name, F.coalesce("_in", "_after")).drop("_p", "_in", "_after")
 
 
-def uncovered_ranges(lines: DataFrame, shown: int = 10) -> DataFrame:
-    """Uncovered line numbers as text such as ``1-3, 5`` with the number of ranges left out.
+def uncovered_ranges(lines: DataFrame, shown: int | None = 10) -> DataFrame:
+    """Uncovered line numbers as text such as ``1-3, 5``: the first ``shown`` ranges, or all where it is None.
 
     Range starts and ends are the lines without a neighbour before or after them; the i-th start
     belongs to the i-th end. No file's lines are gathered in one task.
@@ -115,7 +115,7 @@ def uncovered_ranges(lines: DataFrame, shown: int = 10) -> DataFrame:
     )
     marks = materialize(marks.filter("here").drop("here"), "ranges").df
     w = Window.partitionBy("path").orderBy("line")
-    top = lambda cond, c: marks.filter(cond).select("path", F.col("line").alias(c), F.row_number().over(w).alias("rn")).filter(F.col("rn") <= shown)
+    top = lambda cond, c: marks.filter(cond).select("path", F.col("line").alias(c), F.row_number().over(w).alias("rn")).filter(F.lit(True) if shown is None else F.col("rn") <= shown)
     first = top("NOT has_prev", "a").join(top("NOT has_next", "b"), ["path", "rn"])
     item = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(
         F.concat(F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string"))
@@ -126,7 +126,7 @@ def uncovered_ranges(lines: DataFrame, shown: int = 10) -> DataFrame:
         ).alias("ranges")
     )
     counts = marks.groupBy("path").agg(F.count_if(~F.col("has_prev")).alias("n_ranges"), F.count(F.lit(1)).alias("n_lines"))
-    more = F.when(
+    more = F.lit("") if shown is None else F.when(
         F.col("n_ranges") > shown, F.concat(F.lit(" (+"), (F.col("n_ranges") - shown).cast("string"), F.lit(" more)"))
     ).otherwise("")
     return text.join(counts, "path").select(

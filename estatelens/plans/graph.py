@@ -85,6 +85,33 @@ def _(t):
     return TR.impact_set(t.local, t.nodes, t.roots, 2)
 
 
+@add(
+    "impact_set_salted",
+    with_parts(
+        """SELECT root, path, depth, CASE depth WHEN 1 THEN 'direct' ELSE 'indirect' END AS severity, rating, rating < 6 AS fragile FROM impact2""", "impact2"
+    ),
+)
+def _(t):
+    return TR.impact_set(t.local, t.nodes, t.roots, 2, hot_share=1000)
+
+
+@add(
+    "impact_set_depth6",
+    with_parts(
+        """, worst6 AS (SELECT repo, arg_min(id, (rating, id)) AS root FROM nodes GROUP BY repo),
+        r6 AS (SELECT root, root AS path, 0 AS depth FROM worst6
+            UNION SELECT r6.root, e.source, r6.depth + 1 FROM r6 JOIN local e ON e.target = r6.path WHERE r6.depth < 6)
+        SELECT root, path, CAST(min(depth) AS INT) AS depth, CASE min(depth) WHEN 1 THEN 'direct' ELSE 'indirect' END AS severity,
+            any_value(coalesce(n.rating, 10.0)) AS rating, any_value(coalesce(n.rating, 10.0)) < 6 AS fragile
+        FROM r6 LEFT JOIN nodes n ON n.id = r6.path WHERE path <> root GROUP BY root, path""",
+        "local",
+        "nodes",
+    ),
+)
+def _(t):
+    return TR.impact_set(t.local, t.nodes, t.worst.select(F.col("worst").alias("root")), 6)
+
+
 @add(
     "impact_set_deep",
     with_parts(
@@ -194,21 +221,21 @@ def _(t):
 @add(
     "adjacency",
     with_parts(
-        """SELECT source AS path, CAST(0 AS BIGINT) AS chunk_no, count(*) AS degree, string_agg(target, ',' ORDER BY target) AS neighbours FROM local GROUP BY 1""", "local"
+        """SELECT source AS path, count(*) OVER (PARTITION BY source) AS degree, target AS neighbour FROM local""", "local"
     ),
 )
 def _(t):
-    return CE.adjacency(t.local).withColumn("neighbours", F.array_join("neighbours", ","))
+    return CE.adjacency(t.local).select("path", "degree", F.explode("neighbours").alias("neighbour"))
 
 
 @add(
     "reverse_adjacency",
     with_parts(
-        """SELECT target AS path, CAST(0 AS BIGINT) AS chunk_no, count(*) AS degree, string_agg(source, ',' ORDER BY source) AS neighbours FROM local GROUP BY 1""", "local"
+        """SELECT target AS path, count(*) OVER (PARTITION BY target) AS degree, source AS neighbour FROM local""", "local"
     ),
 )
 def _(t):
-    return CE.adjacency(t.local, reverse=True).withColumn("neighbours", F.array_join("neighbours", ","))
+    return CE.adjacency(t.local, reverse=True, chunk=5).select("path", "degree", F.explode("neighbours").alias("neighbour"))
 
 
 @add("cycle_groups", with_parts("SELECT * FROM scc", "scc"))
@@ -277,7 +304,33 @@ def _(t):
     return OR.fix_order(t.acyclic, t.nodes)
 
 
-@add("fix_order_cyclic")
+@add(
+    "fix_order_cyclic",
+    with_parts(
+        """, rated_n AS (SELECT repo, id, coalesce(rating, 10.0) AS rating FROM nodes),
+        inner_e AS (SELECT DISTINCT a.repo, e.source, e.target FROM sparse e JOIN rated_n a ON a.id = e.source JOIN rated_n b ON b.id = e.target AND b.repo = a.repo WHERE e.source <> e.target),
+        per AS (SELECT repo, count(*) AS total FROM rated_n GROUP BY repo),
+        p AS (
+            SELECT repo, -1 AS level, CAST([] AS VARCHAR[]) AS done, CAST([] AS VARCHAR[]) AS fresh FROM per
+            UNION ALL
+            SELECT s.repo, s.level + 1, list_concat(s.done, s.pick), s.pick
+            FROM (
+                SELECT o.repo, o.level, any_value(o.done) AS done,
+                    CASE WHEN count(*) FILTER (o.blocked = 0) > 0 THEN list(o.id) FILTER (o.blocked = 0) ELSE [arg_min(o.id, (o.rating, o.id))] END AS pick
+                FROM (
+                    SELECT p.repo, p.level, n.id, n.rating, any_value(p.done) AS done,
+                        count(e.target) FILTER (NOT list_contains(p.done, e.target)) AS blocked
+                    FROM p JOIN rated_n n ON n.repo = p.repo LEFT JOIN inner_e e ON e.source = n.id
+                    WHERE NOT list_contains(p.done, n.id)
+                    GROUP BY p.repo, p.level, n.id, n.rating
+                ) o GROUP BY o.repo, o.level
+            ) s
+        )
+        SELECT p.repo, f.id AS path, n.rating, p.level FROM p, unnest(p.fresh) AS f(id) JOIN rated_n n ON n.id = f.id""",
+        "sparse",
+        "nodes",
+    ),
+)
 def _(t):
     return OR.fix_order(t.sparse, t.nodes)
 

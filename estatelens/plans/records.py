@@ -641,6 +641,20 @@ def _(t):
     return WN.uncovered_ranges(CV.uncovered(A.coverage_lines(t.spark, t.sf)))
 
 
+@add(
+    "uncovered_ranges_all",
+    with_parts(
+        """, u AS (SELECT path, line, line - row_number() OVER (PARTITION BY path ORDER BY line) AS g FROM cov WHERE hits = 0),
+        i AS (SELECT path, min(line) AS a, max(line) AS b, count(*) AS n FROM u GROUP BY path, g)
+        SELECT path, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_ranges,
+          string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM i GROUP BY path""",
+        "cov",
+    ),
+)
+def _(t):
+    return WN.uncovered_ranges(CV.uncovered(A.coverage_lines(t.spark, t.sf)), None)
+
+
 _INTENT = lambda rules: "CASE " + " ".join(f"WHEN regexp_matches(trim(text), '(?i){p}') THEN '{n}'" for n, p in rules) + " ELSE 'unrecognised' END"
 
 
@@ -853,6 +867,14 @@ def _(t):
     return PT.violation_patterns(t.violations).withColumn("sample_files", F.array_join("sample_files", ","))
 
 
+@add(
+    "violation_pattern_files",
+    with_parts("SELECT DISTINCT type AS violation_type, path AS file FROM fviol", "fviol"),
+)
+def _(t):
+    return PT.violation_patterns(t.violations, None).select("violation_type", F.explode("sample_files").alias("file"))
+
+
 @add("pattern_fix_order", with_parts("SELECT DISTINCT path FROM fviol", "fviol"))
 def _(t):
     return PT.pattern_fix_order(t.violations)

@@ -72,7 +72,7 @@ def _(t):
 
 @add(
     "find_word_lines",
-    with_parts("SELECT path, CAST(line AS INT) AS line, CAST(instr(text, 'the') AS INT) AS \"column\", substr(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1, 120) AS snippet FROM lines WHERE regexp_matches(text, '\\bthe\\b')", "lines"),
+    with_parts("SELECT path, CAST(line AS INT) AS line, CAST(instr(text, 'the') AS INT) AS \"column\", trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS snippet FROM lines WHERE regexp_matches(text, '\\bthe\\b')", "lines"),
 )
 def _(t):
     return LX.word_lines(t.corpus, "the")
@@ -113,7 +113,7 @@ def _(t):
 @add(
     "why_comments",
     with_parts(
-        """SELECT path AS file, CAST(line AS INT) AS line, substr(trim(regexp_extract(text, '(?i)//\\s*(?:why|because):\\s*(.+)', 1), ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 1, 300) AS text FROM why_lines WHERE regexp_matches(text, '(?i)//\\s*(why|because):\\s*(.+)')""",
+        """SELECT path AS file, CAST(line AS INT) AS line, trim(regexp_extract(text, '(?i)//\\s*(?:why|because):\\s*(.+)', 1), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS text FROM why_lines WHERE regexp_matches(text, '(?i)//\\s*(why|because):\\s*(.+)')""",
         "why_lines",
     ),
 )

@@ -370,7 +370,6 @@ CS_METHOD = r"\b(public|private|protected|internal|static)\s+[\w<>\[\]?]+\s+\w+\
 CS_CLASS = r"\b(class|interface|struct|record)\s+\w+"
 CS_COMPLEXITY = r"\b(if|else if|while|for|foreach|case|catch|\?)\b"
 CS_GOD_METHOD = r"\b(public|private|protected)\s+[\w<>\[\]?]+\s+\w+\s*\("
-CS_DECLARATION = r"\b(class|struct|record|interface)\s+\w+"
 CS_CONSTRUCTOR = r"public\s+\w+\s*\(([^)]+)\)"
 CS_MAGIC_NUMBER = r"[^.a-zA-Z_\"'](\b(?!0\b|1\b)\d{2,}\b)"
 CS_EMPTY_CATCH = r"catch\s*\([^)]*\)\s*\{\s*\}"
@@ -382,9 +381,9 @@ def suggestion_table(spark: SparkSession) -> DataFrame:
 
 
 def refactoring_table(spark: SparkSession) -> DataFrame:
-    rows = [(t, *hint, 1 if t.startswith("any_") else None) for t, hint in REFACTORING_HINTS.items()]
+    rows = [(t, *hint) for t, hint in REFACTORING_HINTS.items()]
     return spark.createDataFrame(
-        rows, "type string, pattern_name string, priority string, rationale string, steps array<string>, min_count int"
+        rows, "type string, pattern_name string, priority string, rationale string, steps array<string>"
     )
 
 

@@ -89,9 +89,10 @@ def scan_tree(spark: SparkSession, root: str, listing_only: bool = False) -> Dat
     return out.select(*cols, F.decode("content", "UTF-8").alias("content"), F.sha1("content").alias("file_hash"))
 
 
-def health_files(spark: SparkSession, root: str, max_files: int = 200) -> DataFrame:
-    """Files of the health report: another skip list (dot folders stay) and the first ``max_files`` paths."""
-    return _source_files(spark, root, RT.HEALTH_SKIP_DIRS, False).select("path").orderBy("path").limit(max_files)
+def health_files(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
+    """Files of the health report: another skip list (dot folders stay); with ``max_files`` only the first paths."""
+    found = _source_files(spark, root, RT.HEALTH_SKIP_DIRS, False).select("path")
+    return found if max_files is None else found.orderBy("path").limit(max_files)
 
 
 def parse_lcov(records: DataFrame) -> dict[str, DataFrame]:
@@ -118,9 +119,9 @@ def parse_lcov(records: DataFrame) -> dict[str, DataFrame]:
 
 
 def read_lcov(spark: SparkSession, paths: list[str] | str, root: str) -> DataFrame:
-    """Split LCOV files into records (root, seq, record)."""
+    """Split LCOV files into records (root, seq, record); ``seq`` orders them by file and place in the file."""
     raw = spark.read.option("lineSep", "end_of_record").text(paths)
-    return raw.select(F.lit(root).alias("root"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("record"))
+    return raw.select(F.lit(root).alias("root"), F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("seq"), F.col("value").alias("record"))
 
 
 def pick_reports(found: DataFrame) -> DataFrame:

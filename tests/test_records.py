@@ -118,23 +118,17 @@ def test_modules_and_distance(spark):
         ("*.TS", "/r/a.ts", False),
     ],
 )
-def test_ignore_rules(spark, text, path, want, monkeypatch):
+def test_ignore_rules(spark, text, path, want):
     rules = SF.parse_ignore(spark.createDataFrame([("/r", text)], "repo string, content string"))
     files = spark.createDataFrame([("/r", path)], "repo string, path string")
     assert FL.ignored(files, rules).first().ignored is want
-    monkeypatch.setattr(FL, "LITERAL_RULES", -1)
-    monkeypatch.setattr(FL, "_few", lambda rules: None)
-    assert FL.ignored(files, rules).first().ignored is want
 
 
-def test_exclude_rules_both_ways(spark, monkeypatch):
+def test_exclude_rules(spark):
     rules = spark.createDataFrame([("global", "**/gen/**"), ("csharp", "*.Designer.cs"), ("typescript", "*.d.ts")], "lang_group string, pattern string")
     files = spark.createDataFrame([("/r/gen/a.ts",), ("/r/A.designer.cs",), ("/r/x.d.ts",), ("/r/x.ts",), ("/r/d.cs",)], "path string")
     want = {"/r/gen/a.ts", "/r/A.designer.cs", "/r/x.d.ts"}
-    hit = lambda: {r.path for r in FL.excluded(files, rules).filter("excluded").collect()}
-    assert hit() == want
-    monkeypatch.setattr(FL, "_few", lambda rules: None)
-    assert hit() == want
+    assert {r.path for r in FL.excluded(files, rules).filter("excluded").collect()} == want
 
 
 LCOV = """TN:
@@ -276,6 +270,13 @@ def test_imports_and_relations(spark):
     }
 
 
+def test_class_relations_take_plain_bases_only(spark):
+    src = "import { Foo, Bar, ns } from './foo'\nclass A extends ns.Foo implements Bar.Inner, Foo {}\nconst B = class extends Foo {}\nexport default class extends Bar {}\nmake(class Named extends Bar {})\n"
+    c = corpus(spark, ("/r/a.ts", "typescript", src))
+    got = {r.rationale for r in LX.enriched_relations(c, spark.createDataFrame([("/r/foo.ts",)], "path string")).collect() if "CALL" not in r.type}
+    assert got == {"A implements Foo", "<expr> extends Foo", "<anonymous> extends Bar", "<expr> extends Bar"}
+
+
 def test_why_comments(spark):
     text = "a // WHY: speed\n/**\n * @tag nothing here\n * Loads the whole table.\n */\nx\n/** short */\n/**\n * Second block summary */"
     got = {(r.id, r.text) for r in LX.why_comments(corpus(spark, ("/a.ts", "typescript", text))).collect()}
