@@ -57,6 +57,13 @@ def pattern_fix_order(violations: DataFrame) -> DataFrame:
     return violations.select("path").distinct()
 
 
+def pattern_total_gain(violations: DataFrame) -> DataFrame:
+    """Rating points that all patterns together cost, one row: (patterns, total_gain)."""
+    worst = violations.groupBy("type").agg(F.max(R.severity_rank(F.col("severity"))).alias("rank"), F.count(F.lit(1)).alias("n"))
+    tenths = F.coalesce(F.sum(F.col("n") * _gain_tenths(R.severity_name(F.col("rank")))), F.lit(0))
+    return worst.agg(F.count(F.lit(1)).alias("patterns"), (tenths / 10).alias("total_gain"))
+
+
 def overall_rating(nodes: DataFrame, mode: str = "graph") -> DataFrame:
     """Overall rating in one of five definitions.
 

@@ -116,6 +116,22 @@ def _(t):
     return out.fillna("", ["source", "target"]).fillna(-1.0, ["rating"])
 
 
+@add(
+    "stream_graph_deltas",
+    with_parts(
+        """SELECT n.id AS path, 'node' AS kind, '' AS source, '' AS target, n.rating FROM nodes n
+        UNION ALL SELECT source, 'edge', source, target, -1 FROM sparse UNION ALL SELECT target, 'edge', source, target, -1 FROM sparse WHERE source <> target""",
+        "nodes",
+        "sparse",
+    ),
+)
+def _(t):
+    folder = t.nodes.inputFiles()[0].rsplit("/", 1)[0]
+    changed = J.read_feed(t.spark, folder, t.nodes.schema).select(F.col("id").alias("path"))
+    out = _run(t, J.graph_deltas(changed, t.nodes, t.sparse))
+    return out.fillna("", ["source", "target"]).fillna(-1.0, ["rating"])
+
+
 @add("first_sessions", "SELECT user_id AS session_id, min(ts) AS ts FROM events GROUP BY 1")
 def _(t):
     return J.first_sessions(_events(t, False))

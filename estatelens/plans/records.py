@@ -875,6 +875,18 @@ def _(t):
     return PT.violation_patterns(t.violations, None).select("violation_type", F.explode("sample_files").alias("file"))
 
 
+@add(
+    "pattern_total_gain",
+    with_parts(
+        """, p AS (SELECT type, max(CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS rank, count(*) AS n FROM fviol GROUP BY 1)
+        SELECT count(*) AS patterns, coalesce(sum(n * CASE rank WHEN 3 THEN 15 WHEN 2 THEN 5 ELSE 1 END), 0) / 10 AS total_gain FROM p""",
+        "fviol",
+    ),
+)
+def _(t):
+    return PT.pattern_total_gain(t.violations)
+
+
 @add("pattern_fix_order", with_parts("SELECT DISTINCT path FROM fviol", "fviol"))
 def _(t):
     return PT.pattern_fix_order(t.violations)

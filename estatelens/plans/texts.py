@@ -25,6 +25,11 @@ def _(t):
     return LX.explode_lines(t.corpus).drop("language")
 
 
+@add("content_hashes", with_parts("SELECT path, sha1(content) AS file_hash FROM corpus", "corpus"))
+def _(t):
+    return t.corpus.select("path", F.sha1("content").alias("file_hash"))
+
+
 @add("file_line_counts", with_parts("SELECT path, CAST(len(string_split(content, chr(10))) AS INT) AS loc FROM corpus", "corpus"))
 def _(t):
     return LX.lexical_metrics(t.corpus).select("path", F.col("loc").cast("int").alias("loc"))
