@@ -1,4 +1,7 @@
-"""Unexpected cross-module edges, suggested questions, module roll-ups and node explanations."""
+"""Unexpected cross-module edges, suggested questions, module roll-ups and node explanations.
+
+The texts of messages, labels and questions here are fixed values: results must hold them word for word.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Coverage roll-ups and the violations that follow from them."""
+"""Coverage roll-ups and the violations that follow from them.
+
+The texts of messages, labels and questions here are fixed values: results must hold them word for word.
+"""
 
 from __future__ import annotations
 

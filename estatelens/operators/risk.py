@@ -1,4 +1,7 @@
-"""Edit-risk verdicts. Each verdict keeps its own rule; they differ on purpose."""
+"""Edit-risk verdicts. Each verdict keeps its own rule; they differ on purpose.
+
+The texts of messages, labels and questions here are fixed values: results must hold them word for word.
+"""
 
 from __future__ import annotations
 

@@ -241,28 +241,121 @@ RELATION_WEIGHTS = {
 }
 
 # C# and .NET type names that never count as a dependency.
-BUILTIN_TYPES = """
-String Int32 Int64 Boolean Byte Char Decimal Double Float
-Single Object Void DateTime DateTimeOffset TimeSpan Guid
-Task ValueTask List Dictionary HashSet IEnumerable IList
-IDictionary ICollection IQueryable ILogger IConfiguration
-CancellationToken Exception ArgumentException ArgumentNullException
-InvalidOperationException NotImplementedException NotSupportedException
-Action Func Predicate EventHandler Nullable Lazy
-Console Math Convert Enumerable StringBuilder Regex
-File Path Directory Stream StreamReader StreamWriter
-HttpClient HttpContext HttpRequest HttpResponse
-JsonSerializer JsonConvert JObject JArray JToken
-IServiceProvider IServiceCollection IHostEnvironment IWebHostEnvironment
-Assert Fact Theory Test TestFixture SetUp TearDown
-Migration MigrationBuilder OperationBuilder ColumnBuilder CreateTableBuilder
-DbContext DbSet ModelBuilder EntityTypeBuilder
-""".split()
+BUILTIN_TYPES = [
+    "String",
+    "Int32",
+    "Int64",
+    "Boolean",
+    "Byte",
+    "Char",
+    "Decimal",
+    "Double",
+    "Float",
+    "Single",
+    "Object",
+    "Void",
+    "DateTime",
+    "DateTimeOffset",
+    "TimeSpan",
+    "Guid",
+    "Task",
+    "ValueTask",
+    "List",
+    "Dictionary",
+    "HashSet",
+    "IEnumerable",
+    "IList",
+    "IDictionary",
+    "ICollection",
+    "IQueryable",
+    "ILogger",
+    "IConfiguration",
+    "CancellationToken",
+    "Exception",
+    "ArgumentException",
+    "ArgumentNullException",
+    "InvalidOperationException",
+    "NotImplementedException",
+    "NotSupportedException",
+    "Action",
+    "Func",
+    "Predicate",
+    "EventHandler",
+    "Nullable",
+    "Lazy",
+    "Console",
+    "Math",
+    "Convert",
+    "Enumerable",
+    "StringBuilder",
+    "Regex",
+    "File",
+    "Path",
+    "Directory",
+    "Stream",
+    "StreamReader",
+    "StreamWriter",
+    "HttpClient",
+    "HttpContext",
+    "HttpRequest",
+    "HttpResponse",
+    "JsonSerializer",
+    "JsonConvert",
+    "JObject",
+    "JArray",
+    "JToken",
+    "IServiceProvider",
+    "IServiceCollection",
+    "IHostEnvironment",
+    "IWebHostEnvironment",
+    "Assert",
+    "Fact",
+    "Theory",
+    "Test",
+    "TestFixture",
+    "SetUp",
+    "TearDown",
+    "Migration",
+    "MigrationBuilder",
+    "OperationBuilder",
+    "ColumnBuilder",
+    "CreateTableBuilder",
+    "DbContext",
+    "DbSet",
+    "ModelBuilder",
+    "EntityTypeBuilder",
+]
 
 # Folders a source scan does not enter (scanner list; it also skips dot folders).
-SCAN_SKIP_DIRS = "node_modules dist build .git .next out coverage vendor .cache __pycache__ bin obj".split()
+SCAN_SKIP_DIRS = [
+    "node_modules",
+    "dist",
+    "build",
+    ".git",
+    ".next",
+    "out",
+    "coverage",
+    "vendor",
+    ".cache",
+    "__pycache__",
+    "bin",
+    "obj",
+]
 # Folders the health scan does not enter.
-HEALTH_SKIP_DIRS = "node_modules .git dist bin obj build .next coverage .cache .turbo out target".split()
+HEALTH_SKIP_DIRS = [
+    "node_modules",
+    ".git",
+    "dist",
+    "bin",
+    "obj",
+    "build",
+    ".next",
+    "coverage",
+    ".cache",
+    ".turbo",
+    "out",
+    "target",
+]
 
 # Path patterns of test files.
 TEST_FILE_PATTERNS = [

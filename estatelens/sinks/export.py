@@ -84,6 +84,7 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def cypher_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Cypher import script as rows (section, key, ord, line)."""
     spark = nodes.sparkSession
+    # The head and the statement texts below.
     head = [
         "// Cypher import script",
         "// Run: cypher-shell < graph.cypher",
