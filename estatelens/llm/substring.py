@@ -28,9 +28,9 @@ WINDOW, BLOCK = 13, 7
 #: Size of each of the two filters; 8 MB at any data size.
 FILTER_BITS = 1 << 26
 #: Text bytes whose hashes meet in one slice.
-SLICE_BYTES = 24_000_000
+SLICE_BYTES = 16_000_000
 #: Text bytes that a task packs at a time.
-PACK_BYTES = 16_000_000
+PACK_BYTES = 6_000_000
 _LOW = (1 << 48) - 1
 
 
@@ -198,6 +198,7 @@ def repeated_windows(docs: DataFrame, heads: DataFrame) -> DataFrame:
     filters = spark.sparkContext.broadcast(filters)
     rows = materialize(docs.mapInArrow(_candidates(wanted, filters, n_slices, per_slice), "w long, c int, doc_id long"), "substring-windows").df
     first = rows.groupBy("w", "c").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
+    first = materialize(first.select("w", "c", "_a"), "substring-first").df  # its own table, so that AQE can split hot windows
     return materialize(rows.join(first, ["w", "c"]).where("doc_id > _a").select("doc_id", "w"), "substring-removed").df
 
 
@@ -213,8 +214,10 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """
     docs = only(docs, doc_id="long", text="string").where("doc_id is not null")
     member = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("key")).where("key is not null")
-    head = member.groupBy("key").agg(F.min("doc_id").alias("head"))
-    keyed = materialize(member.join(head, "key"), "substring-copies").df
+    head = member.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    head = materialize(head.select("key", "head"), "substring-heads").df
+    keyed = member.join(head, "key", "left").withColumn("head", F.coalesce("head", "doc_id"))
+    keyed = materialize(keyed, "substring-copies").df
     removed = repeated_windows(docs, keyed.select(F.col("head").alias("doc_id")).distinct())
     removed = removed.groupBy("doc_id").agg(F.collect_set("w").alias("removed"))  # at most the windows of one document
     later = keyed.where("head < doc_id").groupBy("doc_id").agg(F.collect_set("key").alias("copies"))
