@@ -213,7 +213,7 @@ def test_quality_held_out_accuracy(spark):
 def test_quality_without_both_classes(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert fit(documents, none) is None
-    assert quality_rules(documents, none).where("kept <> not base_failed").count() == 0
+    assert quality_rules(documents, none).where("kept = base_failed").count() == 0
 
 
 def test_empty_tables(spark):
