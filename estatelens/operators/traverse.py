@@ -126,8 +126,8 @@ def _walk(edges: DataFrame, roots: DataFrame, depth: int, hot_share: int) -> Dat
     row at such a file is repeated for every salt. There are fewer than ``hot_share`` such files.
     """
     back = edges.select(F.col("target").alias("at"), F.col("source").alias("path")).distinct()
-    total = back.agg(F.count(F.lit(1)).alias("_all"))  # one row
-    hot = back.groupBy("at").count().join(F.broadcast(total), F.col("count") * hot_share > F.col("_all")).select("at", F.lit(True).alias("_hot"))
+    total = back.agg(F.count(F.lit(1)))
+    hot = back.groupBy("at").count().where(F.col("count") * hot_share > total.scalar()).select("at", F.lit(True).alias("_hot"))
     spread = lambda df: df.join(F.broadcast(hot), "at", "left")
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).otherwise(0)
     back = spread(back).select("at", "path", salt.alias("_salt"))
