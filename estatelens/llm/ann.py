@@ -29,6 +29,8 @@ SAMPLE = 8192
 LEAF = 24
 #: Candidates, counted once for each tree that offers them, after which a query stops opening leaves.
 SEARCH = 24_000
+#: The same, as a multiple of the different vectors where that is more: recall falls when the share searched falls.
+SHARE = 1.2
 BLOCK = 4096
 
 
@@ -188,7 +190,7 @@ def nearest(vectors: DataFrame, every: int = K, trees: int = TREES, search: int
     for r in sizes.collect():  # one row for each leaf of the bounded forest
         counts[r["tree"]][r["leaf"]] = r["count"]
     asked = ask.df.dropDuplicates(["query"]).select(F.col("query").alias("key"), "v")
-    probes = materialize(asked.mapInArrow(_search(forest, counts, search), "query long, tree int, leaf int"), "ann-probes").df
+    probes = materialize(asked.mapInArrow(_search(forest, counts, max(search, int(SHARE * kept.rows))), "query long, tree int, leaf int"), "ann-probes").df
     load = probes.groupBy("tree", "leaf").count().withColumnRenamed("count", "n_queries")
     split = sizes.join(load, ["tree", "leaf"]).select("tree", "leaf", F.ceil(F.col("count") / BLOCK).alias("nb"), F.ceil(F.col("n_queries") / BLOCK).alias("nq"))
     split = materialize(split, "ann-split").df
