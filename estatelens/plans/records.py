@@ -115,8 +115,9 @@ def _(t):
     with_parts("SELECT repo, id AS path, language, rating, loc, n_violations, 'Resolve it' AS first_fix, TIMESTAMP '2024-01-01' + to_seconds(loc) AS analyzed_at FROM nodes WHERE n_violations > 0", "nodes"),
 )
 def _(t):
+    numbers = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), "n_violations")), lambda i: i <= F.col("n_violations"))  # none where it is 0
     v = F.transform(
-        F.sequence(F.lit(1), F.col("n_violations")),
+        numbers,
         lambda i: F.struct(F.lit("x").alias("type"), F.lit("info").alias("severity"), F.when(i % 2 == 1, "Resolve it").otherwise('{"description":"Resolve it","confidence":"deterministic"}').alias("fix")),
     )
     blob = F.to_json(
@@ -125,7 +126,7 @@ def _(t):
             ((F.lit(1704067200).cast("long") + F.col("loc")) * 1000).alias("analyzedAt"), v.alias("violations"),
         )
     )
-    a = TB.from_blob(t.nodes.filter("n_violations > 0").select(blob.alias("data")))
+    a = TB.from_blob(t.nodes.select(blob.alias("data")))
     return a.select(
         "repo", "path", "language", "rating", F.col("metrics.linesOfCode").alias("loc"), F.size("violations").alias("n_violations"),
         F.array_max(F.transform("violations", lambda v: v["fix"]["description"])).alias("first_fix"), F.col("analyzedAt").cast("timestamp_ntz").alias("analyzed_at"),

@@ -318,6 +318,19 @@ def test_blobs(spark):
     assert [v.type for v in ordered] == ["y", "x"]
 
 
+def test_blobs_of_files_without_violations(spark, sf, tmp_path):
+    import __spark_entry__ as entry
+
+    for name in ("part", "lineitem"):
+        t = spark.read.parquet(f"{sf}/{name}.parquet")
+        t.where("true" if name == "part" else "l_partkey % 3 > 0").write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = entry.queries()["analysis_blobs"](spark, str(tmp_path)).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/part.parquet").count()
+    bare = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 3 = 0").count()
+    assert bare and sum(r.n_violations == 0 for r in rows) >= bare
+    assert all((r.first_fix is None) == (r.n_violations == 0) for r in rows)
+
+
 def test_merge_graphs(spark):
     n = lambda rows: spark.createDataFrame([(i, i, r) for i, r in rows], "id string, label string, rating double")
     e = lambda rows: spark.createDataFrame([(s, t, "import", 1.0) for s, t in rows], "source string, target string, type string, strength double")
