@@ -133,6 +133,17 @@ def test_jaccard_join_peels_outliers_of_a_crowd(spark):
     assert got == _components(_sets(rows))
 
 
+def test_jaccard_join_of_one_id_with_two_texts(spark):
+    """Document 5 has two texts: one is a copy of document 1, the other links to 3 alone; 7 holds the like with nulls."""
+    words = lambda name: [f"{name}{i}" for i in range(60)]
+    a, b, c = words("a"), words("b"), words("c")
+    changed = b[:-1] + ["other"]
+    rows = [(1, a), (5, b), (5, a), (3, changed), (4, c), (7, c[1:]), (7, []), (6, words("d"))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in similarity_classes(df).collect()}
+    assert got == {1: 1, 5: 1, 3: 1, 4: 4, 7: 4, 6: 6}
+
+
 RULES = [
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20),
