@@ -93,15 +93,16 @@ def materialize(df: DataFrame, tag: str = "stage", where: Column | None = None)
     return Written(spark.read.schema(df.schema).parquet(path), path, seen.get["rows"], seen.get["hits"])
 
 
-def global_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
+def global_index(df: DataFrame, *order: str, name: str = "idx", within: tuple[str, ...] = ()) -> DataFrame:
     """0-based position of each row under a total order, without a single-task window.
 
     Rows are range-partitioned and sorted; each partition numbers its rows, and the offsets come
-    from per-partition counts (one row per partition, so broadcasting them is bounded).
+    from per-partition counts (one row per partition, so broadcasting them is bounded). Columns in
+    ``within`` end the order but draw no partition boundaries, so their values are not sampled.
     """
     numbered = materialize(
         df.repartitionByRange(*[F.col(c) for c in order])
-        .sortWithinPartitions(*order)
+        .sortWithinPartitions(*order, *within)
         .withColumn("_m", F.monotonically_increasing_id()),
         "index",
     ).df
