@@ -15,9 +15,12 @@ from .jaccard import similarity_classes
 from .mixing import label_topics, mixed_sample
 from .packing import packed_tokens
 from .quality import quality_rules
+from .repair import damaged, repaired, repaired_digest
+from .search import ranked_search
 from .secrets import RULES, joined, secret_scan
 from .sentencepiece import encode
 from .substring import substring_dedup
+from .urls import labelled_urls, rule_table, url_verdicts
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +86,30 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of every conversation, after the set damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    summary, turns = repaired(damaged(conversations))
+    all_ = conversations.select("conv_id").distinct().alias("o")
+    out = all_.join(summary.alias("s"), F.expr("o.conv_id <=> s.conv_id"), "left").join(repaired_digest(turns).alias("d"), F.expr("o.conv_id <=> d.conv_id"), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select("o.conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", none).alias("repaired_sha256"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return url_verdicts(table(spark, sf_dir, "pages"), labelled_urls(spark), rule_table(spark)).drop("probability")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_nearest_neighbours, op3_substring_dedup, op4_token_counts, op5_secret_scan, op6_quality_rules, op7_source_mixing, op8_jaccard_join, op9_chat_formatting, op10_token_packing)
+    for f in (op1_sentencepiece, op2_nearest_neighbours, op3_substring_dedup, op4_token_counts, op5_secret_scan, op6_quality_rules, op7_source_mixing, op8_jaccard_join, op9_chat_formatting, op10_token_packing, op11_ranked_search, op12_conversation_repair, op13_url_filter)
 }
 
 SQL: dict[str, str] = {
@@ -149,4 +173,77 @@ SQL: dict[str, str] = {
             FROM j)
         SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, level, role, json) AS position FROM f
     """,
+    "op11_ranked_search": r"""
+        WITH d AS (
+            SELECT doc_id, list_aggregate(map_values(h), 'sum') AS n, h
+            FROM (SELECT doc_id, list_histogram(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS h FROM documents)
+            WHERE cardinality(h) > 0),
+        c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+        p AS (SELECT doc_id, n, unnest(map_keys(h)) AS term, CAST(unnest(map_values(h)) AS BIGINT) AS tf FROM d),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+        q AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+            GROUP BY item_id, term),
+        s AS (
+            SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * CAST(n AS BIGINT) * docs) // terms)))) AS BIGINT) AS score
+            FROM q JOIN w USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 10
+    """,
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE raw AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+            FROM conversations),
+        hit AS (
+            SELECT *, (xor(4294967295::UBIGINT, list_reduce(
+                list_prepend(4294967295::UBIGINT, list_transform(range(1, len(k) + 1), lambda i: ascii(substr(k, i, 1))::UBIGINT)),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda x, j: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))))) % 20 AS kind
+            FROM raw),
+        dam AS (
+            SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM hit, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS r(copy)),
+        pos AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+                CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS initial
+            FROM dam),
+        fault AS (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'none' END AS fault,
+                lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS prev
+            FROM pos),
+        conv AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                count(*) FILTER (prev || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM fault GROUP BY conv_id),
+        grow(q, ins, to_, lines) AS (VALUES
+            (0, '', 0, ''), (0, 'I', 2, 'user:' || chr(10)), (0, 'II', 3, 'user:' || chr(10) || 'assistant:' || chr(10)),
+            (1, '', 1, ''), (1, 'I', 2, 'user:' || chr(10)), (1, 'II', 3, 'user:' || chr(10) || 'assistant:' || chr(10)),
+            (2, '', 2, ''), (2, 'I', 3, 'assistant:' || chr(10)), (2, 'II', 2, 'assistant:' || chr(10) || 'user:' || chr(10)),
+            (3, '', 3, ''), (3, 'I', 2, 'user:' || chr(10)), (3, 'II', 3, 'user:' || chr(10) || 'assistant:' || chr(10))),
+        keeps(q, initial, to_) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+        edit AS (
+            SELECT f.conv_id, f.i, g.q, g.ins || e.e AS audit, 3 * len(g.ins) + e.c + CASE WHEN e.e <> 'D' AND f.fault = 'truncated' THEN 3 ELSE 0 END AS cost, e.t AS to_,
+                g.lines || CASE e.e WHEN 'D' THEN '' WHEN 'K' THEN f.role || ':' || f.text || chr(10) ELSE CASE e.t WHEN 3 THEN 'assistant:' ELSE 'user:' END || f.text || chr(10) END AS lines
+            FROM fault f, grow g, LATERAL (
+                SELECT 'D' AS e, 4 AS c, g.to_ AS t
+                UNION ALL SELECT 'R', 3, CASE g.to_ WHEN 2 THEN 3 ELSE 2 END WHERE f.fault NOT IN ('blank', 'duplicate')
+                UNION ALL SELECT 'K', 0, k.to_ FROM keeps k WHERE k.q = g.to_ AND k.initial = f.initial AND f.fault NOT IN ('blank', 'duplicate')) e),
+        step AS (SELECT conv_id, i, q, to_, min({'cost': cost, 'audit': audit, 'lines': lines}) AS s FROM edit GROUP BY ALL),
+        best(conv_id, i, q, s) AS (
+            SELECT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'lines': ''} FROM conv
+            UNION ALL
+            SELECT b.conv_id, b.i + 1, t.to_, min({'cost': b.s.cost + t.s.cost, 'audit': b.s.audit || t.s.audit, 'lines': b.s.lines || t.s.lines})
+            FROM best b JOIN step t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.i = b.i + 1 AND t.q = b.q
+            GROUP BY b.conv_id, b.i, t.to_),
+        done AS (
+            SELECT b.conv_id, min({'cost': b.s.cost + 3 * len(g.ins), 'audit': b.s.audit || g.ins, 'lines': b.s.lines || g.lines}) AS s
+            FROM best b JOIN conv c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.n = b.i JOIN grow g ON g.q = b.q AND g.to_ IN (0, 3) GROUP BY b.conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+            coalesce(illegal, 0) AS illegal, coalesce(s.cost, 0) AS cost, coalesce(s.audit, '') AS audit, sha256(coalesce(s.lines[:-2], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN conv c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
 }
