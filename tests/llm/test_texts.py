@@ -4,8 +4,9 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
-from estatelens.llm import queries
+from estatelens.llm import jaccard, queries
 from estatelens.llm.jaccard import similarity_classes
 from estatelens.llm.quality import fit, quality_rules
 from estatelens.llm.secrets import joined, redacted, secret_scan
@@ -114,6 +115,33 @@ def test_jaccard_join(request, which):
     assert len(got) == len({r.doc_id for r in got})
 
 
+@pytest.mark.parametrize(("small", "bucket"), [(40_000, 3000), (0, 500)])
+def test_jaccard_join_of_large_clusters(documents, odd, monkeypatch, small, bucket):
+    """Clusters too large for a task: rarest shingles as pivots, then division level by level; many buckets."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    for df in (documents, odd):
+        got = similarity_classes(df).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _components(_sets(_texts(df)))
+
+
+def test_join_cluster_against_all_pairs():
+    """Members around several centres, chains between them, and copies of sets."""
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        centres = [rng.choice(400, 60, replace=False) for _ in range(4)]
+        sets = []
+        for _ in range(40):
+            s = set(centres[rng.integers(4)].tolist())
+            for x in rng.choice(sorted(s), rng.integers(0, 16), replace=False):
+                s.discard(x)
+                s.add(int(rng.integers(1000)))
+            sets.append(np.array(sorted(s), np.uint64))
+        got = jaccard.join_cluster(sets)
+        want = _components({i: frozenset(s.tolist()) for i, s in enumerate(sets)})
+        assert [int(g) for g in got] == [want[i][1] for i in range(len(sets))]
+
+
 def test_jaccard_join_peels_outliers_of_a_crowd(spark):
     """A crowd around one text, documents just outside it, and a chain that only links step by step."""
     base = [f"c{i}" for i in range(100)]
