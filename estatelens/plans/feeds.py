@@ -11,6 +11,7 @@ from ..operators import filters as FL
 from ..session import work_dir
 from ..sources import adapters as A
 from ..streaming import jobs as J
+from ..streaming import stateful as S
 from .context import Catalogue
 from .fragments import r1, with_parts
 
@@ -25,7 +26,10 @@ def _feed(t):
 
 
 def _events(t, stream: bool):
-    e = _feed(t).withColumn("ts", F.col("ts").cast("timestamp")) if stream else t.raw("events")
+    return _as_changes(_feed(t).withColumn("ts", F.col("ts").cast("timestamp")) if stream else t.raw("events"))
+
+
+def _as_changes(e):
     return e.select(
         F.concat(F.lit("/repo_"), (F.col("user_id") % 4).cast("string")).alias("repo"),
         F.concat(F.lit("/file_"), F.col("user_id").cast("string")).alias("path"),
@@ -44,6 +48,27 @@ def _run(t, stream, mode: str = "append"):
     return J.run_to_table(stream, f"{folder}/out", f"{folder}/checkpoint", mode)
 
 
+def _in_slices(t, job, flush: bool = False, slices: int = 3):
+    """What a stateful job gives for all events, landed in slices of time; the job is restarted for each.
+
+    ``flush`` lands a last row, of no repository, a day later: it moves the watermark past all that is open.
+    """
+    folder = f"{work_dir(t.spark)}/feed-{uuid.uuid4().hex}"
+    events = t.raw("events")
+    share = [k / slices for k in range(1, slices)]
+    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), share).alias("at"), F.max("ts").alias("last")).first()
+    at, last = F.unix_micros(F.col("ts").cast("timestamp")), cuts["last"]
+    parts = [events.where((at >= a if a is not None else F.lit(True)) & (at < b if b is not None else F.lit(True))) for a, b in zip([None, *(cuts["at"] or share)], [*(cuts["at"] or share), None], strict=True)]
+    if flush and last is not None:
+        nobody = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else (F.lit(last) + F.expr("INTERVAL 1 DAY")).cast(f.dataType).alias("ts") for f in events.schema.fields]
+        parts.append(t.spark.range(1).select(*nobody))
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/feed")
+        feed = J.read_feed(t.spark, f"{folder}/feed", events.schema, per_trigger=100_000)
+        S.run_feed(job(_as_changes(feed.withColumn("ts", F.col("ts").cast("timestamp")))), f"{folder}/out", f"{folder}/checkpoint")
+    return t.spark.read.parquet(f"{folder}/out")
+
+
 @add(
     "stream_upsert",
     with_parts("SELECT repo, path, arg_max(rating, (recorded_at, seq)) AS rating, arg_max(seq, (recorded_at, seq)) AS seq FROM history GROUP BY 1, 2", "history"),
@@ -147,20 +172,25 @@ def _(t):
     return _run(t, J.scan_progress(_events(t, True).withColumnRenamed("repo", "scan_id")), "complete")
 
 
-@add(
-    "low_rating_alerts",
-    with_parts(
-        f""", p AS (SELECT *, lag(rating) OVER (PARTITION BY repo, path ORDER BY recorded_at, seq) AS prev FROM history),
-        s AS (SELECT *, sum(round((rating - coalesce(prev, 0)) * 10)) OVER w AS t, count(*) FILTER (prev IS NULL) OVER w AS n FROM p WINDOW w AS (PARTITION BY repo ORDER BY recorded_at, seq ROWS UNBOUNDED PRECEDING)),
-        m AS (SELECT *, {r1('t / 10 / n')} AS overall FROM s)
-        SELECT repo, recorded_at, seq, overall FROM m WHERE overall < 5 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY recorded_at, seq) = 1""",
-        "history",
-    ),
+_ALERTS = with_parts(
+    f""", p AS (SELECT *, lag(rating) OVER (PARTITION BY repo, path ORDER BY recorded_at, seq) AS prev FROM history),
+    s AS (SELECT *, sum(round((rating - coalesce(prev, 0)) * 10)) OVER w AS t, count(*) FILTER (prev IS NULL) OVER w AS n FROM p WINDOW w AS (PARTITION BY repo ORDER BY recorded_at, seq ROWS UNBOUNDED PRECEDING)),
+    m AS (SELECT *, {r1('t / 10 / n')} AS overall FROM s)
+    SELECT repo, recorded_at, seq, overall FROM m WHERE overall < 5 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY recorded_at, seq) = 1""",
+    "history",
 )
+
+
+@add("low_rating_alerts", _ALERTS)
 def _(t):
     return J.low_rating_alerts(t.history)
 
 
+@add("stream_low_rating_alerts", _ALERTS)
+def _(t):
+    return _in_slices(t, S.low_rating_alerts).withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
+
+
 @add("stream_latest_items", "SELECT user_id AS id, max(event_id) AS seq, arg_max(event_type, event_id) AS status FROM events GROUP BY 1")
 def _(t):
     feed = _feed(t).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"))
@@ -208,9 +238,7 @@ def _(t):
 
 @add("stream_change_detection", with_parts(_DETECT, "changes"))
 def _(t):
-    folder = f"{work_dir(t.spark)}/feed-{uuid.uuid4().hex}"
-    J.detect_changes_feed(_events(t, True), f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out").select("path", "kind", "seq")
+    return _in_slices(t, S.detect_changes)
 
 
 @add(
@@ -222,6 +250,27 @@ def _(t):
     return J.batch_members(_events(t, False), "10 minutes")
 
 
+@add(
+    "stream_batch_members",
+    with_parts(_SESSIONS.format(gap="'10 minutes'").replace("SELECT repo, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS changes FROM s GROUP BY repo, sid",
+        ", w AS (SELECT repo, sid, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS changes FROM s GROUP BY repo, sid) SELECT DISTINCT s.repo, first_ts, last_ts, changes, s.path FROM s JOIN w ON w.repo = s.repo AND w.sid = s.sid"), "changes"),
+)
+def _(t):
+    out = _in_slices(t, lambda e: S.debounced_paths(e, "10 minutes"), flush=True)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
+
+
+@add(
+    "stream_scan_steps",
+    """WITH n AS (SELECT '/repo_' || (user_id % 4) AS scan_id, count(*) AS n FROM events GROUP BY 1)
+    SELECT scan_id, step, step * 50 AS analyzed FROM n, unnest(range(1, n // 50 + 1)) AS r(step)
+    UNION ALL SELECT scan_id, n // 50 + 1, n FROM n WHERE n % 50 > 0""",
+)
+def _(t):
+    totals = _events(t, False).groupBy("repo").agg(F.count(F.lit(1)).alias("total"))
+    return _in_slices(t, lambda e: S.scan_steps(e.select("repo").join(totals, "repo").withColumnRenamed("repo", "scan_id")))
+
+
 _PUSHED = """, f AS (SELECT DISTINCT l_orderkey AS push_id, path FROM lineitem JOIN files ON part = l_partkey),
   fd AS (SELECT target AS id, count(*) AS dd, count(*) FILTER (n.rating < 6) AS fd FROM local e JOIN nodes n ON n.id = e.source GROUP BY 1),
   g AS (SELECT push_id, count(*) FILTER (rating < 5 OR coalesce(fd, 0) >= 3) AS high, count(*) FILTER ((rating >= 5 AND rating < 7) OR coalesce(fd, 0) >= 1) AS medium, count(*) FILTER (rating >= 7 AND coalesce(fd, 0) = 0) AS low

@@ -103,27 +103,6 @@ def change_sequence(events: DataFrame, bucket: str = "1 hour") -> DataFrame:
     return out.withColumn("kind", kind).filter("kind IS NOT NULL").drop("prev")
 
 
-def detect_changes_feed(sightings: DataFrame, target: str, state: str, checkpoint: str):
-    """Streaming form: each micro-batch is compared with the remembered last sighting of each path.
-
-    The state of batch n is its own table, read from the one of batch n-1, so a batch that runs
-    again gives the same rows. Deleted paths leave the state.
-    """
-    cols = ["path", "mtime", "kind", "ts", "seq"]
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        now = batch.select(*cols).withColumn("_old", F.lit(False))
-        if batch_id > 0:
-            kept = batch.sparkSession.read.schema(batch.select(*cols).schema).parquet(f"{state}/{batch_id - 1}")
-            now = now.unionByName(kept.withColumn("_old", F.lit(True)))
-        found = change_sequence(now).filter("NOT _old").select("path", "kind", "seq")
-        _write_batch(found, batch_id, target)
-        last = ST.latest_by_key(now.drop("_old"), ["path"], ["ts", "seq"]).select(*cols)
-        last.filter("kind <> 'deleted'").write.mode("overwrite").parquet(f"{state}/{batch_id}")
-
-    return sightings.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def _write_batch(rows: DataFrame, batch_id: int, target: str) -> None:
     """Write rows under their batch id: a batch that runs again replaces its own rows only."""
     rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
