@@ -129,8 +129,8 @@ def _link_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return imports.join(dependents, "path", "full_outer")
 
 
-def file_summaries(edges: DataFrame, nodes: DataFrame, violations: DataFrame, top: int = 5) -> DataFrame:
-    """Summary of every file: rating, link counts, severity counts and its first violations."""
+def file_summaries(edges: DataFrame, nodes: DataFrame, violations: DataFrame, top: int | None = 5) -> DataFrame:
+    """Summary of every file: rating, link counts, severity counts and its first violations (None: all of them)."""
     v = violations.groupBy("path").agg(
         *[F.count_if(F.col("severity") == s).alias(s) for s in ("error", "warning", "info")]
     )
@@ -138,7 +138,7 @@ def file_summaries(edges: DataFrame, nodes: DataFrame, violations: DataFrame, to
     w = Window.partitionBy("path").orderBy(order, "type", "line")
     first = (
         violations.withColumn("rn", F.row_number().over(w))
-        .filter(F.col("rn") <= top)
+        .filter(F.lit(True) if top is None else F.col("rn") <= top)
         .groupBy("path")
         .agg(
             F.array_join(

@@ -58,8 +58,8 @@ def impact_verdicts(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth:
     )
 
 
-def edit_safety(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Go / warn / block before an edit, looking three hops deep, with advice."""
+def edit_safety(edges: DataFrame, nodes: DataFrame, roots: DataFrame, named: int | None = 3) -> DataFrame:
+    """Go / warn / block before an edit, looking three hops deep, with advice that names files (None: all fragile ones)."""
     roots = roots.select("root").distinct()
     hit = materialize(impact_set(edges, nodes, roots, 3), "impact").df
     c = _counts(edges, nodes, roots, 3, hit)
@@ -73,7 +73,7 @@ def edit_safety(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFra
     )
     hit = hit.filter("fragile")
     w = Window.partitionBy("root").orderBy("depth", "rating", "path")
-    first = hit.withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
+    first = hit.withColumn("rn", F.row_number().over(w)).filter(F.lit(True) if named is None else F.col("rn") <= named)
     names = first.groupBy("root").agg(
         F.array_join(
             F.transform(

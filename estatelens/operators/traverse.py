@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import Written, materialize
@@ -119,31 +119,56 @@ def number_graph(edges: DataFrame, extra_ids: DataFrame | None = None, keep_para
     return NumberedGraph(nodes, salted, hot_src, hot_dst)
 
 
+class _Dependents:
+    """Edges from a file to its dependents; those of a file with more than 1/``hot_share`` of all edges are spread over
+    SALTS keys. There are fewer than ``hot_share`` such files, and without any the edges stay as they are.
+    """
+
+    def __init__(self, edges: DataFrame, hot_share: int):
+        total = Observation()
+        counts = edges.groupBy("target").count().observe(total, F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
+        most = counts.orderBy(F.desc("count"), "target").limit(hot_share).collect()
+        hot = [(r["target"],) for r in most if r["count"] * hot_share > total.get["n"]]
+        self.back = edges.select(F.col("target").alias("at"), F.col("source").alias("path"))
+        self.hot = edges.sparkSession.createDataFrame(hot, "at string").withColumn("_hot", F.lit(True)) if hot else None
+        if hot:
+            salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).otherwise(0)
+            self.back = self.back.join(F.broadcast(self.hot), "at", "left").select("at", "path", salt.alias("_salt"))
+
+    def step(self, level: DataFrame) -> DataFrame:
+        """(root, path) of the dependents of each row (root, at); rows may repeat."""
+        if self.hot is None:
+            return level.join(self.back, "at").select("root", "path")
+        salts = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+        level = level.join(F.broadcast(self.hot), "at", "left").select("root", "at", salts.alias("_salt"))
+        return level.join(self.back, ["at", "_salt"]).select("root", "path")
+
+
 def _walk(edges: DataFrame, roots: DataFrame, depth: int, hot_share: int) -> DataFrame:
-    """Levels of a walk of known depth as one lazy plan: (root, path, depth).
+    """Levels of a walk of known depth: (root, path, depth), each pair at its least depth.
 
-    The dependents of a file with more than 1/``hot_share`` of all edges are spread over SALTS keys, and each frontier
-    row at such a file is repeated for every salt. There are fewer than ``hot_share`` such files.
+    Two levels are one lazy plan. A deeper walk writes its levels, and a level expands only pairs not seen before, so
+    the plan of each round holds one join with the edges and one with the levels so far.
     """
-    back = edges.select(F.col("target").alias("at"), F.col("source").alias("path")).distinct()
-    total = back.agg(F.count(F.lit(1)))
-    hot = back.groupBy("at").count().where(F.col("count") * hot_share > total.scalar()).select("at", F.lit(True).alias("_hot"))
-    spread = lambda df: df.join(F.broadcast(hot), "at", "left")
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).otherwise(0)
-    back = spread(back).select("at", "path", salt.alias("_salt"))
-    salts = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    dependents = _Dependents(edges, hot_share)
     level = roots.select(F.col("root"), F.col("root").alias("at"))
-    levels = []
+    if depth <= 2:
+        out = first = dependents.step(level).where("path <> root").distinct().withColumn("depth", F.lit(1))
+        if depth == 2:
+            out = first.unionByName(dependents.step(first.select("root", F.col("path").alias("at"))).withColumn("depth", F.lit(2)))
+            out = out.where("path <> root").groupBy("root", "path").agg(F.min("depth").alias("depth"))
+        return out
+    seen: list[Written] = []
     for d in range(1, depth + 1):
-        level = spread(level).select("root", "at", salts.alias("_salt")).join(back, ["at", "_salt"]).select("root", "path")
-        if 1 < d < depth:
-            level = level.distinct()
-        levels.append(level.withColumn("depth", F.lit(d)))
-        level = level.withColumnRenamed("path", "at")
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out.filter("path <> root").groupBy("root", "path").agg(F.min("depth").alias("depth"))
+        new = dependents.step(level).where("path <> root").distinct()
+        for old in _together(seen):
+            new = new.join(old.select("root", "path"), ["root", "path"], "left_anti")
+        done = materialize(new.withColumn("depth", F.lit(d)), "walk")
+        seen.append(done)
+        if not done.rows:
+            break
+        level = done.df.select("root", F.col("path").alias("at"))
+    return _together(seen)[0]
 
 
 def reach(

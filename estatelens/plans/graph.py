@@ -112,6 +112,23 @@ def _(t):
     return TR.impact_set(t.local, t.nodes, t.worst.select(F.col("worst").alias("root")), 6)
 
 
+@add(
+    "impact_set_depth20",
+    with_parts(
+        """, worst6 AS (SELECT repo, arg_min(id, (rating, id)) AS root FROM nodes GROUP BY repo),
+        r6 AS (SELECT root, root AS path, 0 AS depth FROM worst6
+            UNION SELECT r6.root, e.source, r6.depth + 1 FROM r6 JOIN local e ON e.target = r6.path WHERE r6.depth < 20)
+        SELECT root, path, CAST(min(depth) AS INT) AS depth, CASE min(depth) WHEN 1 THEN 'direct' ELSE 'indirect' END AS severity,
+            any_value(coalesce(n.rating, 10.0)) AS rating, any_value(coalesce(n.rating, 10.0)) < 6 AS fragile
+        FROM r6 LEFT JOIN nodes n ON n.id = r6.path WHERE path <> root GROUP BY root, path""",
+        "local",
+        "nodes",
+    ),
+)
+def _(t):
+    return TR.impact_set(t.local, t.nodes, t.worst.select(F.col("worst").alias("root")), 20)
+
+
 @add(
     "impact_set_deep",
     with_parts(

@@ -112,7 +112,7 @@ def _(t):
 
 @add(
     "analysis_blobs",
-    with_parts("SELECT repo, id AS path, language, rating, loc, n_violations, 'Resolve it' AS first_fix, TIMESTAMP '2024-01-01' + to_seconds(loc) AS analyzed_at FROM nodes WHERE n_violations > 0", "nodes"),
+    with_parts("SELECT repo, id AS path, language, rating, loc, n_violations, CASE WHEN n_violations > 0 THEN 'Resolve it' END AS first_fix, TIMESTAMP '2024-01-01' + to_seconds(loc) AS analyzed_at FROM nodes", "nodes"),
 )
 def _(t):
     numbers = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), "n_violations")), lambda i: i <= F.col("n_violations"))  # none where it is 0
@@ -720,34 +720,43 @@ def _(t):
     return JN.file_links(t.local, t.nodes, t.nodes.select(F.col("id").alias("path")))
 
 
-@add(
-    "file_summaries",
-    with_parts(
+def _summaries(keep: str) -> str:
+    return with_parts(
         _LINKS
-        + """, s AS (SELECT path, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM fviol GROUP BY 1),
+        + f""", s AS (SELECT path, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM fviol GROUP BY 1),
         top AS (SELECT path, string_agg(type || ':' || severity || ':' || line, ', ' ORDER BY rn) AS top_violations FROM (
-          SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, type, line) AS rn FROM fviol QUALIFY rn <= 5) GROUP BY 1)
+          SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, type, line) AS rn FROM fviol {keep}) GROUP BY 1)
         SELECT n.id AS path, rating, loc, complexity, coalesce(outs.imports, 0) AS imports, coalesce(dependents, 0) AS dependents, coalesce(fragile_dependents, 0) AS fragile_dependents,
           coalesce(error, 0) AS error, coalesce(warning, 0) AS warning, coalesce(info, 0) AS info, top_violations
         FROM nodes n LEFT JOIN outs ON outs.path = n.id LEFT JOIN weak ON weak.path = n.id LEFT JOIN s ON s.path = n.id LEFT JOIN top ON top.path = n.id""",
         "local",
         "nodes",
         "fviol",
-    ),
-)
+    )
+
+
+@add("file_summaries", _summaries("QUALIFY rn <= 5"))
 def _(t):
     return JN.file_summaries(t.local, t.nodes, t.violations)
 
 
+@add("file_summaries_all", _summaries(""))
+def _(t):
+    return JN.file_summaries(t.local, t.nodes, t.violations, top=None)
+
+
 @add(
     "file_context",
     with_parts(
         _LINKS
         + f""", bd AS ({_BREAKDOWN}), b AS (SELECT path, string_agg(category, '; ' ORDER BY category) AS deductions FROM bd GROUP BY 1)
         SELECT n.id AS path, n.rating, coalesce(outs.imports, 0) AS imports, coalesce(dependents, 0) AS dependents, coalesce(fragile_dependents, 0) AS fragile_dependents,
-          coalesce(scc.size, 0) AS cycle_size, deductions, CASE WHEN r.l > 5 THEN 'improving' END AS direction
+          coalesce(scc.size, 0) AS cycle_size, deductions, CASE WHEN newest > oldest THEN 'improving' WHEN newest < oldest THEN 'declining' WHEN newest = oldest THEN 'stable' END AS direction
         FROM nodes n LEFT JOIN outs ON outs.path = n.id LEFT JOIN weak ON weak.path = n.id LEFT JOIN scc ON scc.path = n.id LEFT JOIN b ON b.path = n.id
-        LEFT JOIN (SELECT id, rating AS l FROM nodes) r ON r.id = n.id""",
+        LEFT JOIN (SELECT path, arg_max(l_quantity, (l_shipdate, seq)) AS newest, arg_min(l_quantity, (l_shipdate, seq)) AS oldest FROM (
+            SELECT path, l_quantity, l_shipdate, l_orderkey * 8 + l_linenumber AS seq FROM lineitem JOIN files ON part = l_partkey
+            QUALIFY row_number() OVER (PARTITION BY path ORDER BY l_shipdate DESC, seq DESC) <= 20) GROUP BY path HAVING count(*) > 1) r ON r.path = n.id""",
+        "files",
         "local",
         "nodes",
         "scc",
@@ -756,7 +765,10 @@ def _(t):
 )
 def _(t):
     text = _breakdown(t).groupBy("path").agg(F.array_join(F.sort_array(F.collect_list("category")), "; ").alias("deductions"))
-    trend = t.nodes.filter("rating > 5").select(F.col("id").alias("path"), F.lit("improving").alias("direction"))
+    # The history of a file: one rating for each order line of its part.
+    lines = t.raw("lineitem").join(t.files.select("repo", "path", "part"), F.col("l_partkey") == F.col("part"))
+    seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq")
+    trend = WN.trend_direction(lines.select("repo", "path", F.col("l_quantity").cast("double").alias("rating"), F.col("l_shipdate").alias("recorded_at"), seq))
     return JN.file_context(t.local, t.nodes, text, t.components, trend)
 
 
