@@ -11,6 +11,7 @@ start over.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Callable
 
@@ -26,7 +27,6 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published split pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Id of the end mark: the free id after the vocabulary.
-END = 50256
 ROW = 2048
 #: Text bytes of a shard.
 SHARD_BYTES = 8_000_000
@@ -131,14 +131,14 @@ class Tokens:
         return np.split(flat, edges[:-1]) if counts else []
 
 
-_last: list[Tokens] = []
+_last: list[tuple[str, Tokens]] = []
 
 
-def _tokens(ranks: dict[bytes, int]) -> Tokens:
-    """The worker's tokeniser; it outlives the task."""
-    if not _last:
-        _last.append(Tokens(ranks))
-    return _last[0]
+def _tokens(name: str, ranks: dict[bytes, int]) -> Tokens:
+    """The worker's tokeniser of the vocabulary ``name``; it outlives the task, and goes when another one is asked for."""
+    if not _last or _last[0][0] != name:
+        _last[:] = [(name, Tokens(ranks))]
+    return _last[0][1]
 
 
 def pack(ids: list[np.ndarray], names: list[int], row: int) -> list[dict]:
@@ -161,7 +161,7 @@ def pack(ids: list[np.ndarray], names: list[int], row: int) -> list[dict]:
     return out
 
 
-def _pack_shard(ranks, row: int) -> Callable:
+def _pack_shard(name: str, ranks, end: int, row: int) -> Callable:
     schema = pa.schema(
         [("shard", pa.int64()), ("row", pa.int32()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())),
          ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("resets", pa.list_(pa.int32()))]
@@ -169,9 +169,9 @@ def _pack_shard(ranks, row: int) -> Callable:
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        tokens, end = _tokens(ranks.value), np.array([END], np.uint16)
+        tokens, mark = _tokens(name, ranks.value), np.array([end], np.uint16)
         texts = group.column("text").to_pylist()
-        ids = [np.r_[x, end] for k in range(0, len(texts), 1000) for x in tokens.encode(texts[k : k + 1000])]
+        ids = [np.r_[x, mark] for k in range(0, len(texts), 1000) for x in tokens.encode(texts[k : k + 1000])]
         shard = group.column("shard")[0].as_py()
         rows = pack(ids, group.column("doc_id").to_pylist(), row)
         return pa.Table.from_pylist([{"shard": shard, "row": i, **r} for i, r in enumerate(rows)], schema)
@@ -191,9 +191,13 @@ def packed_tokens(docs: DataFrame, ranks_path: str = RANKS, row: int = ROW, shar
     shards = max(1, -(-size // shard_bytes))
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        raw = f.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    end = max(ranks.values()) + 1  # the end mark follows the vocabulary
+    if end > 0xFFFF:
+        raise ValueError(f"{end + 1} ids do not fit two bytes")
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(_pack_shard(spark.sparkContext.broadcast(ranks), row), SCHEMA)
+    return dealt.groupBy("shard").applyInArrow(_pack_shard(hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(ranks), end, row), SCHEMA)
 
 
 def unpacked(packed: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ every whole text in Arrow batches; a document is kept at a calibrated probabilit
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,8 @@ MIN_WORDS = 50
 #: A text fails when so many per cent of its words lie in repeated windows of three words.
 MOST_REPEATED = 50
 EPOCHS, RATE, RIDGE = 150, 0.2, 1e-6
+#: Features that the fit looks at together.
+PART = 1 << 18
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -112,11 +116,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     got = docs.join(chosen, "doc_id").mapInArrow(_sampled_features, "doc_id long, good int, slots array<int>, shares array<float>").toArrow()
     if not got.num_rows or len(set(got.column("good").to_pylist())) < 2:
         return None
+    got = got.combine_chunks()
     got = got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))
     ids, y = got.column("doc_id").to_numpy(), got.column("good").to_numpy().astype(float)
     slots, shares = got.column("slots").combine_chunks(), got.column("shares").combine_chunks()
-    n = np.diff(slots.offsets.to_numpy())
-    row, col, val = np.repeat(np.arange(len(y)), n), slots.flatten().to_numpy(), shares.flatten().to_numpy().astype(float)
+    first = slots.offsets.to_numpy().astype(np.int64)
+    col, val = slots.values.to_numpy(), shares.values.to_numpy()
+    cuts = np.unique(np.r_[0, np.searchsorted(first, np.arange(PART, first[-1], PART)), len(y)])
+    parts = list(zip(cuts[:-1], cuts[1:], strict=True))  # documents with about PART features
     held = K.mix(ids.astype(K.U64)) % K.U64(4) == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
@@ -125,11 +132,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     dims = FAMILIES * SLOTS
 
     def score(x):
-        return np.bincount(row, x[col] * val, len(y)) + x[-1]
+        out = np.full(len(y), x[-1])
+        for a, e in parts:
+            at = slice(first[a], first[e])
+            out[a:e] += K.sums(x[col[at]] * val[at], first[a : e + 1] - first[a])
+        return out
 
     def grad(x):
         err = weight * (_sigmoid(score(x)) - y)
-        return np.r_[np.bincount(col, err[row] * val, dims) + RIDGE * x[:-1], err.sum()]
+        out = RIDGE * x
+        out[-1] = err.sum()
+        for a, e in parts:
+            at = slice(first[a], first[e])
+            out[:-1] += np.bincount(col[at], np.repeat(err[a:e], np.diff(first[a : e + 1])) * val[at], dims)
+        return out
 
     x = _adam(grad, np.zeros(dims + 1), EPOCHS, RATE)
     model = Model(x[:-1], float(x[-1]))
@@ -181,6 +197,7 @@ def _rules(model):
             yield pa.record_batch(
                 {
                     "doc_id": b.column("doc_id"),
+                    "digest": pa.array([hashlib.md5(raw[x:y]).hexdigest() for x, y in zip(t.offsets[:-1], t.offsets[1:], strict=True)], pa.string()),
                     "n_words": pa.array(n_words, pa.int64()),
                     "word_chars": K.sums((lead & t.inside).astype(np.int64), t.offsets),
                     "n_symbols": K.sums(SYMBOLS[t.buf].astype(np.int64), t.offsets),
@@ -195,14 +212,14 @@ def _rules(model):
     return run
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
+SCHEMA = "doc_id long, digest string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Base counts, base verdict, calibrated probability and verdict of each row of ``docs(doc_id, text)``.
 
     ``labels(doc_id, quality)`` trains the classifier; without labelled documents of both classes only the base rules
-    decide. A null text has no words and fails the base rules. Rows repeat as they are in the input, a null doc_id
+    decide. ``digest`` is the md5 of the text, by which rows of one doc_id with several texts can be told apart. A null text has no words and fails the base rules. Rows repeat as they are in the input, a null doc_id
     included. Other columns take no part. An empty table gives no rows.
     """
     docs = only(docs, doc_id="long", text="string")

@@ -58,7 +58,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document; the classifier is fitted on the table's labels."""
-    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("probability")
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("digest", "probability")
 
 
 #: Powers of the token shares that op7 and the pipeline aim at, for each dimension.

@@ -269,3 +269,19 @@ def test_chat_linking(spark):
     assert by[1, 1].json == '{"arguments":{"a":1,"b":2.5},"call_id":"x","name":"sum","role":"assistant","turn":1}'
     for r in rows:
         assert json.dumps(json.loads(r.json), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r.json
+
+
+def test_packing_with_a_second_vocabulary(spark, tmp_path):
+    """A worker that has packed with one vocabulary packs with the next one's ids; too many ids are refused."""
+    import base64
+
+    docs = spark.createDataFrame([(1, "ab ba"), (2, "b")], "doc_id long, text string").coalesce(1)
+    for shift in (0, 7):
+        ranks = tmp_path / f"ranks{shift}"
+        ranks.write_bytes(b"\n".join(base64.b64encode(bytes([k])) + b" %d" % ((k + shift) % 256) for k in range(256)))
+        ids = {r.doc_id: list(r.ids) for r in unpacked(packed_tokens(docs, str(ranks))).collect()}
+        assert ids == {i: [(x + shift) % 256 for x in t.encode()] + [256] for i, t in ((1, "ab ba"), (2, "b"))}
+    wide = tmp_path / "wide"
+    wide.write_bytes(b"\n".join(base64.b64encode(bytes([k])) + b" %d" % (k + 70_000) for k in range(256)))
+    with pytest.raises(ValueError, match="two bytes"):
+        packed_tokens(docs, str(wide))
