@@ -26,7 +26,7 @@ from .common import only
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published split pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Id of the end mark: the free id after the vocabulary.
+#: Ids of a packed row.
 ROW = 2048
 #: Text bytes of a shard.
 SHARD_BYTES = 8_000_000
