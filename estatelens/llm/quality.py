@@ -224,4 +224,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """
     docs = only(docs, doc_id="long", text="string")
     model = fit(docs.where("doc_id is not null"), labels, sample)
+    pa.default_memory_pool().release_unused()  # the sample is gone; the driver's memory goes back
     return docs.mapInArrow(_rules(docs.sparkSession.sparkContext.broadcast(model)), SCHEMA)
