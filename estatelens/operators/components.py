@@ -27,6 +27,57 @@ def _trim(links: Written) -> Written:
     return links
 
 
+def _shorten(links: Written) -> tuple[Written, DataFrame, DataFrame] | None:
+    """Replace chains of files with one edge in and one out by a single edge; None where they are few.
+
+    Returns the shorter edges, the files of the chains (node, a, z: the files before and after the chain), and the
+    files of rings that have no other edges (node, root: the least file of the ring). Both ends of a chain are found by
+    pointer doubling, so rounds follow the logarithm of its length.
+    """
+    ins = links.df.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("a"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    outs = links.df.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("z"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    inner = materialize(ins.join(outs, "node"), "chain")
+    if not inner.rows or inner.rows * 50 < links.rows:
+        inner.drop()
+        return None
+    state = materialize(inner.df.withColumn("low", F.col("node")), "chain", where=F.lit(True))
+    reach = 1
+    while state.hits and reach < inner.rows:
+        before = state.df.select(F.col("node").alias("a"), F.col("a").alias("aa"))
+        after = state.df.select(F.col("node").alias("z"), F.col("z").alias("zz"), F.col("low").alias("l"))
+        both = state.df.join(before, "a", "left").join(after, "z", "left")
+        new = both.select(
+            "node", F.coalesce("aa", "a").alias("a"), F.coalesce("zz", "z").alias("z"), F.least("low", "l").alias("low"),
+            (F.col("aa").isNotNull() | F.col("zz").isNotNull()).alias("moved"),
+        )
+        new = materialize(new, "chain", where=F.col("moved"))
+        state.drop()
+        state, reach = new, 2 * reach
+    # What still points into a chain after as many steps as there are such files goes round in a ring.
+    inside = inner.df.select(F.col("node").alias("z"))
+    rings = state.df.join(inside, "z", "left_semi").select("node", F.col("low").alias("root"))
+    chains = materialize(state.df.join(inside, "z", "left_anti").select("node", "a", "z"), "chain").df
+    gone = inner.df.select("node")
+    rest = links.df.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
+    short = rest.select("src", "dst").unionByName(chains.select(F.col("a").alias("src"), F.col("z").alias("dst")).filter("src <> dst")).distinct()
+    short = materialize(short, "scc")
+    links.drop()
+    return short, chains, rings
+
+
+def _with_chains(members: DataFrame, chains: DataFrame) -> DataFrame:
+    """Members (node, root) with the files of the chains whose two ends share a component.
+
+    An end without a component yet is one of its own: a chain that comes back to it makes a cycle.
+    """
+    a = members.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    z = members.select(F.col("node").alias("z"), F.col("root").alias("rz"))
+    placed = chains.join(a, "a", "left").join(z, "z", "left")
+    placed = placed.filter(F.coalesce("ra", "a") == F.coalesce("rz", "z")).select("node", F.coalesce("ra", "a").alias("root"), "a", F.col("ra").isNull().alias("new"))
+    ends = placed.filter("new").select(F.col("a").alias("node"), "root").distinct()
+    return materialize(members.unionByName(placed.select("node", "root")).unionByName(ends), "members").df
+
+
 def _colours(links: DataFrame) -> Written:
     """For each node the greatest node that reaches it (``fw``) and that it reaches (``bw``), itself included.
 
@@ -59,7 +110,7 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     """Strongly connected component of every node that lies on a cycle.
 
     Output: path, component (its least member), size. A file that depends on itself is a cycle of
-    one. Edges outside any cycle are trimmed first. Nodes whose two colours agree form the component of that colour. Members of one component
+    one. Edges outside any cycle are trimmed and chains shortened first. Nodes whose two colours agree form the component of that colour. Members of one component
     share both colours, so every edge between different colours is dropped; the rest is coloured
     again until no edge is left.
     """
@@ -67,27 +118,34 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     links0 = graph.links.df.select("src", "dst")
     loops = links0.filter("src = dst").select(F.col("src").alias("node"))
     links = materialize(links0.filter("src <> dst"), "scc")
-    out = None
+    members = links.df.select(F.col("src").alias("node"), F.col("src").alias("root")).limit(0)
+    shortened: list[DataFrame] = []
     while True:
         links = _trim(links)
         if not links.rows:
             break
+        short = _shorten(links)
+        if short:
+            links, chains, rings = short
+            shortened.append(chains)
+            members = members.unionByName(rings)
+            continue
         colours = _colours(links.df)
-        members = colours.df.filter("fw = bw").select("node", F.col("fw").alias("root"))
-        sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("component"))
-        part = members.join(sizes.filter("size > 1"), "root").select("node", "component", "size")
-        out = part if out is None else out.unionByName(part)
+        # A component of one file is not a cycle; a chain that leads back to it adds it later.
+        found = colours.df.filter("fw = bw").select("node", F.col("fw").alias("root"))
+        members = members.unionByName(found)
         open_nodes = colours.df.filter("fw <> bw").select("node", "fw", "bw")
         s = open_nodes.select(F.col("node").alias("src"), "fw", "bw")
         t = open_nodes.select(F.col("node").alias("dst"), "fw", "bw")
         nxt = materialize(links.df.join(s, "src").join(t, ["dst", "fw", "bw"]).select("src", "dst"), "scc")
         links.drop()
         links = nxt
+    for chains in reversed(shortened):
+        members = _with_chains(members, chains)
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("component")).filter("size > 1")
+    out = members.join(sizes, "root").select("node", "component", "size")
     single = loops.withColumn("component", F.col("node")).withColumn("size", F.lit(1).cast("long"))
-    if out is None:
-        out = single
-    else:
-        out = out.unionByName(single.join(out.select("node"), "node", "left_anti"))
+    out = out.unionByName(single.join(out.select("node"), "node", "left_anti"))
     named = graph.decode(graph.decode(out, "node", "path"), "component", "c")
     return named.select("path", F.col("c").alias("component"), "size")
 

@@ -176,30 +176,19 @@ def reach(
     roots: DataFrame,
     max_depth: int | None = None,
     forward: bool = False,
-    with_steps: bool = False,
 ) -> tuple[DataFrame, int]:
     """Breadth-first levels from every root: (root, node, depth) with depth >= 1.
 
     A root on a cycle is reported with the length of its shortest cycle. Each round expands only
-    the newest level and drops pairs already seen. ``with_steps`` adds the lexicographically first
-    shortest path as an array, in edge direction: node to root, or root to node when ``forward``.
-    Returns the table and the number of rounds.
+    the newest level and drops pairs already seen. Returns the table and the number of rounds.
     """
     step = graph.dependencies if forward else graph.dependents
     level = roots.select(F.col("root"), F.col("root").alias("at"))
-    if with_steps:
-        level = level.withColumn("steps", F.array("root"))
     seen: list[Written] = []
     rounds = 0
     while max_depth is None or rounds < max_depth:
         rounds += 1
-        new = step(level, "at", "node")
-        if with_steps:
-            new = new.groupBy("root", "node").agg(F.min("steps").alias("steps"))
-            grow = F.array_append if forward else F.array_prepend
-            new = new.withColumn("steps", grow("steps", F.col("node")))
-        else:
-            new = new.select("root", "node").distinct()
+        new = step(level, "at", "node").select("root", "node").distinct()
         for old in _together(seen):
             new = new.join(old.select("root", "node"), ["root", "node"], "left_anti")
         done = materialize(new.withColumn("depth", F.lit(rounds)), "level")
@@ -209,7 +198,7 @@ def reach(
         seen.append(done)
         level = done.df.withColumnRenamed("node", "at").drop("depth")
     if not seen:
-        empty = level.select("root", F.col("at").alias("node"), *(["steps"] if with_steps else []))
+        empty = level.select("root", F.col("at").alias("node"))
         return empty.withColumn("depth", F.lit(0)).limit(0), rounds
     return _together(seen)[0], rounds
 
@@ -267,8 +256,8 @@ def transitive_dependents(edges: DataFrame, nodes: DataFrame, roots: DataFrame)
 def shortest_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, forward_only: bool = False) -> DataFrame:
     """Shortest dependency path of each (source, target) pair, else the path the other way round.
 
-    Levels grow over all pairs at once and carry the path; the least path per file is kept, so the
-    result is the lexicographically first shortest path. Output: source, target, direction (forward / reverse / none), path (array
+    Levels grow over all pairs at once and hold files only; the lexicographically first shortest path is rebuilt
+    afterwards for the pairs that were found. Output: source, target, direction (forward / reverse / none), path (array
     of ids), length (hops) and bottlenecks (files rated below 6).
     """
     pairs = pairs.select("source", "target").distinct()
@@ -277,16 +266,13 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, forward
         pairs.select(F.col("source").alias("id")).union(pairs.select(F.col("target").alias("id"))),
     )
     coded = materialize(graph.encode(graph.encode(pairs, "source", "s"), "target", "t"), "pairs").df
-    fwd = _trace(graph, coded).withColumn("direction", F.lit("forward"))
+    steps = _trace(graph, coded).withColumn("direction", F.lit("forward"))
     if not forward_only:
-        rest = coded.join(fwd.select("s", "t"), ["s", "t"], "left_anti")
+        rest = coded.join(steps.filter("i = 0").select("s", "t"), ["s", "t"], "left_anti")
         rest = materialize(rest.select(F.col("t").alias("s"), F.col("s").alias("t")), "pairs")
         if rest.rows:
-            back = _trace(graph, rest.df).select(
-                F.col("t").alias("s"), F.col("s").alias("t"), "steps", F.lit("reverse").alias("direction")
-            )
-            fwd = fwd.unionByName(back)
-    steps = fwd.select("s", "t", "direction", F.posexplode("steps").alias("i", "nid"))
+            back = _trace(graph, rest.df).select(F.col("t").alias("s"), F.col("s").alias("t"), "i", "nid", F.lit("reverse").alias("direction"))
+            steps = steps.unionByName(back)
     named = graph.decode(steps, "nid", "id").join(nodes.select("id", "rating"), "id", "left")
     # One path has at most as many entries as the graph's diameter, so this group stays small.
     lines = named.groupBy("s", "t", "direction").agg(
@@ -306,14 +292,87 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, forward
 
 
 def _trace(graph: NumberedGraph, pairs: DataFrame) -> DataFrame:
-    """Shortest paths of numbered pairs along the edges: (s, t, steps).
+    """Lexicographically first shortest paths of numbered pairs along the edges, a row per file: (s, t, i, nid).
 
-    Levels start from whichever side has fewer distinct files.
+    ``i`` orders the files of a path and is 0 on exactly one of them. Levels start from whichever side has fewer
+    distinct files.
     """
     n = pairs.agg(F.count_distinct("s").alias("s"), F.count_distinct("t").alias("t")).first()
     forward = n["s"] < n["t"]
     a, b = ("s", "t") if forward else ("t", "s")
-    found, _ = reach(graph, pairs.select(F.col(a).alias("root")).distinct(), forward=forward, with_steps=True)
-    paths = found.select(F.col("root").alias(a), F.col("node").alias(b), "steps")
-    trivial = pairs.filter("s = t").select("s", "t", F.array("s").alias("steps"))
-    return pairs.filter("s <> t").join(paths, ["s", "t"]).select("s", "t", "steps").unionByName(trivial)
+    asked = pairs.filter("s <> t").select(F.col(a).alias("root"), F.col(b).alias("goal"))
+    levels = _levels(graph, asked, forward)
+    trivial = pairs.filter("s = t").select("s", "t", F.lit(0).alias("i"), F.col("s").alias("nid"))
+    if not levels:
+        return trivial
+    rows = _from_root(graph, asked, levels) if forward else _to_root(asked, levels)
+    return rows.select(F.col("root").alias(a), F.col("goal").alias(b), "i", "nid").select("s", "t", "i", "nid").unionByName(trivial)
+
+
+def _levels(graph: NumberedGraph, asked: DataFrame, forward: bool) -> list[Written]:
+    """Levels of a search from the roots of ``asked`` (root, goal): (root, node, via), each node at its least depth.
+
+    ``via`` is the least neighbour in the level before. A root is followed until all its goals are met.
+    """
+    step = graph.dependencies if forward else graph.dependents
+    open_pairs = materialize(asked, "open")
+    level = open_pairs.df.select("root", F.col("root").alias("at")).distinct()
+    levels: list[Written] = []
+    while open_pairs.rows:
+        new = step(level, "at", "node").filter("node <> root").groupBy("root", "node").agg(F.min("at").alias("via"))
+        for old in _together(levels):
+            new = new.join(old.select("root", "node"), ["root", "node"], "left_anti")
+        done = materialize(new, "level")
+        if not done.rows:
+            done.drop()
+            break
+        levels.append(done)
+        met = done.df.select("root", F.col("node").alias("goal"))
+        left = materialize(open_pairs.df.join(met, ["root", "goal"], "left_anti"), "open")
+        open_pairs.drop()
+        open_pairs = left
+        level = done.df.join(left.df.select("root").distinct(), "root", "left_semi").select("root", F.col("node").alias("at"))
+    open_pairs.drop()
+    return levels
+
+
+def _to_root(asked: DataFrame, levels: list[Written]) -> DataFrame:
+    """Paths from each goal to its root: at every file the least next file that is one hop nearer."""
+    starts = asked.select("root", "goal", F.col("goal").alias("node"))
+    walkers, parts = starts, []
+    for k in range(len(levels), 0, -1):
+        here = walkers.join(levels[k - 1].df, ["root", "node"]).select("root", "goal", F.lit(-k).alias("i"), F.col("node").alias("nid"), "via")
+        parts.append(materialize(here, "path"))
+        walkers = parts[-1].df.select("root", "goal", F.col("via").alias("node"))
+        last = walkers.select("root", "goal", F.lit(0).alias("i"), F.col("root").alias("nid"))
+        walkers = walkers.unionByName(starts)
+    return _together(parts)[0].drop("via").unionByName(last)
+
+
+def _from_root(graph: NumberedGraph, asked: DataFrame, levels: list[Written]) -> DataFrame:
+    """Paths from each root to its goals.
+
+    First the files on any shortest path of a pair, level by level from the goals, each with its least next file;
+    then every pair follows these from its root.
+    """
+    goals = asked.select("root", "goal", F.col("goal").alias("node"))
+    ahead, nexts = None, []
+    for k in range(len(levels), 0, -1):
+        on = goals.join(levels[k - 1].df.select("root", "node"), ["root", "node"], "left_semi")
+        on = on if ahead is None else on.unionByName(ahead)
+        back = graph.dependents(on.withColumnRenamed("node", "at"), "at", "node")
+        if k > 1:
+            back = back.join(levels[k - 2].df.select("root", "node"), ["root", "node"], "left_semi")
+        else:
+            back = back.filter("node = root")
+        nexts.insert(0, materialize(back.groupBy("root", "goal", "node").agg(F.min("at").alias("via")), "next"))
+        ahead = nexts[0].df.select("root", "goal", "node")
+    at = asked.select("root", "goal", F.col("root").alias("node"))
+    parts = []
+    for k, table in enumerate(nexts):
+        here = at.join(table.df, ["root", "goal", "node"]).select("root", "goal", F.lit(k + 1).alias("i"), F.col("via").alias("nid"))
+        parts.append(materialize(here, "path"))
+        at = parts[-1].df.select("root", "goal", F.col("nid").alias("node"))
+    rows = _together(parts)[0]
+    first = rows.filter("i = 1").select("root", "goal", F.lit(0).alias("i"), F.col("root").alias("nid"))
+    return rows.unionByName(first)

@@ -83,10 +83,11 @@ def test_hot_nodes_are_salted(spark, monkeypatch):
     assert got == {(r, p): d for r in nodes for p, d in dependents(edges, r, 5).items()}
 
 
-def test_shortest_paths(spark):
+@pytest.mark.parametrize("few_sources", [False, True])
+def test_shortest_paths(spark, few_sources):
     nodes, edges = random_graph(7, 18, 30)
     n, e = frames(spark, nodes, edges)
-    pairs = [(a, b) for a in nodes for b in list(nodes)[:6]]
+    pairs = [(b, a) if few_sources else (a, b) for a in nodes for b in list(nodes)[:6]]
     got = {(r.source, r.target): r for r in TR.shortest_paths(e, n, spark.createDataFrame(pairs, "source string, target string")).collect()}
 
     def path(a, b):
@@ -178,6 +179,27 @@ def test_components(spark, seed, m):
     assert got == components(nodes, edges)
 
 
+def test_chains_between_and_inside_components(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("c", "p"), ("p", "q"), ("q", "x"), ("x", "y"), ("y", "x"), ("x", "w"), ("w", "y")]
+    edges += [("h", "i"), ("i", "j"), ("j", "h"), ("h", "k"), ("k", "h"), ("r", "s"), ("s", "t"), ("t", "r")]
+    _, e = frames(spark, {}, edges)
+    got = {r.path: (r.component, r.size) for r in CO.strong_components(e).collect()}
+    assert got == components(sorted({x for p in edges for x in p}), edges)
+
+
+@pytest.mark.parametrize("tail", [False, True])
+def test_a_long_cycle_takes_few_rounds(spark, monkeypatch, tail):
+    size = 10_000
+    e = spark.range(size).select(F.format_string("f%05d", "id").alias("source"), F.format_string("f%05d", (F.col("id") + 1) % size).alias("target"))
+    if tail:
+        e = e.union(spark.createDataFrame([("f00000", "f05000"), ("f00001", "f05001")], "source string, target string"))
+    rounds, real = [], CO.materialize
+    monkeypatch.setattr(CO, "materialize", lambda *a, **k: rounds.append(1) or real(*a, **k))
+    got = CO.strong_components(e).groupBy("component", "size").count().collect()
+    assert [tuple(r) for r in got] == [("f00000", size, size)]
+    assert len(rounds) <= 40
+
+
 def test_elementary_cycles(spark):
     edges = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("d", "d"), ("c", "d")]
     _, e = frames(spark, {}, edges)
