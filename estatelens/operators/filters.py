@@ -178,14 +178,15 @@ def fan_out(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Messages each subscriber receives: those of its repository, or all where either side names none.
 
     ``subscriptions``: (client, repo or null); ``messages``: (msg_id, repo or null). Repository
-    matches are an equi-join. Deliveries to everyone are spread over salts by message, so neither a
-    busy repository-less feed nor one client is handled in a single task.
+    matches are an equi-join. All deliveries are spread over salts by message, so neither a busy
+    repository or repository-less feed nor one client is handled in a single task.
     """
     subs = subscriptions.select("client", F.col("repo").alias("sub_repo"))
-    named = messages.join(subs.filter("sub_repo IS NOT NULL"), messages.repo == F.col("sub_repo")).select("client", "msg_id")
     salts = 32
     spread = lambda d: d.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = lambda d: d.withColumn("_k", F.pmod(F.xxhash64("msg_id"), F.lit(salts)).cast("int"))
+    by_repo = spread(subs.filter("sub_repo IS NOT NULL").withColumnRenamed("sub_repo", "repo"))
+    named = salted(messages).join(by_repo, ["repo", "_k"]).select("client", "msg_id")
     everything = salted(messages).join(spread(subs.filter("sub_repo IS NULL")), "_k")
     to_all = salted(messages.filter("repo IS NULL")).join(spread(subs.filter("sub_repo IS NOT NULL")), "_k")
     return named.unionByName(everything.select("client", "msg_id")).unionByName(to_all.select("client", "msg_id"))

@@ -218,7 +218,9 @@ def suggested_reviewers(changed: DataFrame, owners: DataFrame, key: str = "pr")
     own = owners.select("name", "reviewer").distinct()
     by_file = c.join(own.withColumnRenamed("name", "path"), "path")
     has_file = own.select(F.col("name").alias("path")).distinct()
-    by_module = c.join(has_file, "path", "left_anti").join(own.withColumnRenamed("name", "module"), "module")
+    # Only the first file of a module counts, so changes and owners are not multiplied.
+    rest = c.join(has_file, "path", "left_anti").groupBy(key, "module").agg(F.min(F.struct("ord", "path")).alias("m"))
+    by_module = rest.select(key, "module", "m.path", "m.ord").join(own.withColumnRenamed("name", "module"), "module")
     cols = [key, "path", "ord", "reviewer"]
     both = by_file.select(*cols).unionByName(by_module.select(*cols))
     return both.groupBy(key, "reviewer").agg(F.min_by("path", F.struct("ord", "path")).alias("because_of"))

@@ -118,14 +118,18 @@ def _(t):
 @add(
     "why_comments",
     with_parts(
-        """SELECT path AS file, CAST(line AS INT) AS line, trim(regexp_extract(text, '(?i)//\\s*(?:why|because):\\s*(.+)', 1), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS text FROM why_lines WHERE regexp_matches(text, '(?i)//\\s*(why|because):\\s*(.+)')""",
+        """SELECT path || ':' || line || ':why' AS id, path AS file, CAST(line AS INT) AS line, trim(regexp_extract(text, '(?i)//\\s*(?:why|because):\\s*(.+)', 1), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS text
+        FROM why_lines WHERE regexp_matches(text, '(?i)//\\s*(why|because):\\s*(.+)')
+        UNION ALL SELECT path || ':' || n || ':jsdoc', path, CAST(n AS INT), 'Summary of ' || path FROM (SELECT path, len(string_split(content, chr(10))) + 1 AS n FROM corpus WHERE content IS NOT NULL)""",
         "why_lines",
+        "corpus",
     ),
 )
 def _(t):
     lead = F.when(F.col("language") == "en", "// why: ").when(F.col("language") == "fr", "//because: ").otherwise("")
-    code = t.corpus.withColumn("content", F.concat(lead, F.replace("content", F.lit("\n"), F.concat(F.lit("\n"), lead))))
-    return LX.why_comments(code).filter("id LIKE '%:why'").select("file", "line", "text")
+    block = F.concat(F.lit("\n/**\n * Summary of "), "path", F.lit("\n * @returns nothing of interest\n */"))
+    code = t.corpus.withColumn("content", F.concat(lead, F.replace("content", F.lit("\n"), F.concat(F.lit("\n"), lead)), block))
+    return LX.why_comments(code)
 
 
 def _line_texts(t, content, language: str):
@@ -138,6 +142,27 @@ _KEY = "'/w/' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' ||
 _LINES = f"WITH l AS (SELECT DISTINCT {_KEY} AS path, CAST(l_quantity AS INT) AS q, l_linenumber AS n, l_returnflag AS f, l_partkey AS p, l_suppkey AS s FROM lineitem)"
 
 
+@add("file_metrics", f"{_LINES} SELECT path, CAST(n + q + 2 AS INT) AS loc, CAST(n AS INT) AS methods, 1 AS classes, CAST(q + 1 AS INT) AS complexity, 1 AS imports FROM l")
+def _(t):
+    times = lambda text, c: F.repeat(F.lit(text), F.col(c).cast("int"))
+    content = F.concat(F.lit("import a from 'a';\n"), times("function f() { }\n", "l_linenumber"), times("if (a) b;\n", "l_quantity"), F.lit("class A { }"))
+    return LX.lexical_metrics(_line_texts(t, content, "typescript")).drop("language")
+
+
+@add(
+    "type_rule_scan",
+    f"""{_LINES} SELECT path, 1 AS line, type, 'warning' AS severity, 2 AS matches FROM l, (VALUES ('any_type'), ('any_usage')) v(type) WHERE f = 'R'
+    UNION ALL SELECT path, 2, type, 'info', CAST(n AS INT) FROM l, (VALUES ('console_log'), ('snippet:console_log')) v(type)
+    UNION ALL SELECT path, 3, 'snippet:console_log', 'info', 1 FROM l""",
+)
+def _(t):
+    first = F.when(F.col("l_returnflag") == "R", "let a: any = b as any;\n").otherwise("let a = company;\n")
+    content = F.concat(first, F.repeat(F.lit("console.log(a); "), F.col("l_linenumber").cast("int")), F.lit("\nconsole.warn(a)"))
+    code = _line_texts(t, content, "typescript")
+    snippet = [r | {"type": r["type"] if r["type"] == "any_usage" else f"snippet:{r['type']}"} for r in LX.SNIPPET_TYPE_RULES]
+    return LX.scan_rules(code, LX.TYPE_RULES + snippet)
+
+
 @add(
     "react_scan",
     f"""{_LINES} SELECT path, 'inline_handler' AS type, 'info' AS severity, 1 AS n, '' AS detail FROM l WHERE f = 'R'

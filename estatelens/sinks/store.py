@@ -20,22 +20,39 @@ def upsert(old: DataFrame, new: DataFrame, keys=("repo", "path"), order=("analyz
     return latest_by_key(old.unionByName(new), list(keys), list(order)).select(*old.columns)
 
 
-def write_upsert(new: DataFrame, target: str, partition: str = "repo", keys=("repo", "path"), order=("analyzedAt", "seq")) -> None:
-    """Upsert into a partitioned Parquet table, rewriting only the partitions that change."""
-    spark = new.sparkSession
-    new = materialize(new, "batch").df
+#: Buckets of each partition of a stored table; a write touches only the buckets of its keys.
+BUCKETS = 16
+
+
+def write_upsert(
+    new: DataFrame, target: str, partition: str = "repo", keys=("repo", "path"), order=("analyzedAt", "seq"), buckets: int = BUCKETS
+) -> None:
+    """Upsert into a Parquet table partitioned by ``partition`` and a hash ``bucket`` of the other keys.
+
+    Only the buckets that hold a key of ``new`` are read and rewritten, so a repository of any size costs one bucket
+    for one changed file. The same batch written again leaves the same table. ``buckets`` stays the same for a table.
+    """
+    spark, parts = new.sparkSession, [partition, "bucket"]
+    inner = [k for k in keys if k != partition] or list(keys)
+    bucket = F.pmod(F.xxhash64(*inner), F.lit(buckets)).cast("int")
+    batch = materialize(new.withColumn("bucket", bucket), "batch")
+    cols, merged = batch.df.columns, None
     if _exists(spark, target):
-        old = spark.read.schema(new.schema).parquet(target)
-        old = old.join(new.select(partition).distinct(), partition, "left_semi").select(*new.columns)
-        merged = materialize(upsert(old, new, keys, order), "merged").df
-    else:
-        merged = latest_by_key(new, list(keys), list(order)).select(*new.columns)
+        # The comparison makes the touched buckets a filter by which the scan of the table is pruned at run time.
+        touched = batch.df.filter(F.col("bucket") < buckets).select(*parts).distinct()
+        old = spark.read.schema(batch.df.schema).parquet(target).join(touched, parts, "left_semi").select(*cols)
+        merged = materialize(upsert(old, batch.df, keys, order), "merged")
+    rows = merged.df if merged else latest_by_key(batch.df, list(keys), list(order)).select(*cols)
     (
-        merged.write.mode("overwrite")
+        rows.repartition(*parts)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
+        .partitionBy(*parts)
         .parquet(target)
     )
+    batch.drop()
+    if merged:
+        merged.drop()
 
 
 def _exists(spark, target: str) -> bool:

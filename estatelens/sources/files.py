@@ -2,96 +2,130 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..rules import tables as RT
+from ..session import materialize
 
-SOURCE_GLOB = "*.{ts,tsx,js,jsx,cs}"
 SOURCE_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".cs")
 # Where a project keeps its coverage report, in order of preference.
 LCOV_LOCATIONS = ["coverage/lcov.info", "coverage/lcov-report/lcov.info", "lcov.info", ".coverage/lcov.info"]
 IGNORE_FILE = ".graphifyignore"
+LISTED = "path string, modificationTime timestamp, length long, is_folder boolean"
+#: Bytes of file contents that a task hands over together.
+READ_BYTES = 16 << 20
 
 
-def _plain(path):
-    return F.regexp_replace(path, "^file:/+", "/")
-
-
-def _outside(rel, skip: list[str], dot_dirs: bool):
-    """Whether no folder of a relative path is on the skip list."""
-    folders = F.slice(F.split(rel, "/"), F.lit(1), F.greatest(F.size(F.split(rel, "/")) - 1, F.lit(0)))
-    bad = F.exists(folders, lambda s: s.isin(*skip) | (F.startswith(s, F.lit(".")) if dot_dirs else F.lit(False)))
-    return ~bad
-
-
-def _unlisted(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
-    """Folders and files Spark's readers pass over: names that begin with ``_`` or a dot.
-
-    Source trees have them (``__tests__``, ``_app.tsx``), so they are named explicitly. Found by
-    globbing level by level until no folder is left.
-    """
-    jvm = spark._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    glob = lambda pattern: fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []
-    folders, files, level = [], [], root.rstrip("/")
-    while True:
-        for name in ("_*", ".*"):
-            for status in glob(f"{level}/{name}"):
-                (folders if status.isDirectory() else files).append(status.getPath().toString())
-        level += "/*"
-        if not any(s.isDirectory() for s in glob(level)):
-            return folders, [f for f in files if f.endswith(SOURCE_SUFFIXES)]
-
-
-def _read_named(batches):
-    """Read listed files in the task that holds their names."""
+def _opened(root: str):
+    """File system of a root, the root's path in it, and what comes before such a path in a full name."""
     from pyarrow import fs
 
-    for batch in batches:
-        rows = []
-        for path in batch["path"]:
-            files, name = fs.FileSystem.from_uri(path)
-            info = files.get_file_info(name)
-            with files.open_input_stream(name) as stream:
-                rows.append((path, info.mtime, info.size, stream.read()))
-        yield pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
-
-
-def _source_files(spark: SparkSession, root: str, skip: list[str], dot_dirs: bool) -> DataFrame:
-    folders, named = _unlisted(spark, root)
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", SOURCE_GLOB)
-        .load([root, *folders])
-    )
-    if named:
-        listed = spark.createDataFrame([(n,) for n in named], "path string")
-        extra = listed.repartition(min(len(named), 64)).mapInPandas(_read_named, raw.schema)
-        raw = raw.unionByName(extra)
-    path = _plain(F.col("path"))
-    rel = P.relative_path(F.lit(root.rstrip("/")), path)
-    return raw.withColumn("path", path).filter(_outside(rel, skip, dot_dirs))
+    files, base = fs.FileSystem.from_uri(root)
+    local = isinstance(files, fs.LocalFileSystem)
+    return files, base, "" if local or not root.endswith(base) else root[: len(root) - len(base)], local
+
+
+def _list_folders(root: str, skip: list[str], dot_dirs: bool):
+    """Task that lists folders: their source files, and the folders below them that are not skipped."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        files, _, _, local = _opened(root)
+        skipped = set(skip)
+        for batch in batches:
+            for folder in batch["path"]:
+                try:
+                    entries = files.get_file_info(fs.FileSelector(folder))
+                except OSError:  # a folder that cannot be read has no files
+                    continue
+                rows = []
+                for e in entries:
+                    if local and os.path.islink(e.path):
+                        continue
+                    if e.type == fs.FileType.Directory:
+                        if not (e.base_name in skipped or (dot_dirs and e.base_name.startswith("."))):
+                            rows.append((e.path, None, None, True))
+                    elif e.type == fs.FileType.File and e.base_name.endswith(SOURCE_SUFFIXES):
+                        rows.append((e.path, e.mtime, e.size, False))
+                out = pd.DataFrame(rows, columns=["path", "modificationTime", "length", "is_folder"])
+                yield out.astype({"modificationTime": "datetime64[us, UTC]", "length": "Int64"})
+
+    return run
+
+
+def _read_files(root: str):
+    """Task that reads the contents of listed files, a bounded number of bytes at a time."""
+
+    def run(batches):
+        files, _, _, _ = _opened(root)
+        for batch in batches:
+            rows, held = [], 0
+            for row in batch.itertuples(index=False):
+                try:
+                    with files.open_input_stream(row.path) as stream:
+                        content = stream.read()
+                except FileNotFoundError:  # deleted since it was listed
+                    continue
+                rows.append((*row, content))
+                held += len(content)
+                if held >= READ_BYTES:
+                    yield pd.DataFrame(rows, columns=[*batch.columns, "content"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=[*batch.columns, "content"])
+
+    return run
+
+
+def _spread(spark: SparkSession, df: DataFrame, rows: int) -> DataFrame:
+    """Rows dealt to tasks for work outside Spark, whose cost their bytes do not show."""
+    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(1, min(rows, most)), "path")
+
+
+def _source_files(spark: SparkSession, root: str, skip: list[str], dot_dirs: bool) -> tuple[DataFrame, int]:
+    """Source files below ``root`` and their number: (path, modificationTime, length), paths as the file system has them.
+
+    Tasks list the tree level by level, each level a written table; a skipped folder is never opened, and links are
+    not followed.
+    """
+    _, base, _, _ = _opened(root)
+    level, n, paths, total = spark.createDataFrame([(base,)], "path string"), 1, [], 0
+    while n:
+        found = materialize(_spread(spark, level, n).mapInPandas(_list_folders(root, skip, dot_dirs), LISTED), "listing", where=F.col("is_folder"))
+        n, total = found.hits, total + found.rows - found.hits
+        level = found.df.filter("is_folder").select("path")
+        paths.append(found.path)
+    listed = spark.read.schema(LISTED).parquet(*paths)
+    return listed.filter("NOT is_folder").drop("is_folder"), total
 
 
 def scan_tree(spark: SparkSession, root: str, listing_only: bool = False) -> DataFrame:
     """Supported source files below ``root``: path, language, mtime, size, content and sha1.
 
-    Skips build and dot folders. With ``listing_only`` the contents are not read.
+    ``root`` is an absolute path or a URI. Skips build and dot folders. With ``listing_only`` the contents are not
+    read.
     """
-    out = _source_files(spark, root, RT.SCAN_SKIP_DIRS, True)
-    cols = [F.lit(root).alias("root"), F.col("path"), P.language_of("path").alias("language"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")]
+    root = root.rstrip("/")
+    out, n = _source_files(spark, root, RT.SCAN_SKIP_DIRS, True)
+    path = F.concat(F.lit(_opened(root)[2]), "path")
+    cols = [F.lit(root).alias("root"), path.alias("path"), P.language_of("path").alias("language"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")]
     if listing_only:
         return out.select(*cols)
-    return out.select(*cols, F.decode("content", "UTF-8").alias("content"), F.sha1("content").alias("file_hash"))
+    read = _spread(spark, out, n).mapInPandas(_read_files(root), "path string, modificationTime timestamp, length long, content binary")
+    return read.select(*cols, F.decode("content", "UTF-8").alias("content"), F.sha1("content").alias("file_hash"))
 
 
 def health_files(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
     """Files of the health report: another skip list (dot folders stay); with ``max_files`` only the first paths."""
-    found = _source_files(spark, root, RT.HEALTH_SKIP_DIRS, False).select("path")
+    root = root.rstrip("/")
+    found, _ = _source_files(spark, root, RT.HEALTH_SKIP_DIRS, False)
+    found = found.select(F.concat(F.lit(_opened(root)[2]), "path").alias("path"))
     return found if max_files is None else found.orderBy("path").limit(max_files)
 
 
@@ -154,9 +188,8 @@ def parse_ignore(texts: DataFrame) -> DataFrame:
 
 def read_ignore(spark: SparkSession, root: str) -> DataFrame:
     """Rules of the ignore file at a repository root; none when the file is missing."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{root}/{IGNORE_FILE}")
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return parse_ignore(spark.createDataFrame([], "repo string, content string"))
-    raw = spark.read.option("wholetext", "true").text(f"{root}/{IGNORE_FILE}")
-    return parse_ignore(raw.select(F.lit(root).alias("repo"), F.col("value").alias("content")))
+    root = root.rstrip("/")
+    # Spark's readers pass over names that begin with a dot, so a task reads the file by its name.
+    name = spark.createDataFrame([(f"{_opened(root)[1]}/{IGNORE_FILE}",)], "path string")
+    raw = name.mapInPandas(_read_files(root), "path string, content binary")
+    return parse_ignore(raw.select(F.lit(root).alias("repo"), F.decode("content", "UTF-8").alias("content")))

@@ -194,6 +194,41 @@ def test_scan_tree(spark, tmp_path):
     assert health == {"src/a.ts", "lib/b.cs", ".hidden/y.ts"} | more
 
 
+def test_scan_tree_opens_no_skipped_folder(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"node_modules/m{i}").mkdir(parents=True)
+        (tmp_path / f"node_modules/m{i}/x.ts").write_text("x")
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a b.ts").write_text("é")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "src/loop").symlink_to(tmp_path)
+    found, n = SF._source_files(spark, str(tmp_path), SF.RT.SCAN_SKIP_DIRS, True)
+    tables = {p.rsplit("/", 1)[0] for p in found.inputFiles()}
+    rows = spark.read.parquet(*tables).select("path").collect()
+    assert n == 1 and {r.path[len(str(tmp_path)) :] for r in rows} == {"/src", "/src/a b.ts", "/empty"}
+    row = SF.scan_tree(spark, str(tmp_path) + "/").collect()
+    assert [(r.content, r.size, r.root) for r in row] == [("é", 2, str(tmp_path))]
+    assert [r.path for r in SF.scan_tree(spark, f"file://{tmp_path}", listing_only=True).collect()] == [f"{tmp_path}/src/a b.ts"]
+    assert SF.scan_tree(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_read_ignore(spark, tmp_path):
+    assert SF.read_ignore(spark, str(tmp_path)).count() == 0
+    (tmp_path / SF.IGNORE_FILE).write_text("# note\n*.log\n!keep.log\nbuild/\n\n")
+    got = [(r.ord, r.pattern, r.negate) for r in SF.read_ignore(spark, str(tmp_path)).orderBy("ord").collect()]
+    assert got == [(1, "*.log", False), (2, "keep.log", True), (3, "build", False)]
+
+
+def test_load_graph(spark, tmp_path):
+    doc = {"repo": "/r", "nodes": [{"id": "/r/a.ts", "rating": 7.5}, {"id": "/r/b.ts"}], "edges": [{"source": "/r/a.ts", "target": "/r/b.ts"}], "repos": [{"path": "/r"}]}
+    (tmp_path / "g.json").write_text(json.dumps(doc))
+    (tmp_path / "h.json").write_text(json.dumps({"repo": "/q", "nodes": [], "edges": [], "repos": []}))
+    got = TB.load_graph(spark, str(tmp_path))
+    assert {(r.repo, r.id, r.rating) for r in got["nodes"].collect()} == {("/r", "/r/a.ts", 7.5), ("/r", "/r/b.ts", None)}
+    assert [(r.repo, r.source, r.target) for r in got["edges"].collect()] == [("/r", "/r/a.ts", "/r/b.ts")]
+    assert got["repos"].count() == 1
+
+
 def test_import_resolution(spark):
     listing = spark.createDataFrame([("/r/src/b.tsx",), ("/r/src/c/index.ts",), ("/r/src/b.ts",)], "path string")
     imports = spark.createDataFrame([("/r/src/a.ts", s) for s in ("./b", "./c", "../x", "react")], "source string, spec string")
@@ -364,6 +399,21 @@ def test_upsert_table(spark, tmp_path):
     assert got == {("a", "x"): 1.0, ("a", "z"): 3.0, ("b", "y"): 2.0}  # the older write does not win
 
 
+def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
+    rows = lambda x: spark.createDataFrame(x, "repo string, path string, rating double, seq long").withColumn("analyzedAt", F.timestamp_seconds("seq"))
+    target = tmp_path / "t"
+    ST.write_upsert(rows([("a", f"f{i}", 1.0, 1) for i in range(200)]), str(target))
+    files = lambda: {p.parent.name: p.name for p in target.rglob("*.parquet")}
+    before = files()
+    assert len(before) == ST.BUCKETS
+    for _ in range(2):  # the second time is the same batch run again
+        ST.write_upsert(rows([("a", "f7", 5.0, 2)]), str(target))
+        after = files()
+        assert set(after) == set(before) and sum(after[b] != before[b] for b in before) == 1
+        got = {r.path: r.rating for r in spark.read.parquet(str(target)).collect()}
+        assert got == {f"f{i}": 5.0 if i == 7 else 1.0 for i in range(200)}
+
+
 def test_export_escapes(spark, tmp_path):
     n = spark.createDataFrame([("/a&<\"'.ts", "a", 7.0, 10, 2, 0)], "id string, label string, rating double, loc int, complexity int, imports int")
     e = spark.createDataFrame([("x", "y", "type-ref", 2.0)], "source string, target string, type string, strength double")
