@@ -97,10 +97,12 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None =
     Forward: one level per round holds (source, node, sigma). Backward: from the deepest level up,
     each node hands its dependency to its predecessors. State is one row per reachable
     (source, node) pair; pass ``sources`` (column id) to estimate from a sample, scaled by
-    n / |sources|. Parallel edges count as separate paths. Normalised per repository graph.
+    n / |sources|, or by a column ``weight`` of it. Parallel edges count as separate paths. Normalised per
+    repository graph.
     """
     graph = number_graph(edges, nodes, keep_parallel=True)
-    ids = nodes.select("id") if sources is None else sources.select("id").distinct()
+    weighted = sources is not None and "weight" in sources.columns
+    ids = nodes.select("id") if sources is None else sources.select("id", *(["weight"] if weighted else [])).dropDuplicates(["id"])
     picked = materialize(graph.encode(ids, "id", "root"), "sources")
     levels = _count_paths(graph, picked.df)
     delta: Written | None = None
@@ -119,7 +121,8 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None =
         )
         delta = materialize(up, "delta")
         if depth > 1:
-            partial.append(delta.df.select("node", "delta"))
+            part = delta.df.join(picked.df, "root").withColumn("delta", F.col("delta") * F.col("weight")) if weighted else delta.df
+            partial.append(part.select("node", "delta"))
     total = None
     for p in partial:
         total = p if total is None else total.unionByName(p)
@@ -130,7 +133,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None =
         scored = base.withColumn("betweenness", F.lit(0.0))
     else:
         sums = graph.decode(total.groupBy("node").agg(F.sum("delta").alias("betweenness")), "node", "id")
-        if sources is not None:
+        if sources is not None and not weighted:
             sums = sums.withColumn("betweenness", F.col("betweenness") * graph.nodes.rows / F.lit(max(picked.rows, 1)))
         scored = base.join(sums, "id", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
     return scored.select(
@@ -138,6 +141,28 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None =
     )
 
 
+def sampled_sources(nodes: DataFrame, epsilon: float, delta: float) -> DataFrame:
+    """Sources for an estimate of betweenness within a stated error: (id, weight).
+
+    Of a repository of n files, k = ceil((n / (n - 1))^2 ln(2n / delta) / (2 epsilon^2)) files, or all if that is
+    fewer, are drawn by the md5 of their id; each stands for n / k. A source adds at most n / (n - 1) to a mean
+    of normalised scores, so by Hoeffding's inequality all files of the repository are within ``epsilon`` of their
+    normalised betweenness with probability 1 - ``delta``, as long as its edges stay inside it. k grows with the
+    logarithm of n, so the rows of a run grow as n log n, not as n squared.
+    """
+    n = F.col("n").cast("double")
+    most = F.ceil(F.pow(n / F.greatest(n - 1, F.lit(1.0)), 2) * F.log(2 * n / delta) / (2 * epsilon * epsilon))
+    sizes = nodes.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.least(F.col("n"), most))
+    placed = position_in_group(nodes.select("repo", "id", F.md5(F.col("id").cast("binary")).alias("h")), ["repo"], ["h", "id"], "place")
+    drawn = placed.join(sizes, "repo").where("place <= k")
+    return drawn.select("id", (F.col("n") / F.col("k")).alias("weight"))
+
+
+def sampled_betweenness(edges: DataFrame, nodes: DataFrame, epsilon: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """Betweenness estimated from :func:`sampled_sources`; exact in repositories that are sampled whole."""
+    return betweenness(edges, nodes, sampled_sources(nodes, epsilon, delta))
+
+
 def _count_paths(graph: NumberedGraph, sources: DataFrame) -> list[Written]:
     """Breadth-first levels with the number of shortest paths; level 0 is the sources themselves."""
     start = sources.select("root", F.col("root").alias("node"), F.lit(1.0).alias("sigma"))

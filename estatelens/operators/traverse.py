@@ -264,6 +264,44 @@ def transitive_dependents(edges: DataFrame, nodes: DataFrame, roots: DataFrame)
     )
 
 
+def closure_sizes(edges: DataFrame, nodes: DataFrame, lg_entries: int = 12) -> DataFrame:
+    """Number of files that depend on each file through any number of hops, for all files at once.
+
+    No pair of files is ever listed: every file carries a sketch (theta, 2^``lg_entries`` hashes at most) of its
+    dependents. A round hands the sketches that changed in the last one to the files depended on, so the rounds follow
+    the longest shortest path. Output: path, dependents, exact. Counts of fewer than 2^lg_entries files are exact;
+    larger ones have a relative standard error of 1 / sqrt(2^lg_entries - 1). A file on a cycle counts itself, a
+    file that nothing depends on has 0, and ids of ``edges`` outside ``nodes`` count as dependents only.
+    """
+    graph = number_graph(edges)
+    merged = lambda c: F.theta_union_agg(c, lg_entries)
+    first = graph.links.df.groupBy(F.col("dst").alias("node")).agg(F.theta_sketch_agg("src", lg_entries).alias("sketch"))
+    parts = [materialize(first.withColumn("round", F.lit(0)), "closure")]
+    fresh = parts[0].df
+    while True:
+        flow = graph.dependencies(fresh.select(F.col("node").alias("at"), "sketch"), "at", "node")
+        gain = flow.groupBy("node").agg(merged("sketch").alias("gain"))
+        # What a file had: its newest version. Versions are few, as a file is written only in rounds that change it.
+        had = _together(parts)[0].join(gain.select("node"), "node", "left_semi")
+        had = had.groupBy("node").agg(F.max_by("sketch", "round").alias("had"))
+        new = gain.join(had, "node", "left").withColumn("sketch", F.coalesce(F.theta_union("had", "gain", lg_entries), "gain"))
+        new = new.where(~F.col("sketch").eqNullSafe(F.col("had"))).select("node", "sketch", F.lit(len(parts)).alias("round"))
+        done = materialize(new, "closure")
+        parts.append(done)
+        if not done.rows:
+            break
+        fresh = done.df
+    last = _together(parts)[0].groupBy("node").agg(F.max_by("sketch", "round").alias("sketch"))
+    sizes = graph.decode(last.select("node", F.theta_sketch_estimate("sketch").alias("n")), "node", "path")
+    sizes = materialize(sizes, "closure-sizes").df
+    for p in parts:
+        p.drop()
+    graph.drop()
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    known = nodes.select(F.col("id").alias("path")).join(sizes, "path", "left")
+    return known.select("path", n.alias("dependents"), (n < (1 << lg_entries)).alias("exact"))
+
+
 def shortest_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, forward_only: bool = False) -> DataFrame:
     """Shortest dependency path of each (source, target) pair, else the path the other way round.
 

@@ -153,6 +153,20 @@ def _(t):
     return TR.transitive_dependents(t.local, t.nodes, t.roots)
 
 
+@add(
+    "closure_sizes",
+    with_parts(
+        """, r AS (SELECT target AS root, source AS path FROM local UNION SELECT r.root, e.source FROM r JOIN local e ON e.target = r.path),
+        c AS (SELECT root, count(*) AS n FROM r GROUP BY root)
+        SELECT id AS path, coalesce(n, 0) AS dependents, coalesce(n, 0) < 4096 AS exact FROM nodes LEFT JOIN c ON root = id""",
+        "local",
+        "nodes",
+    ),
+)
+def _(t):
+    return TR.closure_sizes(t.local, t.nodes)
+
+
 @add("degree_centrality", with_parts("SELECT * FROM degree", "degree"))
 def _(t):
     return CE.degree_centrality(t.local, t.nodes)
@@ -212,6 +226,27 @@ def _(t):
     return b.withColumn("betweenness", F.round("betweenness", 6)).withColumn("normalized_betweenness", F.round("normalized_betweenness", 9))
 
 
+@add(
+    "betweenness_sampled",
+    with_parts(
+        _PATHS.format(e="sparse")
+        + """, z AS (SELECT repo, count(*) AS n FROM nodes GROUP BY repo),
+        d AS (SELECT id, n, least(n, ceil(pow(n * 1.0 / greatest(n - 1, 1), 2) * ln(2 * n / 0.1) / (2 * 0.3 * 0.3))) AS m,
+          row_number() OVER (PARTITION BY nodes.repo ORDER BY md5(id), id) AS place FROM nodes JOIN z ON z.repo = nodes.repo),
+        sp AS (SELECT s, path, n / m AS scale, count(*) OVER (PARTITION BY s, t) AS sigma FROM (SELECT k.s, k.t, k.path, d.n, d.m FROM k JOIN d ON d.id = k.s AND place <= m WHERE k.n = mn AND s <> t)),
+        b AS (SELECT v, sum(w) AS w FROM (SELECT unnest(path[2:len(path) - 1]) AS v, scale / sigma AS w FROM sp WHERE len(path) > 2) GROUP BY v)
+        SELECT nodes.repo, id AS path, round(coalesce(w, 0), 6) AS betweenness,
+          round(coalesce(w, 0) / CASE WHEN n > 2 THEN (n - 1) * (n - 2) ELSE 1 END, 9) AS normalized_betweenness
+        FROM nodes JOIN z ON z.repo = nodes.repo LEFT JOIN b ON v = id""",
+        "sparse",
+        "nodes",
+    ),
+)
+def _(t):
+    b = CE.sampled_betweenness(t.sparse, t.nodes, epsilon=0.3, delta=0.1)
+    return b.withColumn("betweenness", F.round("betweenness", 6)).withColumn("normalized_betweenness", F.round("normalized_betweenness", 9))
+
+
 @add(
     "shortest_paths",
     with_parts(
@@ -368,11 +403,48 @@ def _(t):
     return OR.layers(t.sparse, t.nodes)
 
 
-@add("remediation_plan")
+#: Steps of the worst at-risk dependents of the worst file of each repository; {worst} closes the ranking.
+_PLAN = """, r AS (SELECT target AS root, source AS path FROM local JOIN worst ON worst = target UNION SELECT r.root, e.source FROM r JOIN local e ON e.target = r.path),
+    pick AS (SELECT root, path, rating FROM (SELECT r.root, r.path, n.rating, row_number() OVER (PARTITION BY r.root ORDER BY n.rating, r.path) AS rn
+        FROM r JOIN nodes n ON n.id = r.path WHERE n.rating < 6){worst}),
+    sub_e AS (SELECT DISTINCT s.root, e.source, e.target FROM local e JOIN pick s ON s.path = e.source JOIN pick t ON t.path = e.target AND t.root = s.root WHERE e.source <> e.target),
+    per AS (SELECT DISTINCT root FROM pick),
+    p AS (
+        SELECT root, -1 AS level, CAST([] AS VARCHAR[]) AS done, CAST([] AS VARCHAR[]) AS fresh FROM per
+        UNION ALL
+        SELECT s.root, s.level + 1, list_concat(s.done, s.pick), s.pick
+        FROM (
+            SELECT o.root, o.level, any_value(o.done) AS done,
+                CASE WHEN count(*) FILTER (o.blocked = 0) > 0 THEN list(o.path) FILTER (o.blocked = 0) ELSE [arg_min(o.path, (o.rating, o.path))] END AS pick
+            FROM (
+                SELECT p.root, p.level, n.path, n.rating, any_value(p.done) AS done,
+                    count(e.target) FILTER (NOT list_contains(p.done, e.target)) AS blocked
+                FROM p JOIN pick n ON n.root = p.root LEFT JOIN sub_e e ON e.root = n.root AND e.source = n.path
+                WHERE NOT list_contains(p.done, n.path)
+                GROUP BY p.root, p.level, n.path, n.rating
+            ) o GROUP BY o.root, o.level
+        ) s
+    ),
+    placed AS (SELECT p.root, f.path, row_number() OVER (PARTITION BY p.root ORDER BY p.level, n.rating, f.path) - 1 AS step
+        FROM p, unnest(p.fresh) AS f(path) JOIN pick n ON n.root = p.root AND n.path = f.path),
+    scored AS (SELECT path, type, line, CASE severity WHEN 'error' THEN 1.5 WHEN 'warning' THEN 0.5 ELSE 0.1 END AS points FROM fviol),
+    top AS (SELECT path, arg_min(struct_pack(type := type, points := points), (CASE WHEN type IN ('any_type', 'console_log') THEN -points ELSE -points / 3 END, type, line)) AS v FROM scored GROUP BY path),
+    steps AS (SELECT root, CAST(step AS INT) AS step, path, v.type AS rule, CASE v.type WHEN 'any_type' THEN 'replace' ELSE 'manual' END AS action,
+            CASE v.type WHEN 'any_type' THEN 'unknown' END AS replacement, CAST(v.points AS DOUBLE) AS gain
+        FROM placed JOIN top USING (path))
+    SELECT *, floor(sum(gain) OVER (PARTITION BY root) * 10 + 0.5) / 10 AS total_gain FROM steps"""
+
+
+@add("remediation_plan", with_parts(_PLAN.format(worst=" WHERE rn <= 10"), "local", "nodes", "worst", "fviol"))
 def _(t):
     return OR.remediation_plan(t.local, t.nodes, t.violations, t.worst.select(F.col("worst").alias("root")))
 
 
+@add("remediation_plan_all", with_parts(_PLAN.format(worst=""), "local", "nodes", "worst", "fviol"))
+def _(t):
+    return OR.remediation_plan(t.local, t.nodes, t.violations, t.worst.select(F.col("worst").alias("root")), worst=None)
+
+
 @add(
     "cross_module_edges",
     with_parts(

@@ -156,6 +156,42 @@ def test_betweenness(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in nodes)
 
 
+def test_sampled_betweenness_keeps_its_error(spark):
+    nodes, edges = random_graph(3, 120, 260)
+    edges = [(s, t) for s, t in edges if s != t]
+    n, e = frames(spark, nodes, edges)
+    drawn = CE.sampled_sources(n, 0.25, 0.1).collect()
+    assert 10 < len(drawn) < 80 and all(abs(r.weight * len(drawn) - len(nodes)) < 1e-9 for r in drawn)
+    want, scale = brandes(nodes, edges), (len(nodes) - 1) * (len(nodes) - 2)
+    got = {r.path: r.normalized_betweenness for r in CE.sampled_betweenness(e, n, 0.25, 0.1).collect()}
+    assert set(got) == set(nodes) and all(abs(got[x] - want[x] / scale) <= 0.25 for x in nodes)
+    # A tight bound draws every file, and the estimate is exact.
+    whole = {r.path: r.betweenness for r in CE.sampled_betweenness(e, n, 0.01, 0.1).collect()}
+    assert all(abs(whole[x] - want[x]) < 1e-6 for x in nodes)
+
+
+@pytest.mark.parametrize("seed,m", [(1, 60), (2, 110), (5, 300)])
+def test_closure_sizes(spark, seed, m):
+    nodes, edges = random_graph(seed, 60, m)
+    edges += [("n00", "gone")]  # a file that the node table does not know
+    n, e = frames(spark, nodes, edges)
+    want = {x: 0 for x in nodes}
+    for x in nodes:
+        seen, queue = set(), deque([x])
+        while queue:
+            y = queue.popleft()
+            for s, t in edges:
+                if t == y and s not in seen:
+                    seen.add(s)
+                    queue.append(s)
+        want[x] = len(seen)
+    got = {r.path: (r.dependents, r.exact) for r in TR.closure_sizes(e, n).collect()}
+    assert got == {x: (k, True) for x, k in want.items()}
+    rough = {r.path: r for r in TR.closure_sizes(e, n, 4).collect()}
+    assert all(rough[x].dependents == k for x, k in want.items() if k < 16)
+    assert all(abs(rough[x].dependents - k) <= 4 * k / 15**0.5 and not rough[x].exact for x, k in want.items() if k > 32)
+
+
 def components(nodes, edges):
     reach = {x: {x} for x in nodes}
     for _ in nodes:
