@@ -278,14 +278,58 @@ _PUSHED = """, f AS (SELECT DISTINCT l_orderkey AS push_id, path FROM lineitem J
   SELECT *, CASE WHEN high > 0 THEN 'request-changes' WHEN medium > 0 THEN 'neutral' ELSE 'approve' END AS verdict FROM g"""
 
 
-@add("push_verdicts", with_parts(_PUSHED, "local", "nodes", "files"))
-def _(t):
+def _pushes(t):
+    """Push events as (push_id, payload): a push lists the files of one order; an order has a handful of lines."""
     f = t.files.select("part", P.relative_path(F.col("repo"), "path").alias("file"))
     lines = t.raw("lineitem").join(f, F.col("l_partkey") == F.col("part"))
-    # A push lists the files of one order; an order has a handful of lines.
     payload = F.to_json(F.struct(F.lit("refs/heads/main").alias("ref"), F.array(F.struct(F.col("added"), F.col("modified"))).alias("commits")))
     pick = lambda cond: F.collect_list(F.when(cond, F.col("file")))
     pushes = lines.groupBy(F.col("l_orderkey").alias("push_id")).agg(
         pick(F.col("l_linestatus") == "O").alias("added"), pick(F.col("l_linestatus") != "O").alias("modified")
     )
-    return J.push_verdicts(pushes.select("push_id", payload.alias("payload")), t.local, t.nodes)
+    return pushes.select("push_id", payload.alias("payload"))
+
+
+@add("push_verdicts", with_parts(_PUSHED, "local", "nodes", "files"))
+def _(t):
+    return J.push_verdicts(_pushes(t), t.local, t.nodes)
+
+
+@add("stream_push_verdicts", with_parts(_PUSHED, "local", "nodes", "files"))
+def _(t):
+    """The pushes land in two parts; the job is restarted for the second."""
+    folder = f"{work_dir(t.spark)}/feed-{uuid.uuid4().hex}"
+    for k in range(2):
+        _pushes(t).where(F.pmod("push_id", F.lit(2)) == k).write.mode("append").parquet(f"{folder}/feed")
+        feed = t.spark.readStream.schema("push_id long, payload string").parquet(f"{folder}/feed")
+        J.push_feed(feed, t.local, t.nodes, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").drop("batch_id")
+
+
+@add(
+    "stream_late_windows",
+    with_parts(
+        f""", b AS (SELECT epoch_us(min(recorded_at)) AS lo, epoch_us(max(recorded_at)) AS hi FROM history),
+        h AS (SELECT history.*, epoch_us(recorded_at) < lo + (hi - lo) // 3 AS late, epoch_us(date_trunc('day', recorded_at)) + 86400000000 AS closes, hi FROM history, b)
+        SELECT repo, date_trunc('day', recorded_at) AS window_start, count(*) AS analyses, {r1('sum(round(rating * 10)) / 10 / count(*)')} AS overall_rating
+        FROM h WHERE NOT late OR closes > hi - 86400000000 GROUP BY 1, 2""",
+        "history",
+    ),
+)
+def _(t):
+    """Append mode with a watermark of a day. The oldest third of the time lands last and comes too late for its windows."""
+    folder = f"{work_dir(t.spark)}/feed-{uuid.uuid4().hex}"
+    events = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.unix_micros("ts")
+    span = events.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.max("ts").alias("last")).first()
+    parts = [events]
+    if span["hi"] is not None:
+        cut = span["lo"] + (span["hi"] - span["lo"]) // 3
+        close = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields}
+        close["ts"] = (F.lit(span["last"]) + F.expr("INTERVAL 9 DAYS")).alias("ts")  # moves the watermark past all windows
+        parts = [events.where(at >= cut), events.where(at < cut), t.spark.range(1).select(*close.values())]
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/feed")
+        feed = t.spark.readStream.schema(events.schema).parquet(f"{folder}/feed")
+        J.run_to_table(J.rating_windows(_as_changes(feed)), f"{folder}/out", f"{folder}/checkpoint")
+    return _ntz(t.spark.read.parquet(f"{folder}/out"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -16,6 +18,7 @@ from ..operators import patterns as PT
 from ..operators import risk as RK
 from ..operators import windows as WN
 from ..rules import tables as RT
+from ..session import work_dir
 from ..sinks import export as EX
 from ..sinks import store as ST
 from ..sources import adapters as A
@@ -1368,3 +1371,27 @@ def _(t):
     only = lambda flag: F.when(F.col("l_returnflag") == flag, F.array("path"))
     commits = lines.select(F.col("o_orderkey").alias("push_id"), only("A").alias("added"), only("R").alias("modified"), only("N").alias("removed"))
     return MG.changed_files(commits)
+
+
+def _documents(t):
+    """The graph of all repositories as stored documents: one file for each repository and hash bucket of about 1000 files."""
+    folder = f"{work_dir(t.spark)}/documents-{uuid.uuid4().hex}"
+    sizes = t.nodes.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / 1000).alias("buckets"))
+    owner = t.nodes.join(sizes, "repo").select("repo", "id", "label", "rating", F.pmod(F.xxhash64("id"), "buckets").alias("bucket"))
+    nodes = owner.groupBy("repo", "bucket").agg(F.collect_list(F.struct("id", "label", "rating")).alias("nodes"))
+    links = t.local.join(owner.select("repo", "bucket", F.col("id").alias("source")), "source")
+    edges = links.groupBy("repo", "bucket").agg(F.collect_list(F.struct("source", "target", "type", F.col("strength").alias("weight"))).alias("edges"))
+    repos = F.array(F.struct(F.col("repo").alias("path")))
+    doc = nodes.join(edges, ["repo", "bucket"], "left").withColumn("repos", repos).drop("bucket")
+    doc.write.option("maxRecordsPerFile", 1).json(folder)
+    return TB.load_graph(t.spark, folder)
+
+
+@add("load_graph_nodes", with_parts("SELECT repo, id, label, rating FROM nodes", "nodes"))
+def _(t):
+    return _documents(t)["nodes"].select("repo", "id", "label", "rating")
+
+
+@add("load_graph_edges", with_parts("SELECT n.repo, e.source, e.target, e.type, e.strength AS weight FROM local e JOIN nodes n ON n.id = e.source", "local", "nodes"))
+def _(t):
+    return _documents(t)["edges"].select("repo", "source", "target", "type", "weight")
