@@ -10,7 +10,8 @@ QUICK = [
     "graph_edges", "impact_set", "impact_verdicts", "degree_centrality", "file_ratings", "rating_breakdown", "cross_module_edges",
     "upsert_analyses", "violation_patterns", "uncovered_ranges", "rating_deltas", "file_summaries", "merge_nodes", "find_callers",
     "rule_scan", "change_batches", "stream_change_batches", "stream_upsert", "stream_change_detection", "stream_sessions",
-    "stream_rating_windows", "low_rating_alerts", "batch_members", "coverage_matches", "changed_file_risk",
+    "stream_rating_windows", "low_rating_alerts", "batch_members", "coverage_matches", "changed_file_risk", "closure_sizes",
+    "stream_push_verdicts", "stream_late_windows", "load_graph_nodes", "load_graph_edges", "betweenness_sampled", "remediation_plan",
 ]
 
 
