@@ -11,6 +11,12 @@ from .traverse import FRAGILE
 # Suffixes tried on a relative import, in order.
 IMPORT_SUFFIXES = [".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
 RELATION_SUFFIXES = [".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
+# Folders below the root that repeat its tree for tests, in order.
+PARALLEL_TREES = ["tests", "test", "__tests__"]
+# What may follow the stem of a test file, and its usual extensions, in order.
+TEST_SUFFIXES = (".test", ".spec")
+CS_SUFFIXES = ("Test", "Tests", ".Test", ".Tests")
+TEST_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx")
 
 
 def resolve_imports(imports: DataFrame, listing: DataFrame, suffixes=IMPORT_SUFFIXES, keep_unresolved: bool = True) -> DataFrame:
@@ -66,33 +72,51 @@ def _with_parts(files: DataFrame) -> DataFrame:
     return f.withColumn("stem", stem).withColumn("side", F.when(F.col("folder") == F.col("root"), "").otherwise(F.concat(F.lit("/"), rel)))
 
 
-def _test_candidates():
-    """Candidate test paths of a source file in order of preference, as an array column."""
-    ext = F.col("ext")
-    exts = [ext, *[F.lit(e) for e in (".ts", ".tsx", ".js", ".jsx")]]
-    place = lambda folder, s, e: F.concat(folder, F.lit("/"), F.col("stem"), F.lit(s), e)
-    folder = F.col("folder")
-    sibling = [place(folder, s, e) for s in (".test", ".spec") for e in exts]
-    cs = [F.when(ext == ".cs", place(folder, s, ext)) for s in ("Test", "Tests", ".Test", ".Tests")]
-    near = F.concat(folder, F.lit("/__tests__"))
-    inner = [place(near, s, e) for s in ("", ".test", ".spec") for e in exts]
-    parallel = [
-        place(F.concat("root", F.lit(f"/{d}"), "side"), s, e)
-        for d in ("tests", "test", "__tests__")
-        for s in ("", ".test", ".spec")
-        for e in exts
-    ]
-    return F.array(*sibling, *cs, *inner, *parallel)
+def _listed_names(listing: DataFrame) -> DataFrame:
+    """(path, key, suffix, end): every way to read a listed path as key + suffix + extension, at most 14."""
+    name = P.basename("path")
+    ends = F.array(F.lit(""), F.when(F.contains(name, F.lit(".")), F.concat(F.lit("."), F.substring_index(name, ".", -1))))
+    suffixes = F.array(*[F.lit(s) for s in ("", *TEST_SUFFIXES, *CS_SUFFIXES)])
+    read = listing.select("path", name.alias("name"), F.explode(F.array_compact(ends)).alias("end")).withColumn("suffix", F.explode(suffixes))
+    tail = F.concat("suffix", "end")
+    read = read.filter(F.endswith("name", tail))
+    return read.select("path", F.substring("path", F.lit(1), F.length("path") - F.length(tail)).alias("key"), "suffix", "end")
 
 
-def pair_tests(files: DataFrame, listing: DataFrame) -> DataFrame:
-    """Test file of each source file, null where none exists; ``files``: (path, root)."""
-    tried = _with_parts(files).select("path", F.posexplode(_test_candidates()).alias("priority", "candidate")).filter(
-        F.col("candidate").isNotNull()
+def _preference():
+    """Rank of a test file by place, suffix and extension; null where the names do not fit.
+
+    Beside the file come .test and .spec, then the names of .cs tests, then the other places; the file's own extension
+    comes before the usual ones.
+    """
+    place, suffix, end = F.col("place"), F.col("suffix"), F.col("end")
+    usual = F.array_position(F.array(*[F.lit(e) for e in TEST_EXTENSIONS]), end)
+    n_ends = 1 + len(TEST_EXTENSIONS)
+    at = F.when(end == F.col("ext"), 0).when(usual > 0, usual.cast("int"))
+    index = lambda names: F.array_position(F.array(*[F.lit(n) for n in names]), suffix).cast("int") - 1
+    beside, cs, other = index(TEST_SUFFIXES), index(CS_SUFFIXES), index(("", *TEST_SUFFIXES))
+    n_beside = len(TEST_SUFFIXES) * n_ends
+    return (
+        F.when((place == 0) & (beside >= 0), beside * n_ends + at)
+        .when((place == 0) & (cs >= 0), F.when((F.col("ext") == ".cs") & (end == ".cs"), n_beside + cs))
+        .when((place > 0) & (other >= 0), n_beside + len(CS_SUFFIXES) + ((place - 1) * (1 + len(TEST_SUFFIXES)) + other) * n_ends + at)
     )
-    hit = tried.join(listing.select(F.col("path").alias("candidate")).distinct(), "candidate")
+
+
+def pair_tests(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """Test file of each source file, null where none exists; ``files``: (path, root).
+
+    A file has one row for each place that may hold its tests, a listed path one for each way to read its name: neither
+    the rows nor the plan grow with the number of names. Both sides are sorted, as their size on disk says little about them.
+    """
+    folder = F.col("folder")
+    places = [folder, F.concat(folder, F.lit("/__tests__")), *[F.concat("root", F.lit(f"/{d}"), "side") for d in PARALLEL_TREES]]
+    sought = _with_parts(files).select("path", "stem", "ext", F.posexplode(F.array(*places)).alias("place", "at"))
+    sought = sought.select("path", "ext", "place", F.concat("at", F.lit("/"), "stem").alias("key"))
+    named = _listed_names(listing.select("path").distinct()).withColumnRenamed("path", "candidate")
+    hit = sought.hint("merge").join(named, "key").withColumn("priority", _preference()).filter("priority IS NOT NULL")
     best = hit.groupBy("path").agg(F.min_by("candidate", "priority").alias("test_path"))
-    return files.select("path").distinct().join(best, "path", "left")
+    return files.select("path").distinct().hint("merge").join(best, "path", "left")
 
 
 def stale_files(analyses: DataFrame, listing: DataFrame) -> DataFrame:

@@ -246,6 +246,30 @@ def test_missing_tests(spark):
     assert got == {("/r/b.ts", "hollow_test_file"), ("/r/c.ts", "no_test_file")}
 
 
+def test_pairs_by_name_parts(spark):
+    """All names in order of preference, tried one by one, give the same pairs; no side of the joins is sent to the driver."""
+    exts = [".ts", ".tsx", ".js", ".jsx"]
+
+    def names(path):
+        folder, _, name = path.rpartition("/")
+        stem, dot, end = name.rpartition(".")
+        stem, own = (stem, dot + end) if stem else (name, "")
+        side = folder[2:]
+        out = [f"{folder}/{stem}{s}{e}" for s in (".test", ".spec") for e in (own, *exts)]
+        out += [f"{folder}/{stem}{s}.cs" for s in ("Test", "Tests", ".Test", ".Tests") if own == ".cs"]
+        places = [f"{folder}/__tests__", *[f"/r/{d}{side}" for d in ("tests", "test", "__tests__")]]
+        return out + [f"{p}/{stem}{s}{e}" for p in places for s in ("", ".test", ".spec") for e in (own, *exts)]
+
+    files = [f"/r{d}/{n}" for d in ("", "/s", "/s/t") for n in ("a.ts", "a.b.js", "A.cs", "c", ".rc", "x.test.ts", "d.")]
+    tried = sorted({n for f in files for n in names(f)})
+    for step in (1, 3, 7, 11, 29):
+        listed = [*tried[::step], "a.test.ts", "/r/s/aTest.ts", "/r/A.Tests.ts", "/r/s/a.spec.md"]
+        known = set(listed)
+        got = JN.pair_tests(spark.createDataFrame([(f, "/r") for f in files], "path string, root string"), spark.createDataFrame([(n,) for n in listed], "path string"))
+        assert {r.path: r.test_path for r in got.collect()} == {f: next((n for n in names(f) if n in known), None) for f in files}
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def corpus(spark, *rows):
     return spark.createDataFrame(rows, "path string, language string, content string")
 
