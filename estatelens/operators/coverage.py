@@ -77,16 +77,16 @@ def missing_test_violations(files: DataFrame, listing: DataFrame) -> DataFrame:
     checked = checked.filter(~FL.is_coverage_exempt(F.col("path"), F.col("content")))
     pair = pair_tests(checked, listing)
     real = listing.select(F.col("path").alias("test_path"), FL.has_real_tests(F.col("content")).alias("real"))
-    p = pair.join(real, "test_path", "left")
-    none = p.filter("test_path IS NULL").select(
-        "path", F.lit("no_test_file").alias("type"), F.lit("warning").alias("severity"),
-        F.lit("No corresponding test file found — add tests for this file").alias("message"),
+    p = pair.join(real.hint("merge"), "test_path", "left")
+    gap = F.col("test_path").isNull()
+    pick = lambda none, hollow: F.when(gap, none).otherwise(hollow)
+    empty = F.concat(F.lit("Test file exists but contains no real test cases — "), P.basename("test_path"), F.lit(" is an empty shell"))
+    return p.filter(gap | ~F.col("real")).select(
+        "path",
+        pick(F.lit("no_test_file"), F.lit("hollow_test_file")).alias("type"),
+        pick(F.lit("warning"), F.lit("error")).alias("severity"),
+        pick(F.lit("No corresponding test file found — add tests for this file"), empty).alias("message"),
     )
-    hollow = p.filter("NOT real").select(
-        "path", F.lit("hollow_test_file").alias("type"), F.lit("error").alias("severity"),
-        F.concat(F.lit("Test file exists but contains no real test cases — "), P.basename("test_path"), F.lit(" is an empty shell")).alias("message"),
-    )
-    return none.unionByName(hollow)
 
 
 def rerate_with_coverage(files: DataFrame, violations: DataFrame, cov_violations: DataFrame, rollup: DataFrame) -> DataFrame:
