@@ -360,3 +360,22 @@ def test_rank(spark):
     d = CE.degree_centrality(e, n)
     got = {r.path: r["rank"] for r in CE.centrality_rank(d, n.select(F.col("id").alias("path"))).collect()}
     assert got == {"a": 1, "b": 2, "c": 3, "d": 4, "e": 5, "f": 6}
+
+
+@pytest.mark.parametrize("query,tag", [("closure_sizes", "closure"), ("transitive_dependents", "level")])
+def test_closures_walk_between_components(spark, monkeypatch, query, tag):
+    ring = [f"n{i:02d}" for i in range(12)]
+    edges = [(a, b) for a, b in zip(ring, ring[1:] + ring[:1])] + [("x", "n00"), ("n05", "y")]
+    n, e = frames(spark, {x: 5.0 for x in [*ring, "x", "y"]}, edges)
+    written, write = [], TR.materialize
+    monkeypatch.setattr(TR, "materialize", lambda df, name="stage", **more: written.append(name) or write(df, name, **more))
+    if query == "closure_sizes":
+        got = {r.path: r.dependents for r in TR.closure_sizes(e, n).collect()}
+        assert got == {**{x: 13 for x in ring}, "x": 0, "y": 13}
+    else:
+        monkeypatch.setattr(TR, "SLICE", 5)
+        rows = TR.transitive_dependents(e, n, n.select(F.col("id").alias("root"))).select("root", "path", "direct").collect()
+        want = {(r, p) for r in [*ring, "y"] for p in [*ring, "x"]}
+        assert len(rows) == len(want) and {(r.root, r.path) for r in rows} == want
+        assert {(r.path, r.root) for r in rows if r.direct} == set(edges)
+    assert written.count(tag) <= 4  # one for each file of the ring before
