@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+LARGE_GROUP = 100_000  # rows of a group that one task may order
+
 
 def last_per_file(history: DataFrame, n: int = 20) -> DataFrame:
     """Newest ``n`` ratings of each file. Spark trims groups map-side (window group limit)."""
@@ -89,8 +91,25 @@ def position_in_group(df: DataFrame, group: list[str], order: list[str] | str, n
     )
 
 
-def next_in_group(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """Value of the next row of the group: inside a slice, else the first value of the next slice."""
+def next_in_group(df: DataFrame, group: list[str], order: list[str], value: str, name: str, counted: DataFrame | None = None) -> DataFrame:
+    """Value of the next row of the group.
+
+    Groups go through one window, so the rows are shuffled once. Those of a first column with more than LARGE_GROUP rows
+    are cut into slices: inside a slice the next row, else the first value of the next slice. ``counted`` may hold that
+    column for the same rows or more, where counting ``df`` costs more.
+    """
+    sizes = (df if counted is None else counted).groupBy(group[0]).agg(F.count(F.lit(1)).alias("_n"))
+    # Fewer keys than rows / LARGE_GROUP.
+    large = materialize(sizes.filter(F.col("_n") > LARGE_GROUP).select(group[0]), "large")
+    w = Window.partitionBy(*group).orderBy(*order)
+    if not large.rows:
+        large.drop()
+        return df.withColumn(name, F.lead(value).over(w))
+    rest = df.join(large.df, group[0], "left_anti").select(*df.columns).withColumn(name, F.lead(value).over(w))
+    return rest.unionByName(_next_in_slices(df.join(large.df, group[0], "left_semi").select(*df.columns), group, order, value, name))
+
+
+def _next_in_slices(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
     cut = _slices(df, group, order)
     inside = F.lead(value).over(Window.partitionBy(*group, "_p").orderBy(*order))
     first = cut.groupBy(*group, "_p").agg(F.min_by(value, F.struct(*order)).alias("_f"))

@@ -87,8 +87,9 @@ class Tables:
 
     def snapshot(self, status: str) -> tuple[DataFrame, DataFrame]:
         if f"n{status}" not in self._kept:
-            n, e = A.snapshot(self.spark, self.sf, status)
-            self._kept[f"n{status}"], self._kept[f"e{status}"] = materialize(n, "snap").df, materialize(e, "snap").df
+            both = self._once("snap", lambda: A.snapshot_edges(self.spark, self.sf))
+            e = self._kept[f"e{status}"] = both.filter(F.col("l_linestatus") == status).drop("l_linestatus")
+            self._once(f"n{status}", lambda: A.snapshot_nodes(self.spark, self.sf, status, e))
         return self._kept[f"n{status}"], self._kept[f"e{status}"]
 
 

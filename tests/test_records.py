@@ -21,6 +21,7 @@ from estatelens.sinks import export as EX
 from estatelens.sinks import store as ST
 from estatelens.sources import files as SF
 from estatelens.sources import tables as TB
+from estatelens.sources import adapters as AD
 
 
 def one(spark, column, **values):
@@ -246,6 +247,28 @@ def test_missing_tests(spark):
     assert got == {("/r/b.ts", "hollow_test_file"), ("/r/c.ts", "no_test_file")}
 
 
+@pytest.mark.parametrize("large", [3, 1000])
+def test_next_in_group_slices_large_groups_only(spark, monkeypatch, large):
+    rows = [(g, h, (7 * i) % 31, i) for g, n in (("a", 2), ("b", 31), ("c", 1)) for h in (0, 1) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, h int, at int, v int")
+    tags, write = [], WN.materialize
+    monkeypatch.setattr(WN, "materialize", lambda df, tag="stage", **more: tags.append(tag) or write(df, tag, **more))
+    monkeypatch.setattr(WN, "LARGE_GROUP", large)
+    want = {}
+    for g, h in {r[:2] for r in rows}:
+        own = sorted((r[2], r[3]) for r in rows if r[:2] == (g, h))
+        want |= {(g, h, v): n for (_, v), (_, n) in zip(own, [*own[1:], (None, None)])}
+    got = WN.next_in_group(df, ["g", "h"], ["at", "v"], "v", "next").collect()
+    assert len(got) == len(rows) and {(r.g, r.h, r.v): r.next for r in got} == want
+    assert ("slices" in tags) == (large == 3)  # every call wrote all its rows as slices before
+
+
+def test_files_are_not_sent_through_the_driver(spark, sf):
+    e = AD.snapshot_edges(spark, sf)
+    for df in (e, AD.snapshot_nodes(spark, sf, "F", e), AD.raw_dependencies(spark, sf)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pairs_by_name_parts(spark):
     """All names in order of preference, tried one by one, give the same pairs; no side of the joins is sent to the driver."""
     exts = [".ts", ".tsx", ".js", ".jsx"]
