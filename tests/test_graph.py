@@ -265,6 +265,19 @@ def test_fix_order(spark, seed):
     assert got == topo(nodes, edges)
 
 
+def test_many_stalls_take_few_rounds(spark, monkeypatch):
+    nodes, edges = random_graph(7, 60, 150)
+    pairs = {f"p{i:03d}{side}": float(i % 7) for i in range(100) for side in "ab"}
+    loops = [(f"p{i:03d}{x}", f"p{i:03d}{y}") for i in range(100) for x, y in ("ab", "ba")]
+    n1, e1 = frames(spark, nodes, edges, "/r")
+    n2, e2 = frames(spark, pairs, loops, "/s")
+    rounds, real = [], OR.materialize
+    monkeypatch.setattr(OR, "materialize", lambda *a, **k: rounds.append(1) or real(*a, **k))
+    got = {r.path: r.level for r in OR.fix_order(e1.union(e2), n1.union(n2)).collect()}
+    assert got == topo(nodes, edges) | topo(pairs, loops)  # 100 stalls and 200 levels in /s
+    assert len(rounds) <= 60
+
+
 def test_fix_order_golden(spark):
     n, e = frames(spark, {"a": 8.0, "b": 2.0, "c": 5.0}, [("a", "b"), ("b", "c"), ("c", "a"), ("a", "zz")])
     order = [r.path for r in OR.fix_order(e, n).orderBy("level", "rating", "path").collect()]
