@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,41 +146,52 @@ def lexical_metrics(corpus: DataFrame) -> DataFrame:
 
 
 def csharp_violations(corpus: DataFrame) -> DataFrame:
-    """Type too large, constructor with many parameters, magic number, empty catch."""
-    cs = corpus.filter("language = 'csharp'")
+    """Type too large, constructor with many parameters, magic number, empty catch.
+
+    One pass over the texts: every pattern runs once a file, and what it finds is spread to rows at the end.
+    """
     c = F.col("content")
-    god = cs.withColumn("n", F.regexp_count(c, F.lit(RT.CS_GOD_METHOD))).filter("n > 20").select(
-        "path", F.lit("god_class").alias("type"), F.lit("warning").alias("severity"), F.lit(1).alias("occurrences"),
-        F.concat(
-            F.lit("Class has "), F.col("n").cast("string"),
-            F.lit(" methods — consider splitting responsibilities (Single Responsibility Principle)"),
-        ).alias("message"),
+    args = F.regexp_extract_all(c, F.lit(RT.CS_CONSTRUCTOR), 1)
+    params = F.transform(args, lambda a: F.size(F.filter(F.split(a, ","), lambda p: strip(p) != "")))
+    d = corpus.filter("language = 'csharp'").select(
+        "path",
+        F.regexp_count(c, F.lit(RT.CS_GOD_METHOD_FAST)).alias("methods"),
+        F.filter(params, lambda n: n > 5).alias("params"),
+        F.regexp_extract_all(c, F.lit(RT.CS_MAGIC_NUMBER_FAST), 1).alias("numbers"),
+        F.regexp_count(c, F.lit(RT.CS_EMPTY_CATCH)).alias("silent"),
     )
-    params = F.filter(F.split("args", ","), lambda p: strip(p) != "")
-    coupled = (
-        cs.select("path", F.explode(F.regexp_extract_all(c, F.lit(RT.CS_CONSTRUCTOR), 1)).alias("args"))
-        .withColumn("n", F.size(params))
-        .filter("n > 5")
-        .select(
-            "path", F.lit("tight_coupling").alias("type"), F.lit("warning").alias("severity"), F.lit(1).alias("occurrences"),
-            F.concat(F.lit("Constructor has "), F.col("n").cast("string"), F.lit(" parameters — consider using a configuration object or DI container")).alias("message"),
+
+    def found(type_, severity, occurrences, *message):
+        return F.struct(
+            F.lit(type_).alias("type"), F.lit(severity).alias("severity"), occurrences.alias("occurrences"), F.concat(*message).alias("message")
         )
+
+    one = F.lit(1)
+    god = found(
+        "god_class", "warning", one, F.lit("Class has "), F.col("methods").cast("string"),
+        F.lit(" methods — consider splitting responsibilities (Single Responsibility Principle)"),
     )
-    magic = cs.select("path", F.explode(F.regexp_extract_all(c, F.lit(RT.CS_MAGIC_NUMBER), 1)).alias("num")).select(
-        "path", F.lit("magic_number").alias("type"), F.lit("info").alias("severity"), F.lit(1).alias("occurrences"),
-        F.concat(F.lit("Magic number "), "num", F.lit(" — extract to a named constant")).alias("message"),
+    coupled = lambda n: found(
+        "tight_coupling", "warning", one, F.lit("Constructor has "), n.cast("string"),
+        F.lit(" parameters — consider using a configuration object or DI container"),
     )
-    silent = cs.withColumn("occurrences", F.regexp_count(c, F.lit(RT.CS_EMPTY_CATCH))).filter("occurrences > 0").select(
-        "path", F.lit("empty_catch").alias("type"), F.lit("error").alias("severity"), "occurrences",
-        F.lit("Empty catch block silently swallows exceptions").alias("message"),
+    magic = lambda n: found("magic_number", "info", one, F.lit("Magic number "), n, F.lit(" — extract to a named constant"))
+    silent = found("empty_catch", "error", F.col("silent"), F.lit("Empty catch block silently swallows exceptions"))
+    rows = F.concat(
+        F.array_compact(F.array(F.when(F.col("methods") > 20, god), F.when(F.col("silent") > 0, silent))),
+        F.transform("params", coupled),
+        F.transform("numbers", magic),
     )
-    return god.unionByName(coupled).unionByName(magic).unionByName(silent)
+    return d.select("path", F.explode(rows).alias("v")).select("path", "v.*")
 
 
 def defined_types(corpus: DataFrame) -> DataFrame:
     """Type names a C# file defines, in order of first appearance: (path, type_names)."""
-    names = F.regexp_extract_all("content", F.lit(r"\b(?:class|interface|struct|enum|record)\s+(\w+)"), 1)
-    return corpus.filter("language = 'csharp'").select("path", F.array_distinct(names).alias("type_names"))
+    return corpus.filter("language = 'csharp'").select("path", _defined(F.col("content")).alias("type_names"))
+
+
+def _defined(content: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(content, F.lit(r"\b(?:class|interface|struct|enum|record)\s+(\w+)"), 1))
 
 
 def referenced_types(corpus: DataFrame) -> DataFrame:
@@ -188,28 +201,39 @@ def referenced_types(corpus: DataFrame) -> DataFrame:
     clean = F.regexp_replace(clean, r"(?s)/\*.*?\*/", "")
     clean = F.regexp_replace(clean, r'"(?:[^"\\]|\\.)*"', '""')
     clean = F.regexp_replace(clean, r"'(?:[^'\\]|\\.)*'", "''")
-    d = corpus.filter("language = 'csharp'").select("path", clean.alias("code"))
+    has = lambda text, *parts: reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in parts])
+    clean = F.when(has(c, "//", "/*", '"', "'"), clean).otherwise(c)
+    d = corpus.filter("language = 'csharp'").select("path", clean.alias("code"), _defined(c).alias("type_names"))
+    # Plain letters are looked at first, as they stand at few places; every pattern runs once a file.
     modifiers = "public|private|protected|internal|static|virtual|override|abstract|async"
+    modifier = rf"(?=[piasvo])\b(?:{modifiers})"
     generic = r"[A-Z]\w+(?:<[^>]+>)?"
+    code = F.col("code")
     grab = lambda p, g=1: F.regexp_extract_all("code", F.lit(p), g)
     plain = lambda a: F.transform(a, lambda s: strip(F.regexp_replace(s, "<.*>$", "")))
-    bases = F.flatten(F.transform(grab(r"\b(?:class|struct|record)\s+\w+(?:<[^>]+>)?\s*:\s*([^{]+)"), lambda s: F.split(s, ",")))
-    bases = F.transform(bases, lambda s: strip(F.regexp_replace(F.substring_index(F.regexp_replace(strip(s), r"<.*>$", ""), ".", -1), r"(?s)\s+where\s+.*", "")))
-    field = grab(rf"\b(?:{modifiers}|readonly)\s+(?:(?:static|readonly|virtual|override|abstract|async)\s+)*({generic})\s+\w+\s*[{{;=,)]")
-    args = F.flatten(F.transform(field, lambda s: F.split(F.regexp_extract(s, "<(.+)>", 1), ",")))
-    method = rf"\b(?:{modifiers})\s+(?:(?:static|virtual|override|abstract|async)\s+)*({generic})\s+\w+\s*\(([^)]*)\)"
-    params = F.flatten(F.transform(grab(method, 2), lambda s: F.regexp_extract_all(s, F.lit(rf"({generic})\s+\w+"), 1)))
-    used = F.concat(
-        plain(field), plain(F.transform(args, lambda s: strip(s))), plain(grab(method)), plain(params),
-        grab(r"new\s+([A-Z]\w+)\s*[(<{]"), grab(r"\b(?:typeof|nameof|as|is)\s*\(?\s*([A-Z]\w+)"), grab(r"\[\s*([A-Z]\w+)\s*(?:\(|])"),
+    method = rf"{modifier}\s+(?:(?:static|virtual|override|abstract|async)\s+)*({generic})\s+\w+\s*\(([^)]*)\)"
+    d = d.select(
+        "path",
+        "type_names",
+        grab(r"(?=[csr])\b(?:class|struct|record)\s+\w+(?:<[^>]+>)?\s*:\s*([^{]+)").alias("bases"),
+        grab(rf"(?=[piasvor])\b(?:{modifiers}|readonly)\s+(?:(?:static|readonly|virtual|override|abstract|async)\s+)*({generic})\s+\w+\s*[{{;=,)]").alias("field"),
+        grab(method, 0).alias("method"),
+        F.concat(
+            grab(r"new\s+([A-Z]\w+)\s*[(<{]"),
+            grab(r"(?=[tnai])\b(?:typeof|nameof|as|is)\s*\(?\s*([A-Z]\w+)"),
+            F.when(has(code, "["), grab(r"\[\s*([A-Z]\w+)\s*(?:\(|])")).otherwise(F.array().cast("array<string>")),
+        ).alias("others"),
     )
-    builtin = F.array(*[F.lit(t) for t in RT.BUILTIN_TYPES])
+    bases = F.flatten(F.transform("bases", lambda s: F.split(s, ",")))
+    bases = F.transform(bases, lambda s: strip(F.regexp_replace(F.substring_index(F.regexp_replace(strip(s), r"<.*>$", ""), ".", -1), r"(?s)\s+where\s+.*", "")))
+    args = F.flatten(F.transform("field", lambda s: F.split(F.regexp_extract(s, "<(.+)>", 1), ",")))
+    part = lambda g: F.transform("method", lambda s: F.regexp_extract(s, method, g))
+    params = F.flatten(F.transform(part(2), lambda s: F.regexp_extract_all(s, F.lit(rf"({generic})\s+\w+"), 1)))
+    used = F.concat(plain(F.col("field")), plain(F.transform(args, lambda s: strip(s))), plain(part(1)), plain(params), F.col("others"))
     # Base types are kept even when they share a built-in name.
-    names = F.array_union(F.array_except(used, builtin), bases)
-    own = defined_types(corpus)
+    names = F.array_union(F.filter(used, lambda x: ~x.isin(RT.BUILTIN_TYPES)), bases)
     return (
-        d.select("path", names.alias("names"))
-        .join(own, "path")
+        d.select("path", "type_names", names.alias("names"))
         .select("path", F.explode(F.array_except("names", "type_names")).alias("type_name"))
         .filter(F.rlike(F.col("type_name"), F.lit(r"^[A-Z]\w+$")))
     )
@@ -333,24 +357,33 @@ def enriched_relations(corpus: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
+# They look behind only where their first letters stand, not at every character.
+HANDLER = r"on(?<=\bon)\w+\s*=\s*\{\s*(?:async\s+)?(?:(?:\([^)]*\)|\w+)\s*=>|function\b)"
+HOOK = r"(use(?<![\w$.]use)[A-Z]\w*+)\s*+(?:<[^>()]*+>)?+\("
+
+
 def react_violations(corpus: DataFrame) -> DataFrame:
-    """Inline JSX handlers, too many hooks and repeated hooks, counted per file."""
+    """Inline JSX handlers, too many hooks and repeated hooks, counted per file.
+
+    One pass over the texts: the patterns run once a file, and what they find is spread to rows at the end.
+    """
     c = F.col("content")
-    d = corpus.filter("language IN ('tsx', 'jsx')")
-    inline = d.withColumn("n", F.regexp_count(c, F.lit(r"\bon\w+\s*=\s*\{\s*(?:async\s+)?(?:\([^)]*\)|\w+)\s*=>|\bon\w+\s*=\s*\{\s*(?:async\s+)?function\b")))
-    inline = inline.filter("n > 0").select("path", F.lit("inline_handler").alias("type"), F.lit("info").alias("severity"), "n", F.lit("").alias("detail"))
-    hooks = d.withColumn("hooks", F.regexp_extract_all(c, F.lit(r"(?<![\w$.])(use[A-Z]\w*)\s*(?:<[^>()]*>)?\("), 1))
-    many = hooks.filter(F.size("hooks") > 7).select(
-        "path", F.lit("hook_overload").alias("type"), F.lit("warning").alias("severity"), F.size("hooks").alias("n"), F.lit("").alias("detail")
-    )
+    handler = F.regexp_count(c, F.lit(HANDLER))
     # Equal names are neighbours once sorted.
-    ordered = F.array_sort("hooks")
-    pairs = F.zip_with(ordered, F.slice(ordered, 2, F.size("hooks")), lambda x, y: F.when(x == y, x))
-    twice = F.array_distinct(F.array_compact(pairs))
-    again = hooks.withColumn("twice", twice).filter(F.size("twice") > 0).select(
-        "path", F.lit("duplicate_hooks").alias("type"), F.lit("warning").alias("severity"), F.size("twice").alias("n"), F.array_join("twice", ", ").alias("detail")
+    hooks = F.sort_array(F.regexp_extract_all(c, F.lit(HOOK), 1))
+    d = corpus.filter("language IN ('tsx', 'jsx')").select("path", handler.alias("handlers"), hooks.alias("hooks"))
+    pairs = F.zip_with("hooks", F.slice("hooks", 2, F.size("hooks")), lambda x, y: F.when(x == y, x))
+    d = d.select("path", "handlers", F.size("hooks").alias("n"), F.array_distinct(F.array_compact(pairs)).alias("twice"))
+
+    def found(cond, type_, severity, n, detail):
+        return F.when(cond, F.struct(F.lit(type_).alias("type"), F.lit(severity).alias("severity"), n.alias("n"), detail.alias("detail")))
+
+    rows = F.array(
+        found(F.col("handlers") > 0, "inline_handler", "info", F.col("handlers"), F.lit("")),
+        found(F.col("n") > 7, "hook_overload", "warning", F.col("n"), F.lit("")),
+        found(F.size("twice") > 0, "duplicate_hooks", "warning", F.size("twice"), F.array_join("twice", ", ")),
     )
-    return inline.unionByName(many).unionByName(again)
+    return d.select("path", F.explode(F.array_compact(rows)).alias("v")).select("path", "v.*")
 
 
 def fallback_analyses(files: DataFrame) -> DataFrame:

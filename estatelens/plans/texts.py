@@ -133,9 +133,11 @@ def _(t):
 
 
 def _line_texts(t, content, language: str):
-    """One short source text per order line, built from its columns."""
-    lines = t.raw("lineitem").withColumn("key", F.concat_ws("_", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.col("l_quantity").cast("int").cast("string")))
-    return lines.select(F.concat(F.lit("/w/"), "key").alias("path"), F.lit(language).alias("language"), content.alias("content")).distinct()
+    """One short source text per order line, built from its columns, which are made distinct before they become text."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    lines = t.raw("lineitem").withColumn("l_quantity", F.col("l_quantity").cast("int")).select(*keys, "l_returnflag").distinct()
+    path = F.concat(F.lit("/w/"), F.concat_ws("_", *[F.col(c).cast("string") for c in keys]))
+    return lines.select(path.alias("path"), F.lit(language).alias("language"), content.alias("content"))
 
 
 _KEY = "'/w/' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || CAST(l_quantity AS INT)"

@@ -465,6 +465,9 @@ CS_COMPLEXITY = r"\b(if|else if|while|for|foreach|case|catch|\?)\b"
 CS_GOD_METHOD = r"\b(public|private|protected)\s+[\w<>\[\]?]+\s+\w+\s*\("
 CS_CONSTRUCTOR = r"public\s+\w+\s*\(([^)]+)\)"
 CS_MAGIC_NUMBER = r"[^.a-zA-Z_\"'](\b(?!0\b|1\b)\d{2,}\b)"
+#: The matches of CS_GOD_METHOD and CS_MAGIC_NUMBER; what stands before is looked at only behind a first letter or a digit.
+CS_GOD_METHOD_FAST = r"p(?<=\bp)(ublic|rivate|rotected)\s+[\w<>\[\]?]+\s+\w+\s*\("
+CS_MAGIC_NUMBER_FAST = r"(\d(?<=[^.a-zA-Z_\"']\b\d)\d+\b)"
 CS_EMPTY_CATCH = r"catch\s*\([^)]*\)\s*\{\s*\}"
 CS_USING = r"(?m)^using\s+([\w.]+);"
 

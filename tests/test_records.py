@@ -1,6 +1,7 @@
 """Sources, sinks, ratings, filters, joins and lexical scans on small inputs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from estatelens.operators import lexical as LX
 from estatelens.operators import merge as MG
 from estatelens.operators import patterns as PT
 from estatelens.operators import windows as WN
+from estatelens.rules import tables as RT
 from estatelens.sinks import export as EX
 from estatelens.sinks import store as ST
 from estatelens.sources import files as SF
@@ -371,6 +373,29 @@ def test_callers(spark):
     assert got == [(1, 3, "run (1)", True), (3, 5, "obj.run()", True)]
 
 
+@pytest.mark.parametrize("scan", [LX.react_violations, LX.csharp_violations, LX.referenced_types])
+def test_scans_read_the_texts_once(spark, scan):
+    plan = scan(corpus(spark, ("/o.cs", "csharp", CS)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert "Join" not in plan and "Union" not in plan
+
+
+def test_quick_patterns_find_the_same(spark):
+    r = random.Random(3)
+    parts = ["public", "private", "pubpublic", " ", "x", "List<int>", "(", "_", "12", "0", "7", ".5", "é34", '"', "use", "useState", "$useA", ".useB", "<T>", "on", "onClick", "=", "{", "async ", "function", "() =>"]
+    texts = [("".join(r.choice(parts) for _ in range(r.randrange(1, 60))),) for _ in range(3000)] + [("public int Run(",), ("<a onClick={() => 1} useState<T>(1)",)]
+    d = spark.createDataFrame(texts, "t string")
+    handler = r"\bon\w+\s*=\s*\{\s*(?:async\s+)?(?:\([^)]*\)|\w+)\s*=>|\bon\w+\s*=\s*\{\s*(?:async\s+)?function\b"
+    for old, new, g in (
+        (RT.CS_GOD_METHOD, RT.CS_GOD_METHOD_FAST, 0),
+        (RT.CS_MAGIC_NUMBER, RT.CS_MAGIC_NUMBER_FAST, 1),
+        (handler, LX.HANDLER, 0),
+        (r"(?<![\w$.])(use[A-Z]\w*)\s*(?:<[^>()]*>)?\(", LX.HOOK, 1),
+    ):
+        both = d.select(F.regexp_extract_all("t", F.lit(old), g).alias("a"), F.regexp_extract_all("t", F.lit(new), g).alias("b"))
+        assert both.filter("a <> b").count() == 0 and both.filter("size(a) > 0").count() > 0
+
+
 def test_react_and_types(spark):
     src = "const A = () => { useState(); useState(); return <a onClick={() => go()} onBlur={save} /> }\nlet x: any = 1; console.log(x); console.warn(x)"
     c = corpus(spark, ("/a.tsx", "tsx", src))
