@@ -11,26 +11,32 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import rating as R
 from .centrality import centrality_rank, degree_centrality
-from .graph_build import known_targets
 
 
-def cross_module_edges(edges: DataFrame, nodes: DataFrame, prefixes=P.MODULE_PREFIXES, mode: str = "distance") -> DataFrame:
-    """Every cross-module edge with its score, per repository.
+def _crossing(edges: DataFrame, nodes: DataFrame, prefixes) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges between modules with both modules, and the number of entries of each pair of modules.
 
-    ``mode="distance"``: folder distance / ln(pair count + 1); ``mode="inverse"``: 1 / ln(pair
-    count + 1). The pair count is taken before duplicates are removed. Node ``repo`` is the root
-    folder of the repository the source file belongs to.
+    The joins with the files also drop edges of unknown ends. Entries are counted as duplicates go, where the last join
+    left them, so both tables read the same shuffled edges.
     """
     n = nodes.select("repo", "id", P.module_of("id", F.col("repo"), prefixes).alias("module"))
-    e = known_targets(edges.select("source", "target"), nodes, both_ends=True)
     e = (
-        e.join(n.select("repo", F.col("id").alias("source"), F.col("module").alias("source_module")), "source")
+        edges.select("source", "target")
+        .join(n.select("repo", F.col("id").alias("source"), F.col("module").alias("source_module")), "source")
         .join(n.select(F.col("id").alias("target"), F.col("module").alias("target_module")), "target")
         .filter("source_module <> target_module")
+        .groupBy("repo", "source", "target", "source_module", "target_module")
+        .agg(F.count(F.lit(1)).alias("_entries"))
     )
-    pairs = e.groupBy("repo", "source_module", "target_module").agg(F.count(F.lit(1)).alias("pair_count"))
+    return e, e.groupBy(*_PAIR).agg(F.sum("_entries").alias("pair_count"))
+
+
+_PAIR = ["repo", "source_module", "target_module"]
+
+
+def _scored(e: DataFrame, pairs: DataFrame, mode: str) -> DataFrame:
     # One row per module pair: far smaller than the edges, so Spark may broadcast it by its size.
-    e = e.distinct().join(pairs, ["repo", "source_module", "target_module"])
+    e = e.join(pairs, _PAIR)
     dist = P.directory_distance("source", "target")
     count = F.col("pair_count")
     score = (dist if mode == "distance" else F.lit(1.0)) / F.log(count + 1)
@@ -51,14 +57,31 @@ def cross_module_edges(edges: DataFrame, nodes: DataFrame, prefixes=P.MODULE_PRE
     )
 
 
+def cross_module_edges(edges: DataFrame, nodes: DataFrame, prefixes=P.MODULE_PREFIXES, mode: str = "distance") -> DataFrame:
+    """Every cross-module edge with its score, per repository.
+
+    ``mode="distance"``: folder distance / ln(pair count + 1); ``mode="inverse"``: 1 / ln(pair
+    count + 1). The pair count is taken before duplicates are removed. Node ``repo`` is the root
+    folder of the repository the source file belongs to.
+    """
+    return _scored(*_crossing(edges, nodes, prefixes), mode)
+
+
 def surprising(edges: DataFrame, nodes: DataFrame, top: int = 10, prefixes=P.MODULE_PREFIXES, mode: str = "distance") -> DataFrame:
-    """The ``top`` most surprising edges of each repository."""
+    """The ``top`` most surprising edges of each repository.
+
+    Edges of one pair of modules share its count, so their order needs none: each pair hands on its first ``top``
+    before the counts are joined, and the edges are not shuffled by pairs.
+    """
     from pyspark.sql import Window
 
+    e, pairs = _crossing(edges, nodes, prefixes)
+    order = [F.desc(P.directory_distance("source", "target"))] if mode == "distance" else []
+    first = Window.partitionBy(*_PAIR).orderBy(*order, "source", "target")
+    e = e.withColumn("_first", F.row_number().over(first)).filter(F.col("_first") <= top)
     # Scores that differ only in the last bits of the logarithm are ties.
     w = Window.partitionBy("repo").orderBy(F.desc(F.round("score", 9)), "source", "target")
-    scored = cross_module_edges(edges, nodes, prefixes, mode)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return _scored(e, pairs, mode).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
 def module_rollup(nodes: DataFrame, top: int = 8) -> DataFrame:

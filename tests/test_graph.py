@@ -1,7 +1,9 @@
 """Graph operators: small goldens, and random graphs against plain Python."""
 
+import math
 import random
-from collections import deque
+import re
+from collections import Counter, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -362,6 +364,34 @@ def test_surprising(spark):
     assert len(rows) == 3 and rows[1].pair_count == 2
 
 
+@pytest.mark.parametrize("mode", ["distance", "inverse"])
+def test_surprising_shuffles_the_edges_once_for_each_end(spark, mode):
+    rng, ids = random.Random(3), [f"/r/m{i % 7}/{'d/' * (i % 3)}f{i}.ts" for i in range(60)]
+    n = spark.createDataFrame([("/r", i, 5.0) for i in ids], "repo string, id string, rating double").localCheckpoint()
+    e = [(rng.choice(ids), rng.choice([*ids, "/r/unknown.ts"])) for _ in range(500)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = CU.surprising(spark.createDataFrame(e, "source string, target string").localCheckpoint(), n, 5, mode=mode)
+        got = [(r.source, r.target, r.pair_count, round(r.score, 9)) for r in sorted(df.collect(), key=lambda r: r["rank"])]
+        text = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    module, known = lambda p: p.split("/")[2], set(ids)
+    across = [(s, t) for s, t in e if t in known and module(s) != module(t)]
+    counts = Counter((module(s), module(t)) for s, t in across)
+
+    def score(s, t):
+        x, y = s.split("/")[:-1], t.split("/")[:-1]
+        common = next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+        return round((len(x) + len(y) - 2 * common if mode == "distance" else 1) / math.log(counts[module(s), module(t)] + 1), 9)
+
+    want = sorted(((-score(s, t), s, t) for s, t in set(across)))[:5]
+    assert got == [(s, t, counts[module(s), module(t)], -x) for x, s, t in want]
+    exchanges = re.findall(r"^[\s:+-]*Exchange hashpartitioning\((source|target)#", text, re.M)
+    assert sorted(exchanges) == ["source", "source", "target", "target"]  # of the edges and of the files
+
+
 def test_adjacency_chunks_keep_every_neighbour(spark):
     _, e = frames(spark, {}, [("god", f"n{i}") for i in range(25)] + [("a", "b")])
     rows = [r for r in CE.adjacency(e, chunk=10).collect() if r.path == "god"]
