@@ -46,13 +46,18 @@ def repo_prefix(label):
 def index_repos(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cross-repository ids: ``prefix:id``. Needs a ``repo_label`` column on both tables."""
     p = repo_prefix("repo_label")
-    n = nodes.select(p.alias("prefix"), F.concat(p, F.lit(":"), "id").alias("id"), "label", "rating")
     e = edges.select(
         F.concat(p, F.lit(":"), "source").alias("source"),
         F.concat(repo_prefix(F.coalesce("target_label", "repo_label")) if "target_label" in edges.columns else p, F.lit(":"), "target").alias("target"),
         "type",
     )
-    return n, e
+    return index_nodes(nodes), e
+
+
+def index_nodes(nodes: DataFrame) -> DataFrame:
+    """The nodes of :func:`index_repos`, which need no edges."""
+    p = repo_prefix("repo_label")
+    return nodes.select(p.alias("prefix"), F.concat(p, F.lit(":"), "id").alias("id"), "label", "rating")
 
 
 def replace_repos(global_rows: DataFrame, fresh: DataFrame, key: str = "prefix") -> DataFrame:

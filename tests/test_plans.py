@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from estatelens.plans.context import tables
+from estatelens.sources import adapters as A
 
 QUICK = [
     "graph_edges", "impact_set", "impact_verdicts", "degree_centrality", "file_ratings", "rating_breakdown", "cross_module_edges",
@@ -51,3 +52,13 @@ def test_scans_are_pruned(spark, sf):
 
 def test_tables_are_shared_per_folder(spark, sf):
     assert tables(spark, sf) is tables(spark, sf)
+
+
+@pytest.mark.parametrize("name", ["global_worst_nodes", "index_repo_nodes", "filtered_graph_nodes"])
+def test_queries_of_nodes_build_no_edges(spark, sf, con, monkeypatch, name):
+    def edges(*_):
+        raise AssertionError("edges were built")
+
+    monkeypatch.setattr(A, "edges", edges)
+    fresh = f"{sf}/."  # tables of its own
+    assert check_oracle.compare(entry.queries()[name](spark, fresh), con, entry.oracle_sql()[name]) is None
