@@ -58,13 +58,20 @@ def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 def filter_graph(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop excluded nodes and every edge that touches one (unanchored globs)."""
-    marked = excluded(nodes.withColumn("path", F.col("id")), rules.withColumn("lang_group", F.lit("global")), "dashboard")
-    kept = marked.filter("NOT excluded").drop("excluded", "path")
-    gone = marked.filter("excluded").select("id")
+    gone = _marked(nodes, rules).filter("excluded").select("id")
     left = edges.join(gone.select(F.col("id").alias("source")), "source", "left_anti").join(
         gone.select(F.col("id").alias("target")), "target", "left_anti"
     )
-    return kept, left
+    return filter_nodes(nodes, rules), left
+
+
+def filter_nodes(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """The nodes of :func:`filter_graph`, which need no edges."""
+    return _marked(nodes, rules).filter("NOT excluded").drop("excluded", "path")
+
+
+def _marked(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    return excluded(nodes.withColumn("path", F.col("id")), rules.withColumn("lang_group", F.lit("global")), "dashboard")
 
 
 def quality_gate(files: DataFrame, violations: DataFrame, min_rating: float = 6.5) -> DataFrame:
