@@ -46,28 +46,28 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     Values without a target, or with a target of 0, get scale 0. Target shares are taken relative to the values that
     occur. The last margin is met exactly, the others to TOLERANCE when the targets fit together.
     """
-    now = materialize(cells.withColumn("scale", F.lit(1.0)), "rake")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    wanted = {}
+    start = cells.withColumn("scale", F.lit(1.0))
     for dim, t in targets.items():
         seen = t.join(cells.select(F.col(dim).alias("value")).distinct(), "value")
         whole = seen.agg(F.sum("share")).first()[0] or 1.0
-        wanted[dim] = materialize(seen.select(F.col("value").alias(dim), (F.col("share") / whole * total).alias("want")), "rake-target").df
+        want = seen.select(F.col("value").alias(dim), (F.col("share") / whole * total).alias(f"_{dim}"))
+        start = start.join(want, dim, "left").fillna(0.0, [f"_{dim}"])
+    kept = [*DIMS, "tokens", *[f"_{d}" for d in targets]]
+    now = materialize(start.select(*kept, "scale", F.lit(0.0).alias("_e")), "rake-cells")
     for _ in range(SWEEPS):
-        df, errors = now.df, []
-        for dim, want in wanted.items():
-            have = df.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("scale")).alias("have"))
-            ratio = have.join(want, dim, "left").select(dim, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias(f"_{dim}"))
-            df = df.join(ratio, dim).withColumn("scale", F.col("scale") * F.col(f"_{dim}"))
-            errors.append(F.when(F.col("scale") > 0, F.abs(F.col(f"_{dim}") - 1)).otherwise(0.0))
-        after = materialize(df.select(*DIMS, "tokens", "scale", F.array_max(F.array(*errors)).alias("_e")), "rake")
-        worst = after.df.agg(F.max("_e")).first()[0] or 0.0
-        now.drop()
-        now = after
-        now.df = now.df.drop("_e")
-        if worst < TOLERANCE:
+        # Each margin is a written table: its plan holds one aggregate and one join, whatever came before.
+        for k, dim in enumerate(targets):
+            have = now.df.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("scale")).alias("have"), F.max(f"_{dim}").alias("want"))
+            ratio = have.select(dim, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0).alias("_r"))
+            off = F.greatest("_e" if k else F.lit(0.0), F.abs(F.col("_r") - 1))
+            after = now.df.join(ratio, dim).select(*kept, (F.col("scale") * F.col("_r")).alias("scale"), off.alias("_e"))
+            after = materialize(after, "rake", where=(F.col("scale") > 0) & (F.col("_e") >= TOLERANCE))
+            now.drop()
+            now = after
+        if not now.hits:
             break
-    return now.df
+    return now.df.select(*DIMS, "tokens", "scale")
 
 
 def budget_factor(cells: DataFrame, budget: float) -> float:
@@ -78,8 +78,10 @@ def budget_factor(cells: DataFrame, budget: float) -> float:
     low, high = budget / high * 1e-3, 1 / low
     for _ in range(4):
         grid = [low * (high / low) ** (k / 64) for k in range(65)]
-        sums = cells.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("scale") * g)) for g in grid]).first()
-        k = next((k for k, s in enumerate(sums) if s >= budget * total), 64)
+        # One sum over a grid of rows: 65 sums would be compiled anew for each grid.
+        tried = cells.select("tokens", "scale", F.posexplode(F.lit(grid)).alias("k", "g"))
+        sums = tried.groupBy("k").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("scale") * F.col("g"))).alias("s")).orderBy("k").collect()  # 65 rows
+        k = next((r["k"] for r in sums if r["s"] >= budget * total), 64)
         low, high = grid[max(0, k - 1)], grid[k]
     return high
 

@@ -8,6 +8,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pytest
+from estatelens.llm import mixing
 from estatelens.llm.ann import nearest
 from estatelens.llm.chat import linked_messages, turns_as_calls
 from estatelens.llm.counts import Counter, token_counts
@@ -234,6 +235,21 @@ def test_raking_meets_the_margins(spark):
         assert got[i, j, k] == pytest.approx(s, rel=1e-4)
 
 
+def test_raking_plans_stay_small(spark, monkeypatch):
+    cells = spark.createDataFrame([(f"s{i}", f"l{i % 3}", f"t{i % 2}", 10 + i) for i in range(12)], "source string, lang string, topic string, tokens long")
+    plans, write = [], mixing.materialize
+
+    def keep(df, tag="stage", **more):
+        plans.append((tag, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, tag, **more)
+
+    monkeypatch.setattr(mixing, "materialize", keep)
+    raked = rake(cells, {d: mixing.tempered(cells, d, 0.5) for d in mixing.DIMS})
+    assert raked.columns == [*mixing.DIMS, "tokens", "scale"] and raked.count() == 12
+    sweeps = [p for tag, p in plans if tag == "rake"]
+    assert sweeps and all(p.count("Join ") <= 1 and p.count("Aggregate ") <= 1 for p in sweeps)
+
+
 def test_mixed_sample(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     odd = spark.createDataFrame([(-1, None, None, None), (-2, "", "src0", "en"), (None, "a b", "src0", "xx")], "doc_id long, text string, source string, lang string")
