@@ -280,6 +280,16 @@ def test_many_stalls_take_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 60
 
 
+def test_placed_files_leave_the_rounds_of_a_fix_order(spark, monkeypatch):
+    nodes = {f"f{i:03d}": float(i % 9) for i in range(200)}
+    edges = [(f"f{i + 1:03d}", f"f{i:03d}") for i in range(6)]  # all but 6 files are ready in the first round
+    read, real = [], OR._without
+    monkeypatch.setattr(OR, "_without", lambda files, links, placed: read.append(files.count()) or real(files, links, placed))
+    n, e = frames(spark, nodes, edges)
+    assert {r.path: r.level for r in OR.fix_order(e, n).collect()} == topo(nodes, edges)
+    assert sum(r == 200 for r in read) <= 2
+
+
 def test_fix_order_golden(spark):
     n, e = frames(spark, {"a": 8.0, "b": 2.0, "c": 5.0}, [("a", "b"), ("b", "c"), ("c", "a"), ("a", "zz")])
     order = [r.path for r in OR.fix_order(e, n).orderBy("level", "rating", "path").collect()]
