@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Written, materialize
-from .traverse import NumberedGraph, number_graph
+from .traverse import NumberedGraph, _together, number_graph
 from .windows import position_in_group
 
 ADJACENCY_CHUNK = 1000
@@ -105,27 +105,28 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None =
     ids = nodes.select("id") if sources is None else sources.select("id", *(["weight"] if weighted else [])).dropDuplicates(["id"])
     picked = materialize(graph.encode(ids, "id", "root"), "sources")
     levels = _count_paths(graph, picked.df)
-    delta: Written | None = None
-    partial: list[DataFrame] = []
+    gained: Written | None = None
+    partial: list[Written] = []
     for depth in range(len(levels) - 1, 0, -1):
-        cur = levels[depth].df
-        gained = cur.withColumn("delta", F.lit(0.0))
-        if delta is not None:
-            gained = cur.join(delta.df, ["root", "node"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
-        prev = levels[depth - 1].df.select("root", F.col("node").alias("pred"), F.col("sigma").alias("psigma"))
+        # A frontier that is written first has a known size: a small one does not have the links shuffled.
+        cur = levels[depth].df.withColumn("delta", F.lit(0.0)) if gained is None else gained.df
+        prev = levels[depth - 1].df
+        to = prev.select("root", F.col("node").alias("pred"), F.col("sigma").alias("psigma"))
         up = (
-            graph.dependents(gained, "node", "pred")
-            .join(prev, ["root", "pred"])
+            graph.dependents(cur, "node", "pred")
+            .join(to, ["root", "pred"])
             .groupBy("root", F.col("pred").alias("node"))
             .agg(F.sum(F.col("psigma") / F.col("sigma") * (1 + F.col("delta"))).alias("delta"))
         )
-        delta = materialize(up, "delta")
         if depth > 1:
-            part = delta.df.join(picked.df, "root").withColumn("delta", F.col("delta") * F.col("weight")) if weighted else delta.df
-            partial.append(part.select("node", "delta"))
+            full = prev.join(up, ["root", "node"], "left").select("root", "node", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta"))
+            gained = materialize(full, "delta")
+            partial.append(gained)
     total = None
-    for p in partial:
-        total = p if total is None else total.unionByName(p)
+    if partial:
+        total = _together(partial)[0].filter("delta > 0")
+        if weighted:
+            total = total.join(picked.df, "root").withColumn("delta", F.col("delta") * F.col("weight"))
     n = nodes.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
     norm = F.when(F.col("n") > 2, (F.col("n") - 1) * (F.col("n") - 2)).otherwise(F.lit(1))
     base = nodes.select("repo", "id").join(n, "repo")

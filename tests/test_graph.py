@@ -158,6 +158,18 @@ def test_betweenness(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in nodes)
 
 
+def test_betweenness_goes_back_from_written_levels(spark, monkeypatch):
+    nodes = {f"n{i}": 1.0 for i in range(6)}
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(5)] + [("n0", "n2"), ("n1", "n3")]
+    n, e = frames(spark, nodes, edges)
+    plans, real = [], TR.NumberedGraph.dependents
+    monkeypatch.setattr(TR.NumberedGraph, "dependents", lambda g, f, *a: plans.append(f._jdf.queryExecution().optimizedPlan().toString()) or real(g, f, *a))
+    got = {r.path: r.betweenness for r in CE.betweenness(e, n).collect()}
+    want = brandes(nodes, edges)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in nodes)
+    assert len(plans) >= 3 and not any("Join" in p for p in plans)
+
+
 def test_sampled_betweenness_keeps_its_error(spark):
     nodes, edges = random_graph(3, 120, 260)
     edges = [(s, t) for s, t in edges if s != t]
