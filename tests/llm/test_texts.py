@@ -11,6 +11,7 @@ from estatelens.llm.jaccard import similarity_classes
 from estatelens.llm.quality import fit, quality_rules
 from estatelens.llm.secrets import joined, redacted, secret_scan
 from estatelens.llm.substring import substring_dedup
+from estatelens.session import materialize
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -161,6 +162,34 @@ def test_jaccard_join_peels_outliers_of_a_crowd(spark):
     assert got == _components(_sets(rows))
 
 
+def test_jaccard_shingles_cost_few_bytes_in_any_number_of_buckets(spark):
+    def packed(batches):
+        for _ in batches:
+            pass
+        rng, out = np.random.default_rng(3), jaccard.Packer(500, jaccard.Crowd(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        for k in range(200):
+            yield from out.add(k, 300, rng.integers(0, 1 << 63, 300).astype(np.uint64))
+        yield out.batch()
+
+    rows = spark.range(1).coalesce(1).mapInArrow(packed, jaccard.Packer.SCHEMA).collect()
+    assert sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray)) <= 200 * 300 * 6 + 200 * 12
+
+
+def test_jaccard_core_leaves_out_texts_that_share_by_chance(spark):
+    """Texts 0 to 29 share a third of their words with the next one; 40 and 41 link; 50 keeps its few shingles only for 51."""
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    texts = {k: words(f"p{k}x", 30) + words(f"o{k}x", 30) + words(f"p{k + 1}x", 30) for k in range(30)}
+    texts |= {40: words("a", 60), 41: words("a", 59) + ["other"]}
+    texts |= {50: words("b", 50) + words("c", 8), 51: words("b", 40) + words("d", 50)}
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = materialize(docs.mapInArrow(jaccard._classes(0), "doc_id long, n long, key binary, id long, first array<long>"), "classes").df
+    clusters = held.selectExpr("id", "1L AS c", "n", "true AS big")
+    crowded = spark.sparkContext.broadcast(jaccard.Crowd(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    core = jaccard._core(docs, held.select("doc_id", "id"), clusters, crowded, 0).df.join(held.select("doc_id", "id"), "id")
+    assert {r.doc_id for r in core.collect()} == {40, 41}
+
+
 def test_jaccard_join_of_one_id_with_two_texts(spark):
     """Document 5 has two texts: one is a copy of document 1, the other links to 3 alone; 7 holds the like with nulls."""
     words = lambda name: [f"{name}{i}" for i in range(60)]
