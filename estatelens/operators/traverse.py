@@ -19,6 +19,7 @@ FRAGILE = 6.0
 HOT_SHARE = 64  # a node counts as hot when it holds more than 1/64 of all edges
 SALTS = 32
 SLICE = 1024  # files of a component that are paired with a root in one task
+HUB_ROUNDS = 32
 
 
 @dataclass
@@ -220,6 +221,15 @@ def reach(
     return _together(seen)[0], rounds
 
 
+def _reached(step, start: DataFrame) -> tuple[DataFrame, list[Written]]:
+    """(node) of ``start`` and of all that steps lead to from there, whichever node they come from, and its tables."""
+    seen = [materialize(start.select("node").distinct(), "reached")]
+    while seen[-1].rows:
+        new = step(seen[-1].df.select(F.col("node").alias("at")), "at", "next").select(F.col("next").alias("node")).distinct()
+        seen.append(materialize(new.join(_together(seen)[0], "node", "left_anti"), "reached"))
+    return _together(seen)[0], seen
+
+
 def _together(parts: list[Written]) -> list[DataFrame]:
     """All written levels as one scan (one reader over several folders, not a chain of unions)."""
     if not parts:
@@ -288,12 +298,69 @@ def transitive_dependents(edges: DataFrame, nodes: DataFrame, roots: DataFrame)
     )
 
 
+def _hubs(units: NumberedGraph, sizes: DataFrame) -> Written:
+    """(node, hub) of the units that are joined by links, either way, with a unit of several files: the largest such.
+
+    Parts of the graph that take more than HUB_ROUNDS rounds to agree on one have none.
+    """
+    links = units.links.df.select("src", "dst")
+    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    start = sizes.select(F.col("unit").alias("node"), F.struct("files", "unit").alias("best"), F.lit(True).alias("fresh"))
+    state, rounds = materialize(start, "hub", where=F.col("fresh")), 0
+    while state.hits and rounds < HUB_ROUNDS:
+        offer = both.join(state.df.filter("fresh").select(F.col("node").alias("src"), "best"), "src")
+        offer = offer.groupBy(F.col("dst").alias("node")).agg(F.max("best").alias("new"))
+        fresh = F.coalesce(F.col("new") > F.col("best"), F.lit(False)).alias("fresh")
+        after = state.df.join(offer, "node", "left").select("node", F.greatest("best", "new").alias("best"), fresh)
+        after, rounds = materialize(after, "hub", where=F.col("fresh")), rounds + 1
+        state.drop()
+        state = after
+    label = state.df.select("node", F.col("best.unit").alias("hub"), F.col("best.files").alias("files"))
+    if state.hits:
+        end = lambda name, to: label.select(F.col("node").alias(name), F.col("hub").alias(to))
+        apart = links.join(end("src", "a"), "src").join(end("dst", "b"), "dst").filter("a <> b")
+        label = label.join(apart.select(F.explode(F.array("a", "b")).alias("hub")).distinct(), "hub", "left_anti")
+    out = materialize(label.filter("files > 1").select("node", "hub"), "hubs", where=F.col("node") == F.col("hub"))
+    state.drop()
+    return out
+
+
+def _around_hubs(units: NumberedGraph, sizes: DataFrame) -> tuple[NumberedGraph, Written | None]:
+    """Links that are left to walk, and (unit, base): how many dependents of a unit the links left out stand for.
+
+    What a hub depends on has the hub and all that depends on it among its dependents, so these are counted once for
+    each hub. The other dependents of such a unit reach it without touching them; these ways are walked apart, by links between
+    the units ``-1 - unit``.
+    """
+    label = _hubs(units, sizes)
+    if not label.hits:
+        label.drop()
+        return units, None
+    hubs = label.df.filter("node = hub").select("node")
+    above, up = _reached(units.dependents, hubs)
+    below, down = _reached(units.dependencies, hubs)
+    side, beside = _reached(units.dependents, below)
+    files = lambda df: df.join(label.df, "node").join(sizes.withColumnRenamed("unit", "node"), "node")
+    all_above = files(above).groupBy("hub").agg(F.sum("files").alias("base"))
+    own = F.when(F.col("node") == F.col("hub"), F.col("files")).otherwise(0)
+    base = materialize(files(below).join(all_above, "hub").select(F.col("node").alias("unit"), (F.col("base") - own).alias("base")), "hub-base")
+    end = lambda df, column: df.select(F.col("node").alias(column))
+    links = units.links.df.select("src", "dst")
+    apart = links.join(end(above, "src"), "src", "left_anti").join(end(side, "dst"), "dst", "left_semi")
+    apart = apart.select((-1 - F.col("src")).alias("src"), (-1 - F.col("dst")).alias("dst"))
+    left = salted_graph(units.nodes, links.join(end(below, "dst"), "dst", "left_anti").select("src", "dst").unionByName(apart))
+    for p in [label, *up, *down, *beside, units.links]:
+        p.drop()
+    return left, base
+
+
 def closure_sizes(edges: DataFrame, nodes: DataFrame, lg_entries: int = 12) -> DataFrame:
     """Number of files that depend on each file through any number of hops, for all files at once.
 
     No pair of files is ever listed: every component carries a sketch (theta, 2^``lg_entries`` hashes at most) of its
     dependents outside it, as they are the same for all its files. A round hands the sketches that changed in the last one to the
-    components depended on, so the rounds follow the longest path between components. Output: path, dependents, exact.
+    components depended on, so the rounds follow the longest path between components. What depends on the largest component
+    of a part of the graph is counted once for all that this component depends on, and takes no place in their sketches. Output: path, dependents, exact.
     Counts of fewer than 2^lg_entries files are exact; larger ones have a relative standard error of
     1 / sqrt(2^lg_entries - 1). A file on a cycle counts itself, a
     file that nothing depends on has 0, and ids of ``edges`` outside ``nodes`` count as dependents only.
@@ -303,9 +370,13 @@ def closure_sizes(edges: DataFrame, nodes: DataFrame, lg_entries: int = 12) -> D
     graph = number_graph(edges)
     members, units = condensed(graph)
     merged = lambda c: F.theta_union_agg(c, lg_entries)
-    own = members.df.groupBy("unit").agg(F.theta_sketch_agg("node", lg_entries).alias("own"), F.first("cyclic").alias("cyclic"))
+    own = members.df.groupBy("unit").agg(F.theta_sketch_agg("node", lg_entries).alias("own"), F.first("cyclic").alias("cyclic"), F.count(F.lit(1)).alias("files"))
     own = materialize(own, "closure-own")
-    first = units.dependencies(own.df.select(F.col("unit").alias("at"), F.col("own").alias("sketch")), "at", "node")
+    units, base = _around_hubs(units, own.df.select("unit", "files"))
+    start = own.df.select(F.col("unit").alias("at"), F.col("own").alias("sketch"))
+    if base:
+        start = start.unionByName(start.withColumn("at", -1 - F.col("at")))
+    first = units.dependencies(start, "at", "node")
     first = first.groupBy("node").agg(merged("sketch").alias("sketch"))
     parts = [materialize(first.withColumn("round", F.lit(0)), "closure")]
     fresh = parts[0].df
@@ -323,12 +394,19 @@ def closure_sizes(edges: DataFrame, nodes: DataFrame, lg_entries: int = 12) -> D
             break
         fresh = done.df
     last = _together(parts)[0].groupBy(F.col("node").alias("unit")).agg(F.max_by("sketch", "round").alias("sketch"))
+    if base:
+        apart = last.filter("unit < 0").withColumn("unit", -1 - F.col("unit"))
+        last = last.filter("unit >= 0").unionByName(apart.join(base.df.select("unit"), "unit", "left_semi"))
     every = own.df.join(last, "unit", "left").withColumn("own", F.when(F.col("cyclic"), F.col("own")))
     every = every.withColumn("sketch", F.coalesce(F.theta_union("sketch", "own", lg_entries), "sketch", "own"))
-    counted = every.select("unit", F.theta_sketch_estimate("sketch").alias("n"))
+    n = F.coalesce(F.theta_sketch_estimate("sketch"), F.lit(0).cast("long"))
+    if base:
+        every = every.join(base.df, "unit", "left")
+        n = n + F.coalesce("base", F.lit(0).cast("long"))
+    counted = every.select("unit", n.alias("n"))
     sizes = graph.decode(members.df.select("node", "unit").join(counted, "unit").select("node", "n"), "node", "path")
     sizes = materialize(sizes, "closure-sizes").df
-    for p in [*parts, own, members, units.links]:
+    for p in [*parts, own, members, units.links, *([base] if base else [])]:
         p.drop()
     graph.drop()
     n = F.coalesce("n", F.lit(0).cast("long"))

@@ -444,3 +444,25 @@ def test_closures_walk_between_components(spark, monkeypatch, query, tag):
         assert len(rows) == len(want) and {(r.root, r.path) for r in rows} == want
         assert {(r.path, r.root) for r in rows if r.direct} == set(edges)
     assert written.count(tag) <= 4  # one for each file of the ring before
+
+
+def test_closure_sizes_count_what_depends_on_a_hub_once(spark, monkeypatch):
+    """A ring that depends on y0 to y9; x depends on the ring and on o, which depends on y0, z on x; p depends on y1 alone."""
+    ring = [f"n{i:02d}" for i in range(40)]
+    edges = [(a, b) for a, b in zip(ring, ring[1:] + ring[:1])] + [("n05", f"y{i}") for i in range(10)] + [("y3", "y4")]
+    edges += [("x", "n00"), ("x", "o"), ("o", "y0"), ("z", "x"), ("p", "y1"), ("q", "y4")]
+    names = sorted({x for e in edges for x in e})
+    n, e = frames(spark, {x: 5.0 for x in names}, edges)
+    largest, write = [], TR.materialize
+
+    def noted(df, name="stage", **more):
+        out = write(df, name, **more)
+        if name == "closure" and out.rows:
+            largest.append(out.df.agg(F.max(F.theta_sketch_estimate("sketch"))).first()[0])
+        return out
+
+    monkeypatch.setattr(TR, "materialize", noted)
+    got = {r.path: r.dependents for r in TR.closure_sizes(e, n).collect()}
+    want = {**{x: 42 for x in [*ring, *(f"y{i}" for i in range(10))]}, "x": 1, "z": 0, "o": 2, "p": 0, "q": 0, "y0": 43, "y1": 43, "y4": 44}
+    assert got == want
+    assert max(largest) <= 3  # the 42 files of the ring and above it are in no sketch
