@@ -466,3 +466,16 @@ def test_closure_sizes_count_what_depends_on_a_hub_once(spark, monkeypatch):
     want = {**{x: 42 for x in [*ring, *(f"y{i}" for i in range(10))]}, "x": 1, "z": 0, "o": 2, "p": 0, "q": 0, "y0": 43, "y1": 43, "y4": 44}
     assert got == want
     assert max(largest) <= 3  # the 42 files of the ring and above it are in no sketch
+
+
+@pytest.mark.parametrize("wide", [256, 1])
+def test_pairs_of_files_are_not_joined_again(spark, monkeypatch, wide):
+    monkeypatch.setattr(TR, "WIDE", wide)
+    edges = [("a", "b"), ("b", "a"), ("c", "a"), ("c", "b"), ("c", "d"), ("a", "d")]
+    n, e = frames(spark, {x: 5.0 for x in "abcd"}, edges)
+    df = TR.transitive_dependents(e, n, n.select(F.col("id").alias("root")))
+    got = {(r.root, r.path, r.direct) for r in df.collect()}
+    assert got == {(t, s, (s, t) in edges) for t, s in [*((t, s) for t in "abd" for s in "abc")]}
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    again = re.findall(r"Left keys \[2\]: \[r#\d+L, p#\d+L\]|Arguments: \[r#\d+L, p#\d+L\]", text)
+    assert bool(again) == (wide == 1)
