@@ -479,3 +479,15 @@ def test_pairs_of_files_are_not_joined_again(spark, monkeypatch, wide):
     text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     again = re.findall(r"Left keys \[2\]: \[r#\d+L, p#\d+L\]|Arguments: \[r#\d+L, p#\d+L\]", text)
     assert bool(again) == (wide == 1)
+
+
+def test_few_roots_cut_the_graph_first(spark, monkeypatch):
+    edges = [("b", "a"), ("c", "b")] + [(f"n{i}", f"n{(i + 1) % 30}") for i in range(30)] + [("b", "n3")]
+    n, e = frames(spark, {x: 5.0 for x in sorted({x for k in edges for x in k})}, edges)
+    from estatelens.operators import components as CO
+
+    sizes, write = [], CO.materialize
+    monkeypatch.setattr(CO, "materialize", lambda df, name="stage", **more: (lambda w: sizes.append((name, w.rows)) or w)(write(df, name, **more)))
+    rows = TR.transitive_dependents(e, n, spark.createDataFrame([("a",)], "root string")).collect()
+    assert {(r.root, r.path, r.direct) for r in rows} == {("a", "b", True), ("a", "c", False)}
+    assert dict(sizes)["units"] == 3
